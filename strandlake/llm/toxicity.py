@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 
@@ -149,9 +150,10 @@ def score_texts(raw: np.ndarray, offsets: np.ndarray, dense: np.ndarray, bias: f
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], bits: int = BITS) -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1), in one narrow pass."""
+    """All columns of ``docs`` and ``score`` (0 to 1; takes the place of a column of that name), in one narrow pass."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = docs.schema.add("score", "double")
+    docs = docs.drop("score")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense, bias = _table(sent.value, bits), sent.value[2]
