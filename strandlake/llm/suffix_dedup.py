@@ -377,13 +377,15 @@ def _remove(schema: pa.Schema):
             "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(lost), "n_spans": pa.array(spans[off[1:]] - spans[off[:-1]]),
             "kept": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(kept_off.astype(np.int64).tobytes()), pa.py_buffer(kept)]).cast(pa.binary()),
         }
+        if schema.field("kept").type != pa.binary():
+            out["kept"] = pa.array([kept[a:b].decode("utf-8", "ignore") for a, b in zip(kept_off[:-1].tolist(), kept_off[1:].tolist(), strict=True)], pa.string())
         return pa.table({n: out[n] if n in out else table.column(n).cast(schema.field(n).type) for n in schema.names}, schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, and the columns of ``keep``; None: all) with n_bytes, n_removed, n_spans and ``kept``, the bytes that stay."""
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None, as_text: bool = False) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, and the columns of ``keep``; None: all) with n_bytes, n_removed, n_spans and ``kept``, the bytes that stay (as_text: as a string, without characters of which a part went)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
@@ -398,7 +400,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None) -> Data
     answers = sent.groupBy("part").applyInPandas(_answers, "part int, kind int, data binary")
     schema = T.StructType([f for f in docs.schema.fields if keep is None or f.name in keep])
     for name in RESULTS:
-        schema = T.StructType([*schema.fields, T.StructField(name, T.BinaryType() if name == "kept" else T.LongType())])
+        schema = T.StructType([*schema.fields, T.StructField(name, (T.StringType() if as_text else T.BinaryType()) if name == "kept" else T.LongType())])
     remove = _remove(to_arrow_schema(schema))
 
     def last(table: pa.Table) -> pa.Table:
