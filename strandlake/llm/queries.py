@@ -54,5 +54,27 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_packing, op7_toxicity, op9_suffix_dedup)}
-ORACLES: dict[str, str] = {}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import labelled
+
+    return labelled(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import formatted_digests
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{said}' AS text UNION ALL SELECT -1L, 1L, 'assistant', '{said}'")
+    return formatted_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_packing, op7_toxicity, op8_license_scan, op9_suffix_dedup, op10_chat_format)}
+
+
+def _oracles() -> dict[str, str]:
+    from . import chat_format
+
+    return {"op10_chat_format": chat_format.SQL}
+
+
+ORACLES = _oracles()
