@@ -20,6 +20,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpyp import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +47,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_tree import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -68,7 +80,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_jaccard_join, op4_packing, op7_toxicity, op8_license_scan, op9_suffix_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_hpyp, op2_bpe, op3_jaccard_join, op4_packing, op5_ann_tree, op7_toxicity, op8_license_scan, op9_suffix_dedup, op10_chat_format)}
 
 
 def _oracles() -> dict[str, str]:
