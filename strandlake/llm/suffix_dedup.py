@@ -390,13 +390,13 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None, as_text
 
     spark = docs.sparkSession
     parts = K.hot_conf(spark)
-    batches = 3 * parts
+    batches = 2 * parts
     names = [c for c in docs.columns if c not in RESULTS and (keep is None or c in (*keep, "doc_id", "text"))]
     docs = docs.select(*names)
     packed = docs.mapInArrow(_to_batches(batches), "part int, kind int, data binary")
-    seen = docs.select("doc_id", "text").mapInArrow(_fingerprints(batches, 2 * parts), "part int, data binary")
+    seen = docs.select("doc_id", "text").mapInArrow(_fingerprints(batches, parts), "part int, data binary")
     replies = seen.groupBy("part").applyInPandas(_repeated, "part int, kind int, data binary")
-    sent = packed.unionByName(replies).groupBy("part").applyInPandas(_phrases(2 * parts), "part int, data binary")
+    sent = packed.unionByName(replies).groupBy("part").applyInPandas(_phrases(parts), "part int, data binary")
     answers = sent.groupBy("part").applyInPandas(_answers, "part int, kind int, data binary")
     schema = T.StructType([f for f in docs.schema.fields if keep is None or f.name in keep])
     for name in RESULTS:
