@@ -53,6 +53,16 @@ def op5_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .webp import media_columns
+
+    m = media_columns(table(spark, sf_dir, "documents"))
+    return m.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -80,7 +90,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_hpyp, op2_bpe, op3_jaccard_join, op4_packing, op5_ann_tree, op7_toxicity, op8_license_scan, op9_suffix_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_hpyp, op2_bpe, op3_jaccard_join, op4_packing, op5_ann_tree, op6_webp, op7_toxicity, op8_license_scan, op9_suffix_dedup, op10_chat_format)}
 
 
 def _oracles() -> dict[str, str]:
