@@ -10,8 +10,8 @@ proven bound of what is broadcast.  Scoring is one narrow pass without shuffle.
 
 Nulls and empties: a null text counts as empty and scores the bias alone; a null
 label is no label; repeated label rows of a document count once (the largest
-label holds).  An empty or one-class training table gives weights of zero and
-the base rate as score.  Extra columns are ignored.
+label holds).  Without training rows every score is 0.5.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -116,11 +116,14 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     bound is the parameter.  One task learns from it in that order.
     """
     marked = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
-    ranked = docs.select("doc_id").join(marked, "doc_id").withColumn("rank", F.xxhash64("doc_id"))
+    ranked = docs.select("doc_id").distinct().join(marked, "doc_id").withColumn("rank", F.xxhash64("doc_id"))
     share = min(1.0, 1.1 * max_rows / max(1, ranked.count()))  # the limit then gathers a little more than it keeps
     chosen = ranked.where(F.pmod(F.shiftright("rank", 20), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(F.shiftright("rank", 20), F.lit(1 << 30)), "rank", "doc_id").limit(max_rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "rank").repartition(1)  # at most max_rows rows are broadcast, and go to one task
-    row = picked.mapInArrow(_trainer(bits, epochs, params), "idx binary, w binary, bias double").collect()[0]
+    got = picked.mapInArrow(_trainer(bits, epochs, params), "idx binary, w binary, bias double").collect()
+    if not got:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
+    row = got[0]
     return np.frombuffer(row.idx, np.int32), np.frombuffer(row.w, np.float32), row.bias
 
 
