@@ -297,3 +297,16 @@ def jaccard_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     ids = signed.select("doc_id", "h1", "h2", "size")
     found = ids.join(nodes, ["h1", "h2", "size"]).select("doc_id", F.col("node").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("class_id", "node").alias("class_id"))
     return found.union(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long")))
+
+
+#: The classes in DuckDB SQL, by counting common shingles of all pairs that share one; for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN len(w) || ':' || array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c / (x.n + y.n - c) = 1 AS equal FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+near AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(b) FROM l WHERE l.a = doc_id AND equal), doc_id)) AS copy_of, (SELECT count(*) FROM l WHERE l.a = doc_id) AS n_links, least(doc_id, coalesce(near.b, doc_id)) AS class_id FROM documents LEFT JOIN near ON near.a = doc_id
+"""

@@ -94,9 +94,9 @@ QUERIES = {f.__name__: f for f in (op1_hpyp, op2_bpe, op3_jaccard_join, op4_pack
 
 
 def _oracles() -> dict[str, str]:
-    from . import chat_format
+    from . import chat_format, jaccard_join, suffix_dedup
 
-    return {"op10_chat_format": chat_format.SQL}
+    return {"op3_jaccard_join": jaccard_join.SQL, "op9_suffix_dedup": suffix_dedup.SQL, "op10_chat_format": chat_format.SQL}
 
 
 ORACLES = _oracles()

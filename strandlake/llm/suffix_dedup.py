@@ -407,3 +407,17 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None, as_text
         return remove(table.to_pandas())
 
     return packed.unionByName(answers).groupBy("part").applyInArrow(last, schema)
+
+
+#: The digests of whole documents in DuckDB SQL.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM d, unnest(range(n - 49)) t(i)),
+m AS (SELECT s, min(doc_id) AS f FROM g GROUP BY s),
+r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM g JOIN m USING (s) WHERE f < doc_id),
+k AS (SELECT doc_id, i, sum(CASE WHEN b IS NULL OR i > b + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, k),
+q AS (SELECT p.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY p.doc_id ORDER BY a), 0) AS y FROM p),
+o AS (SELECT q.doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substring(any_value(h), 2 * max(z) + 1) AS kept FROM q JOIN d USING (doc_id) GROUP BY q.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
