@@ -8,9 +8,10 @@ visits widen until ``TARGET`` of their true neighbours are found.  A query walks
 the tree with a priority queue of centre distances, takes that many leaves, and
 more while they hold fewer rows than it wants.
 
-Queries meet the rows of their leaves by leaf; a leaf is cut into blocks of about
-``BLOCK`` rows by the hash of vec_id, so a leaf that holds a third of all rows is
-many tasks.  Each block returns its k nearest to each query, and the blocks' lists merge.
+Queries meet the rows of their leaves by shard: neighbouring leaves of about ``BLOCK``
+rows together, or blocks of one larger leaf by the hash of vec_id, so a leaf that holds a
+third of all rows is many tasks; queries are dealt to shares of about ``QUERY_BLOCK``.
+Each block returns its k nearest to each query among the leaves it visits, and the blocks' lists merge.
 
 Vectors that are null, zero, of another length than most, or hold nulls or non-finite numbers take no part, nor do rows
 with a null vec_id.  Ties go to the smaller vec_id.  Rows that repeat a vec_id
@@ -30,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 SAMPLE_ROWS = 20_000
 BRANCH = 12
 LEAF_ROWS = 96
 TARGET = 0.97
 CALIBRATION_QUERIES = 200
 BLOCK = 4096
+QUERY_BLOCK = 8192
 
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -158,6 +162,18 @@ def calibrate(tree: Tree, rows: np.ndarray, k: int, target: float = TARGET, quer
     return visits
 
 
+def shards(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard of each leaf, blocks of each shard): neighbouring leaves of up to ``block`` rows in all, or one larger leaf in blocks."""
+    shard, blocks, held = np.zeros(len(counts), np.int32), [], 0
+    for x, n in enumerate(counts.tolist()):
+        if not blocks or held + n > block:
+            blocks.append(max(1, -(-n // block)))
+            held = 0
+        held += n
+        shard[x] = len(blocks) - 1
+    return shard, np.array(blocks or [1], np.int32)
+
+
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -195,38 +211,52 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     placed = rows.mapInArrow(place, f"vec_id long, vector {kind}, leaf int")
     held = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row a leaf, of at most sample_rows leaves
     counts = np.array([held.get(x, 0) for x in range(tree.leaves)], np.int64)
-    blocks = np.maximum(1, -(-counts // block))
+    shard, blocks = shards(counts, block)
+    wanted = rows.where(is_query).dropDuplicates(["vec_id"])
+    shares = max(1, -(-wanted.count() // QUERY_BLOCK))
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = _matrix(b.column("vector"))
-            at, leaf, salt = [], [], []
+            at, into, salt, chosen = [], [], [], []
             for n, x in enumerate(q):
                 got = seen = 0
+                by_shard: dict[int, list[int]] = {}
                 for y in sent.value.visit(x):
                     if seen >= visits and got > k:
                         break
                     seen += 1
                     got += int(counts[y])
                     if counts[y]:
-                        at += [n] * int(blocks[y])
-                        leaf += [y] * int(blocks[y])
-                        salt += range(int(blocks[y]))
+                        by_shard.setdefault(int(shard[y]), []).append(y)
+                for z, leaves in by_shard.items():
+                    for part in range(int(blocks[z])):
+                        at.append(n)
+                        into.append(z)
+                        salt.append(part)
+                        chosen.append(sorted(leaves))
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("vector").take(take), pa.array(leaf, pa.int32()), pa.array(salt, pa.int32())], names=["query_id", "vector", "leaf", "salt"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("vector").take(take), pa.array(into, pa.int32()), pa.array(salt, pa.int32()), pa.array(chosen, pa.list_(pa.int32()))], names=["query_id", "vector", "shard", "salt", "leaves"])
 
-    queries = rows.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(routes, f"query_id long, vector {kind}, leaf int, salt int")
-    several = [(int(x), int(n)) for x, n in enumerate(blocks) if n > 1]
-    of = spark.createDataFrame(several or [(-1, 1)], "leaf int, blocks int")
-    salted = placed.join(F.broadcast(of), "leaf", "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(shares)).cast("int")
+    queries = wanted.mapInArrow(routes, f"query_id long, vector {kind}, shard int, salt int, leaves array<int>").withColumn("share", share("query_id"))
+    of = spark.createDataFrame([(x, int(shard[x]), int(blocks[shard[x]])) for x in range(tree.leaves)], "leaf int, shard int, blocks int")
+    dealt = placed.join(F.broadcast(of), "leaf").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
 
     def compare(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(v) == 0:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        qi, vi = q["query_id"].to_numpy(), v["vec_id"].to_numpy()
-        a, b, d = top(np.stack(q["vector"].to_list()), qi, np.stack(v["vector"].to_list()), vi, k)
-        return pd.DataFrame({"query_id": qi[a], "vec_id": vi[b], "score": d})
-
-    found = queries.groupBy("leaf", "salt").cogroup(salted.groupBy("leaf", "salt")).applyInPandas(compare, SCHEMA)
+        out = []
+        if len(q) and len(v):
+            v = v.sort_values("leaf", kind="stable")
+            leaf, ids, x = v["leaf"].to_numpy(), v["vec_id"].to_numpy(), np.stack(v["vector"].to_list())
+            for query_id, vector, leaves in zip(q["query_id"], q["vector"], q["leaves"], strict=True):
+                begin = np.searchsorted(leaf, leaves)
+                mine = K.ranges_concat(begin, np.searchsorted(leaf, leaves, side="right") - begin)
+                _, near, d = top(vector[None], np.array([query_id]), x[mine], ids[mine], k)
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[mine][near], "score": d}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+
+    keys = ["shard", "salt", "share"]
+    found = queries.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(compare, SCHEMA)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
