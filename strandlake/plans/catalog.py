@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coords as C
 from ..operators import ancestry as A
-from ..operators import ibd, rare, rvibd, stats
+from ..operators import ibd, matrix, rare, rvibd, stats
 from ..operators import intervals as I
 from ..sources import fixtures as X
 
@@ -543,3 +543,61 @@ def asibd(spark, d):
     s = X.seg(spark, d).select(F.col("ind1").alias("hap1"), F.col("ind2").alias("hap2"), "s", "e")
     return A.ancestry_segments(s, _runs(spark, d)).groupBy("hap1", "hap2", "s", "e", "anc1", "anc2").agg(F.count("*").alias("n"))
 
+
+
+# matrices, pairs, order
+
+
+@query(", t AS (SELECT a.k AS i, b.k AS j FROM range(60) a(k) JOIN range(60) b(k) ON a.k > b.k) SELECT i, j, (i - 1) * i // 2 + j AS idx, i AS i_back, j AS j_back FROM t")
+def triangular_index(spark, d):
+    r = spark.range(60)
+    p = r.select(F.col("id").alias("i0")).join(r.select(F.col("id").alias("j0")), F.col("i0") > F.col("j0"))
+    m = matrix.from_pair_index(matrix.with_pair_index(p, "i0", "j0"))
+    return m.select(F.col("i0").alias("i"), F.col("j0").alias("j"), "idx", F.col("i").alias("i_back"), F.col("j").alias("j_back"))
+
+
+CELLS = ", f AS (SELECT ind1 AS row, ind2 AS col, CAST(count(*) AS BIGINT) AS value FROM seg WHERE l_linestatus = 'F' GROUP BY 1, 2), o AS (SELECT ind1 AS row, ind2 AS col, CAST(count(*) AS BIGINT) AS value FROM seg WHERE l_linestatus = 'O' AND ind1 % 2 = 0 GROUP BY 1, 2)"
+
+
+def _cells(segs) -> DataFrame:
+    return segs.groupBy(F.col("ind1").alias("row"), F.col("ind2").alias("col")).agg(F.count("*").alias("value"))
+
+
+@query(CELLS + " SELECT f.row, f.col, coalesce(o.value, f.value) AS value FROM f LEFT JOIN o ON o.row = f.row AND o.col = f.col")
+def matrix_update(spark, d):
+    a, b = sides(spark, d)
+    return matrix.update(_cells(a), _cells(b.where("ind1 % 2 = 0")))
+
+
+@query(CELLS + " SELECT col AS row, row AS col, value FROM f WHERE row % 3 = 0 AND col < 10")
+def matrix_subset(spark, d):
+    ids = spark.range(40).select(F.col("id").alias("name"))
+    return matrix.transpose(matrix.subset(_cells(sides(spark, d)[0]), ids.where("name % 3 = 0"), ids.where("name < 10")))
+
+
+@query("SELECT a.k AS a, b.k AS b, 'between' AS part FROM range(0, 30) a(k), range(50, 70) b(k) UNION ALL SELECT a.k, b.k, 'within' FROM range(30, 50) a(k) JOIN range(30, 50) b(k) ON a.k > b.k")
+def id_pair_blocks(spark, d):
+    return matrix.pair_blocks(spark.range(50), spark.range(30, 70))
+
+
+@query("SELECT chrid, ind1, ind2, s, e, hap1, hap2, row_number() OVER (PARTITION BY ind1, ind2 ORDER BY s, e, hap1, hap2, l_linestatus) - 1 AS place FROM seg WHERE ind2 = 0")
+def seg_order(spark, d):
+    o = matrix.ordered(X.seg(spark, d).where("ind2 = 0"), ["s", "e", "hap1", "hap2", "l_linestatus"], ["ind1", "ind2"])
+    return o.select("chrid", "ind1", "ind2", "s", "e", "hap1", "hap2", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT genome, pos, row_number() OVER (PARTITION BY genome ORDER BY pos) - 1 AS place FROM rec")
+def rec_order(spark, d):
+    return matrix.ordered(X.rec(spark, d), ["pos"], ["genome"]).select("genome", "pos", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT DISTINCT ind1 AS id FROM seg WHERE l_linestatus = 'F' EXCEPT SELECT ind2 FROM seg WHERE l_linestatus = 'O' AND ind1 > 30")
+def id_difference(spark, d):
+    a, b = sides(spark, d)
+    return a.select(F.col("ind1").alias("id")).subtract(b.where("ind1 > 30").select(F.col("ind2").alias("id")))
+
+
+@query(TWO + ", x AS (SELECT DISTINCT ind1, ind2, chrid, s, e FROM seg WHERE l_linestatus = 'F') SELECT x.ind1, x.ind2, x.chrid, x.s, x.e, CAST(coalesce(sum(CASE WHEN b.s IS NULL THEN 0 ELSE least(x.e, b.e) - greatest(x.s, b.s) END), 0) AS BIGINT) AS covered FROM x LEFT JOIN isl b ON b.ls = 'O' AND x.ind1 = b.ind1 AND x.ind2 = b.ind2 AND x.chrid = b.chrid AND x.s < b.e AND b.s < x.e GROUP BY ALL")
+def overlap_details(spark, d):
+    a, b = sides(spark, d)
+    return ibd.overlap_shares(a, b).select("ind1", "ind2", "chrid", "s", "e", F.col("covered").cast("long").alias("covered"))

@@ -46,12 +46,12 @@ def aliases(spark: SparkSession, idx: dict[str, int]) -> DataFrame:
 
 
 def named_genome(spark: SparkSession, name: str) -> DataFrame:
-    """Built-in constant-rate genomes: ``pf3d7`` and ``14x1.5mb`` style equal chromosomes."""
+    """Built-in constant-rate genomes of 14 chromosomes."""
     # Fixed chromosome sizes.
     pf3d7 = [640851, 947102, 1067971, 1200490, 1343557, 1418242, 1445207, 1472805, 1541735, 1687656, 2038340, 2271494, 2925236, 3291936]
-    if name == "pf3d7":
+    if name == "pf3d7_const15k":
         return genome_from_lists(spark, [f"Pf3D7_{k + 1:02d}_v3" for k in range(14)], pf3d7)
-    if name == "sim14":
+    if name == "sim14chr100cm_const15k":
         return genome_from_lists(spark, [str(k + 1) for k in range(14)], [1_500_000] * 14)
     raise ValueError(f"no genome of that name: {name}")
 

@@ -29,7 +29,7 @@ def test_genome_toml_and_maps(spark, tmp_path):
     whole = R.genome_wide_map([R.read_plink_map(spark, str(m), genome, "c1")] * 2, genome)
     assert whole.agg(F.max("y2")).first()[0] == pytest.approx(2 * 99 / 75)
     assert R.constant_map(genome, 100.0).agg(F.max("y2")).first()[0] == 3.0
-    assert R.named_genome(spark, "pf3d7").count() == 14
+    assert R.named_genome(spark, "pf3d7_const15k").count() == 14
 
 
 def test_segment_formats(spark, tmp_path, dims):
