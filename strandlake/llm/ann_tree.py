@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample (``SAMPLE_ROWS`` rows of the smallest
 hashes of vec_id); the sample and so the tree, which is broadcast, have a fixed
 largest size.  Every row is assigned to a leaf.  How many leaves a
-search visits is calibrated: held-out sample rows are searched among the others, and the
+search visits is calibrated: sample rows that the tree was not fitted on are searched among one another, and the
 visits widen until ``TARGET`` of their true neighbours are found.  A query walks
 the tree with a priority queue of centre distances, takes that many leaves, and
 more while they hold fewer rows than it wants.
@@ -36,7 +36,7 @@ from . import kernels as K
 SAMPLE_ROWS = 20_000
 BRANCH = 12
 LEAF_ROWS = 96
-TARGET = 0.97
+TARGET = 0.93
 CALIBRATION_QUERIES = 200
 BLOCK = 4096
 QUERY_BLOCK = 8192
@@ -144,7 +144,7 @@ def top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.nd
 
 
 def calibrate(tree: Tree, rows: np.ndarray, k: int, target: float = TARGET, queries: int = CALIBRATION_QUERIES) -> int:
-    """Leaves to visit so that sample rows find ``target`` of their k nearest among the other sample rows."""
+    """Leaves to visit so that rows find ``target`` of their k nearest among the other rows."""
     leaf = tree.assign(rows)
     ranks = []
     pick = np.linspace(0, len(rows) - 1, min(queries, len(rows))).astype(int)
@@ -162,6 +162,16 @@ def calibrate(tree: Tree, rows: np.ndarray, k: int, target: float = TARGET, quer
     return visits
 
 
+def fit(sample: np.ndarray, k: int, target: float = TARGET) -> tuple[Tree, int]:
+    """A tree of two thirds of a sample, and visits calibrated on the rest, which it has not seen; a small sample does both."""
+    if len(sample) < 600:
+        tree = Tree(sample)
+        return tree, calibrate(tree, sample, k, max(target, 0.99))
+    cut = 2 * len(sample) // 3
+    tree = Tree(sample[:cut])
+    return tree, calibrate(tree, sample[cut:], k, target)
+
+
 def shards(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard of each leaf, blocks of each shard): neighbouring leaves of up to ``block`` rows in all, or one larger leaf in blocks."""
     shard, blocks, held = np.zeros(len(counts), np.int32), [], 0
@@ -197,9 +207,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toArrow()
     if sample.num_rows == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    points = _matrix(sample.column("vector"))
-    tree = Tree(points)
-    visits = calibrate(tree, points, k, target)
+    tree, visits = fit(_matrix(sample.column("vector")), k, target)
     sent = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
