@@ -35,12 +35,16 @@ PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apach
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
     ("mit", "released under the mit license"),
+    ("apache-2", "licensed under the apache license version 2 0"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("gpl", "licensed under the gnu general public license version 3 0"),
+    ("all-rights-reserved", "all rights reserved"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
 ]
-MIN_MATCH = 4
+MIN_MATCH = 3
 MIN_COVER = 0.5
 MAX_GAP = 12
 
@@ -54,11 +58,20 @@ class Automaton:
         self.templates = [(label, text.split()) for label, text in [*templates, *((label, p) for p, label in phrases)]]
         self.number = {}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.first = [-1], [0], [(-1, -1)]
+        self.link, self.length = [-1], [0]
+        ends_at: list[tuple[int, int, int]] = []
         for t, (_, words) in enumerate(self.templates):
             last = 0
             for at, w in enumerate(words):
-                last = self._extend(last, self.number.setdefault(w, len(self.number)), (t, at))
+                last = self._extend(last, self.number.setdefault(w, len(self.number)))
+                ends_at.append((last, t, at))
+        self.where: list[dict[int, int]] = [{} for _ in self.next]  # of each state: the first end in each template that holds it
+        for state, t, at in ends_at:
+            self.where[state][t] = min(at, self.where[state].get(t, at))
+        for state in sorted(range(1, len(self.next)), key=lambda x: -self.length[x]):
+            above = self.where[self.link[state]]
+            for t, at in self.where[state].items():
+                above[t] = min(at, above.get(t, at))
         self.found: list[tuple] = [()] * len(self.next)  # phrases that end where a state ends
         ends = {}
         for p, label in phrases:
@@ -73,7 +86,7 @@ class Automaton:
         words = list(self.number)
         self.index.add(np.array([K.word_hash(w.encode()) for w in words], np.uint64))
 
-    def _extend(self, last: int, c: int, where: tuple[int, int]) -> int:
+    def _extend(self, last: int, c: int) -> int:
         if c in self.next[last]:
             q = self.next[last][c]
             if self.length[q] == self.length[last] + 1:
@@ -83,7 +96,6 @@ class Automaton:
         self.next.append({})
         self.link.append(0)
         self.length.append(self.length[last] + 1)
-        self.first.append(where)
         p = last
         while p != -1 and c not in self.next[p]:
             self.next[p][c] = cur
@@ -98,7 +110,6 @@ class Automaton:
         self.next.append(dict(self.next[q]))
         self.link.append(self.link[q])
         self.length.append(self.length[p] + 1)
-        self.first.append(self.first[q])
         self.link[q] = clone
         while p != -1 and self.next[p].get(c) == q:
             self.next[p][c] = clone
@@ -118,18 +129,17 @@ class Automaton:
                 state = self.next[state][c]
                 length += 1
             if before and (length <= before[1]):
-                matches.append(self._match(*before))
+                matches += self._matches(*before)
             before = (state, length, at) if length >= MIN_MATCH else None
             for label, size in self.found[state]:
                 if length >= size:
                     places.append((label, at - size + 1))
         if before:
-            matches.append(self._match(*before))
+            matches += self._matches(*before)
         return places, matches
 
-    def _match(self, state: int, length: int, at: int) -> tuple[int, int, int, int]:
-        t, end = self.first[state]
-        return t, end - length + 1, at - length + 1, length
+    def _matches(self, state: int, length: int, at: int) -> list[tuple[int, int, int, int]]:
+        return [(t, end - length + 1, at - length + 1, length) for t, end in self.where[state].items()]
 
     def chain(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Spans (label, first word, last word, share of the template covered) of matches of a text in order."""

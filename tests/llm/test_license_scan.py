@@ -64,3 +64,9 @@ def test_template_spans(spark):
     assert r[1].labels == "" and r[1].score == 0
     s = L.scan(spark.createDataFrame([(1, damaged)], "doc_id long, text string")).first().spans
     assert s[0].start == 2
+
+
+def test_short_notices(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "All rights reserved.", "all the rights"]
+    rows = L.labelled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["cc-by-nc", "gpl", "apache-2", "mit", "all-rights-reserved", ""]
