@@ -252,6 +252,9 @@ def _verify(rows: pd.DataFrame) -> pd.DataFrame:
             np.add.at(links, q, copies[p])
             for a, b in zip(p.tolist(), q.tolist(), strict=True):
                 joined.union(a, b)
+    del bits, g, found, raw
+    if len(rows) > 200:
+        K.trim()
     keep = np.flatnonzero(mine & (links > 0))
     root = [joined.root(int(k)) for k in keep]
     return pd.DataFrame({"node": node[keep], "links": links[keep], "root": node[root]})
@@ -268,7 +271,7 @@ def _tiles(rows: DataFrame, key: str, block: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, copy_of (least doc_id of an equal set), n_links (other documents linked), class_id (least doc_id that links lead to)."""
     docs = docs.select("doc_id", "text")
-    signed = K.checkpoint(docs.mapInArrow(_signed, "doc_id long, h1 long, h2 long, size long, sig binary").where("doc_id is not null"))
+    signed = K.checkpoint(docs.mapInArrow(K.tidy(_signed), "doc_id long, h1 long, h2 long, size long, sig binary").where("doc_id is not null"))
     sets = signed.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     sets = K.checkpoint(sets)
     full = sets.where("size > 0").select("node", "h1", "size", "copies", "sig")
@@ -279,7 +282,7 @@ def jaccard_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     stars = member.where("node != leader").select("node", "leader").distinct()
     slim = full.select("node", "size", "sig").dropDuplicates(["node"])
     other = slim.select(F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("sig").alias("leader_sig"))
-    first = K.checkpoint(stars.join(slim, "node").join(other, "leader").mapInArrow(_likely_edges, "node long, leader long"))
+    first = K.checkpoint(stars.join(slim, "node").join(other, "leader").mapInArrow(K.tidy(_likely_edges), "node long, leader long"))
     group = components(first, "node", "leader")
     # pairs of one bucket that are in different groups
     placed = member.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("leader")

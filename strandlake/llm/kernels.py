@@ -145,6 +145,31 @@ def ranges_concat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out, out=out)
 
 
+def trim() -> None:
+    """Hands memory that is free in this worker back to the system; workers live on for the stages that follow."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """An Arrow map function that trims when its task is over."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 def hot_conf(spark) -> int:
     """Partitions of exchanges: what the session asks for, sized by the cluster to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

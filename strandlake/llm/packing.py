@@ -153,8 +153,9 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW_TOKENS, end_id
         packer.pour()
         if packer.done:
             yield _rows(packer.done, number)
+        encode.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(run), SCHEMA)
 
 
 def packed_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -286,6 +286,8 @@ def _phrases(parts: int):
         for k, a, b in _slices(part, parts):
             text = raw[K.ranges_concat(f[a:b], count[a:b] + LENGTH - 1)]
             rows.append((k, blobs.pack(me, blobs.delta(owner[a:b]), count[a:b].astype(np.uint32), text)))
+        del table, raw, found
+        K.trim()
         return pd.DataFrame(rows, columns=columns)
 
     return run
@@ -329,9 +331,9 @@ def _runs_of_bytes(first: np.ndarray, size: np.ndarray, limit: int = K.WINDOW) -
 
 def removed_mask(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, null: np.ndarray, h: np.ndarray, count: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Bytes that go, from the answers (sorted phrase hashes, their gram counts, the grams' smallest doc_ids)."""
-    mark = np.zeros(len(raw) + 1, np.int64)
+    out = np.zeros(len(raw), dtype=bool)
     if len(h) == 0:
-        return mark[:-1] > 0
+        return out
     at = np.cumsum(count) - count
     for i, j in K.windows(off):
         r = raw[off[i] : off[j]]
@@ -342,11 +344,13 @@ def removed_mask(raw: np.ndarray, off: np.ndarray, ids: np.ndarray, null: np.nda
         place = np.minimum(np.searchsorted(h, mine), len(h) - 1)
         keep = (h[place] == mine) & (count[place] == n) & ~null[i:j][doc]
         f, n, doc, place = f[keep], n[keep], doc[keep], place[keep]
-        grams = K.ranges_concat(f, n) + off[i]
+        grams = K.ranges_concat(f, n)
         gone = grams[values[K.ranges_concat(at[place], n)] < np.repeat(ids[i:j][doc], n)]
+        mark = np.zeros(len(r) + 1, np.int32)
         np.add.at(mark, gone, 1)
         np.add.at(mark, gone + LENGTH, -1)
-    return np.cumsum(mark[:-1]) > 0
+        out[off[i] : off[j]] = np.cumsum(mark[:-1]) > 0
+    return out
 
 
 def _remove(schema: pa.Schema):
@@ -364,17 +368,19 @@ def _remove(schema: pa.Schema):
         begin = np.cumsum(count) - count
         values = values[K.ranges_concat(begin[order], count[order])]
         gone = removed_mask(raw, off, ids, null, h[order], count[order], values)
-        total = np.concatenate([[0], np.cumsum(gone)])
-        lost = total[off[1:]] - total[off[:-1]]
+        total = np.zeros(len(raw) + 1, np.int64 if len(raw) >= 1 << 31 else np.int32)
+        np.cumsum(gone, out=total[1:])
+        kept_off = off - total[off]
+        lost = (total[off[1:]] - total[off[:-1]]).astype(np.int64)
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         inner = off[:-1][off[:-1] < len(raw)]
         edge[inner] = gone[inner]
-        spans = np.concatenate([[0], np.cumsum(edge)])
+        np.cumsum(edge, out=total[1:])
+        spans = (total[off[1:]] - total[off[:-1]]).astype(np.int64)
         kept = raw[~gone].tobytes()
-        kept_off = off - total[off]
         out = {
-            "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(lost), "n_spans": pa.array(spans[off[1:]] - spans[off[:-1]]),
+            "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(lost), "n_spans": pa.array(spans),
             "kept": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(kept_off.astype(np.int64).tobytes()), pa.py_buffer(kept)]).cast(pa.binary()),
         }
         if schema.field("kept").type != pa.binary():
@@ -393,8 +399,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None, as_text
     batches = 2 * parts
     names = [c for c in docs.columns if c not in RESULTS and (keep is None or c in (*keep, "doc_id", "text"))]
     docs = docs.select(*names)
-    packed = docs.mapInArrow(_to_batches(batches), "part int, kind int, data binary")
-    seen = docs.select("doc_id", "text").mapInArrow(_fingerprints(batches, parts), "part int, data binary")
+    packed = docs.mapInArrow(K.tidy(_to_batches(batches)), "part int, kind int, data binary")
+    seen = docs.select("doc_id", "text").mapInArrow(K.tidy(_fingerprints(batches, parts)), "part int, data binary")
     replies = seen.groupBy("part").applyInPandas(_repeated, "part int, kind int, data binary")
     sent = packed.unionByName(replies).groupBy("part").applyInPandas(_phrases(parts), "part int, data binary")
     answers = sent.groupBy("part").applyInPandas(_answers, "part int, kind int, data binary")
@@ -404,7 +410,9 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] | None = None, as_text
     remove = _remove(to_arrow_schema(schema))
 
     def last(table: pa.Table) -> pa.Table:
-        return remove(table.to_pandas())
+        out = remove(table.to_pandas())
+        K.trim()
+        return out
 
     return packed.unionByName(answers).groupBy("part").applyInArrow(last, schema)
 

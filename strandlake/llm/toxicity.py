@@ -87,7 +87,7 @@ def sigmoid(x: float) -> float:
 
 def _trainer(bits: int, epochs: int, params: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels, order = [], [], []
+        parts, ends, labels, order = [], [np.zeros(1, np.int64)], [], []
         for batch in batches:
             raw, off = K.text_buffers(batch.column("text"))
             labels += batch.column("label").to_pylist()
@@ -97,12 +97,15 @@ def _trainer(bits: int, epochs: int, params: dict):
                 doc, idx = features(raw[off[i] : off[j]], o, bits)
                 key = np.unique(doc << bits | idx)
                 cut = np.searchsorted(key, np.arange(j - i + 1) << bits)
-                rows += [(key[a:b] & ((1 << bits) - 1)).astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                parts.append((key & ((1 << bits) - 1)).astype(np.int32))
+                ends.append(cut[1:] + ends[-1][-1])
         model = Ftrl(bits, **params)
-        turn = sorted(range(len(rows)), key=order.__getitem__)
+        turn = sorted(range(len(labels)), key=order.__getitem__)
+        features_, bounds = np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate(ends)
+        del parts, ends
         for _ in range(epochs):
             for k in turn:
-                model.learn(np.append(rows[k], model.size), labels[k])
+                model.learn(np.append(features_[bounds[k] : bounds[k + 1]], model.size), labels[k])
         i, w, bias = model.sparse()
         yield pa.RecordBatch.from_pydict({"idx": pa.array([i.tobytes()], pa.binary()), "w": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
@@ -120,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     share = min(1.0, 1.1 * max_rows / max(1, ranked.count()))  # the limit then gathers a little more than it keeps
     chosen = ranked.where(F.pmod(F.shiftright("rank", 20), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(F.shiftright("rank", 20), F.lit(1 << 30)), "rank", "doc_id").limit(max_rows)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "rank").repartition(1)  # at most max_rows rows are broadcast, and go to one task
-    got = picked.mapInArrow(_trainer(bits, epochs, params), "idx binary, w binary, bias double").collect()
+    got = picked.mapInArrow(K.tidy(_trainer(bits, epochs, params)), "idx binary, w binary, bias double").collect()
     if not got:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
     row = got[0]
@@ -166,7 +169,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], bits:
             raw, off = K.text_buffers(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(raw, off, dense, bias, bits))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(K.tidy(run), schema)
 
 
 def held_out(column="doc_id"):
