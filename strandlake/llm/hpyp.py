@@ -1,8 +1,8 @@
 """Hierarchical Pitman-Yor language model: seating by Gibbs, log10 probabilities of whole texts.
 
 Words are runs of bytes other than ASCII white space, lower-cased (A-Z); each text ends
-with an end token.  A context restaurant serves all places whose previous word
-falls into one of ``CONTEXTS`` hash classes; all context restaurants share
+with an end token.  A context restaurant serves all places with one previous word, so
+restaurants grow with the corpus; all context restaurants share
 their parent, the restaurant without context, whose base is uniform over the V words of the
 training texts and one class for all others.  A predictive probability is
 
@@ -13,16 +13,20 @@ sampler.  Words are told apart by 64-bit hashes.
 
 *Distribution.*  A text's score is a sum over its places, so places meet by word, in packed blobs, and each
 part of words returns sums for each text.  A dish's seating in every context is then
-in one part; what parts must know of each other is bounded:
-totals of the context classes, and of *hot* words (those with a thousandth of all tokens:
+in one part.  Totals of restaurants reach the parts that hold places of theirs by an exchange by context:
+parts ask for their contexts, and a slice of contexts adds up and answers.  What all parts must know is
+of bounded size: sums over all restaurants, and *hot* words (those with a thousandth of all tokens:
 at most ``HOT`` words, spread over all parts by context).
 
-1. A pass counts customers of each class and finds hot words.
-2. Training places meet by word; each part runs its chain (a part sees its
-   share of a restaurant, scaled up) and the sums of tables of each state are added up.
-3. All places meet by word; parts run the same chains again and score with
+1. A pass counts training tokens and finds hot words.
+2. Training places meet by word; parts ask for customers and distinct words of their restaurants and run their
+   chains (a restaurant's tables lie between these two; where, a part estimates from its share); the tables
+   of each state are added up by context.
+3. All places meet by word; parts ask for the totals, run the same chains again and score with
    the exact totals, so each state's probabilities sum to one.
 
+The functions also know restaurants pooled to ``CONTEXTS`` hash classes (``whole`` false); ``score_texts`` doesn't pool.
+
 *Sampler.*  Given the rest, the number of tables that serve a dish with c customers has
 probability proportional to S(c, t) x**t, with generalised Stirling numbers S and
 x = (strength + d t_u) P(w); it is drawn as a block for c up to ``BLOCK_CUSTOMERS``, and above
@@ -35,6 +39,7 @@ no rows; without training rows every word is unknown.  Extra columns are ignored
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
@@ -66,7 +71,7 @@ def held_out_rows(doc_ids: list) -> np.ndarray:
 
 
 def places(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context class, document index) of each token of a window, end tokens included."""
+    """(word, context, document index) of each token of a window, end tokens included."""
     _, _, h, doc = K.word_spans(raw, offsets, K.NOT_SPACE)
     n = len(offsets) - 1
     count = np.bincount(doc, minlength=n)
@@ -76,7 +81,12 @@ def places(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[stop - count + np.arange(n)] = BEGIN
-    return h, (K.mix64(before * np.uint64(0x9FB21C651E98DF25)) % np.uint64(CONTEXTS)).astype(np.uint16 if CONTEXTS <= 1 << 16 else np.uint32), doc
+    return h, K.mix64(before * np.uint64(0x9FB21C651E98DF25)), doc
+
+
+def pooled(u: np.ndarray) -> np.ndarray:
+    """Classes of contexts."""
+    return (u % np.uint64(CONTEXTS)).astype(np.uint16 if CONTEXTS <= 1 << 16 else np.uint32)
 
 
 def _sum_arrays(group: pd.DataFrame) -> pd.DataFrame:
@@ -87,8 +97,8 @@ def _sum_arrays(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": [group["key"].iloc[0]], "data": [blobs.pack(total)]})
 
 
-def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task: customers by class (keys of chunks), the number of training tokens (key -1), frequent words (key -2)."""
+def _census(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of one task: customers by class (keys of chunks; not with whole contexts), the number of training tokens (key -1), frequent words (key -2)."""
     by_class, total = np.zeros(CONTEXTS, np.int64), 0
     words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
@@ -97,7 +107,8 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in K.windows(off):
             w, u, doc = places(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             learn = train[i:j][doc]
-            by_class += np.bincount(u[learn], minlength=CONTEXTS)
+            if not whole:
+                by_class += np.bincount(pooled(u[learn]), minlength=CONTEXTS)
             total += int(learn.sum())
             slot = (w >> np.uint64(48)).astype(np.int64)  # words of well-filled slots alone are counted
             full = np.bincount(slot, minlength=1 << 16)[slot] >= max(8, len(w) // (4 * HOT))
@@ -108,12 +119,16 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep = np.sort(np.argsort(-n, kind="stable")[: 4 * HOT])
                 v, n = v[keep], n[keep]
             words, counts = v, n
-    rows = [(k, blobs.pack(by_class[k * CHUNK : (k + 1) * CHUNK])) for k in range(-(-CONTEXTS // CHUNK))]
+    rows = [(k, blobs.pack(by_class[k * CHUNK : (k + 1) * CHUNK])) for k in range(0 if whole else -(-CONTEXTS // CHUNK))]
     rows += [(-1, blobs.pack(np.array([total])))]
     rows += [(-2, blobs.pack(words, counts))]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "data"])
 
 
+def _census_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _census(batches, True)
+
+
 def _most_frequent(total: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Sums arrays of a key; of frequent words, keeps those with half a thousandth of all that were counted."""
@@ -137,8 +152,8 @@ def _hot_part(words: np.ndarray, u: np.ndarray, parts: int) -> np.ndarray:
     return (K.mix64(words + u.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(parts)).astype(np.int64)
 
 
-def _exchange(parts: int, hot: np.ndarray, scoring: bool):
-    """Places by part. A blob has: words, their run lengths, classes, and for scoring document indices and training marks; hot words are indices into ``hot``."""
+def _exchange(parts: int, hot: np.ndarray, scoring: bool, whole: bool = False):
+    """Places by part. A blob has: words, their run lengths, classes (of whole contexts, indices and the contexts), and for scoring document indices and training marks; hot words are indices into ``hot``."""
 
     def flush(got: list, source: int, docs: list) -> pa.RecordBatch:
         w, u, doc = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -162,7 +177,13 @@ def _exchange(parts: int, hot: np.ndarray, scoring: bool):
             if len(c) + len(h) == 0 and not (scoring and k == source % parts):
                 continue
             begin = K.runs(w[c])
-            body = [blobs.delta(w[c][begin]), np.diff(np.append(begin, len(c))).astype(np.uint32), np.concatenate([u[c], u[h]]), place[h].astype(np.uint16)]
+            mine = np.concatenate([u[c], u[h]])
+            if whole:
+                contexts, mine = np.unique(mine, return_inverse=True)
+                mine = mine.astype(np.uint16 if len(contexts) <= 1 << 16 else np.uint32)
+            body = [blobs.delta(w[c][begin]), np.diff(np.append(begin, len(c))).astype(np.uint32), mine if whole else pooled(mine), place[h].astype(np.uint16)]
+            if whole:
+                body.append(blobs.delta(contexts))
             if scoring:
                 body += [np.concatenate([doc[c], doc[h]]).astype(np.uint32), train]
                 if k == source % parts:
@@ -240,9 +261,12 @@ def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator
 
 
 class Seats:
-    """The chain of one part over its distinct (word, class) pairs; hot words count as ``1 / parts`` of themselves."""
+    """The chain of one part over its distinct (word, class) pairs; hot words count as ``1 / parts`` of themselves.
 
-    def __init__(self, word: np.ndarray, u: np.ndarray, c: np.ndarray, n_words: int, hot_words: int, by_class: np.ndarray, parts: int, seed: int):
+    ``kinds``, if given, are the distinct words of each class over all parts, as ``by_class`` are the customers.
+    """
+
+    def __init__(self, word: np.ndarray, u: np.ndarray, c: np.ndarray, n_words: int, hot_words: int, by_class: np.ndarray, parts: int, seed: int, kinds: np.ndarray | None = None):
         self.word, self.u, self.c, self.n_words, self.parts = word, u, c, n_words, parts
         self.share = np.ones(n_words)  # how many times a word's local counts make its counts
         self.share[:hot_words] = parts
@@ -252,6 +276,16 @@ class Seats:
         self.t = np.minimum(c, 1)
         self.several = np.flatnonzero(c > 1)
         self.root_tables = np.minimum(self.known, 1)
+        self.kinds = kinds
+        self.own_kinds = np.bincount(u, minlength=len(by_class))
+        self.own_more = np.bincount(u, weights=c, minlength=len(by_class)) - self.own_kinds
+
+    def tables_of_classes(self) -> np.ndarray:
+        """Tables of each class over all parts, estimated from those of this part."""
+        own = np.bincount(self.u, weights=self.t, minlength=len(self.by_class))
+        if self.kinds is None:
+            return np.minimum(own * self.parts, self.by_class)
+        return self.kinds + (self.by_class - self.kinds) * ((own - self.own_kinds) / np.maximum(self.own_more, 1))
 
     def sweep(self) -> None:
         cold = max(1, int((self.known[self.hot_words :] > 0).sum())) * self.parts
@@ -261,7 +295,7 @@ class Seats:
         base = 1.0 / (cold + 1)
         new = ROOT_STRENGTH + ROOT_DISCOUNT * root_t
         p = np.maximum(customers * self.share - ROOT_DISCOUNT * self.root_tables + new * base, 1e-12) / (ROOT_STRENGTH + root_c)
-        t_u = np.minimum(np.bincount(self.u, weights=self.t, minlength=CONTEXTS) * self.parts, self.by_class)
+        t_u = self.tables_of_classes()
         at = self.several
         self.t[at] = draw_tables(self.c[at], (STRENGTH + DISCOUNT * t_u[self.u[at]]) * p[self.word[at]], DISCOUNT, self.rng)
         customers = np.bincount(self.word, weights=self.t, minlength=self.n_words).astype(np.int64)
@@ -277,13 +311,17 @@ class Seats:
             yield self.t, self.customers, self.root_tables
 
 
-def _gather(group: pd.DataFrame, n_hot: int, scoring: bool):
-    """Entries of a part: (words of the part that aren't hot, dense word numbers with hot ones first, classes, document indices, training marks by entry, sources)."""
+def _gather(group: pd.DataFrame, n_hot: int, scoring: bool, whole: bool = False):
+    """Entries of a part: (words of the part that aren't hot, dense word numbers with hot ones first, classes, document indices, training marks by entry, sources, ..., contexts of the classes)."""
     group = group.sort_values("source")
     words, classes, docs, train, source, size = [], [], [], [], [], []
-    extra = []
+    extra, lists, listed = [], [], 0
     for src, data in zip(group["source"], group["data"], strict=True):
         b = blobs.unpack(data)
+        if whole:
+            lists.append(blobs.undelta(b.pop(4)))
+            b[2] = b[2].astype(np.int64) + listed
+            listed += len(lists[-1])
         w = np.repeat(blobs.undelta(b[0]), b[1])
         words.append((w, b[3].astype(np.int64)))
         classes.append(b[2].astype(np.int64))
@@ -298,12 +336,17 @@ def _gather(group: pd.DataFrame, n_hot: int, scoring: bool):
     for w, h in words:
         number += [inverse[at : at + len(w)] + n_hot, h]
         at += len(w)
-    return cold, np.concatenate(number), np.concatenate(classes), docs, train, source, size, extra
+    contexts, u = None, np.concatenate(classes)
+    if whole:
+        contexts, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+        u = inverse[u]
+    return cold, np.concatenate(number), u, docs, train, source, size, extra, contexts
 
 
-def _pairs(number: np.ndarray, u: np.ndarray, weight: np.ndarray | None):
+def _pairs(number: np.ndarray, u: np.ndarray, weight: np.ndarray | None, contexts: int = CONTEXTS):
     """Distinct (word, class) pairs in order: (word, class, count, pair of each entry)."""
-    key = number * CONTEXTS + u
+    contexts = max(1, contexts)
+    key = number * contexts + u
     order = np.argsort(key, kind="stable")
     sorted_ = key[order]
     begin = K.runs(sorted_)
@@ -311,7 +354,55 @@ def _pairs(number: np.ndarray, u: np.ndarray, weight: np.ndarray | None):
     pair = np.empty(len(key), np.int64)
     pair[order] = np.repeat(np.arange(len(begin)), size)
     count = size if weight is None else np.add.reduceat(weight[order].astype(np.int64), begin) if len(begin) else size
-    return sorted_[begin] // CONTEXTS, sorted_[begin] % CONTEXTS, count, pair
+    return sorted_[begin] // contexts, sorted_[begin] % contexts, count, pair
+
+
+def _by_slice(parts: int, contexts: np.ndarray, columns: list[np.ndarray], part: int) -> list[tuple]:
+    """Rows (key, part, data) of contexts in order and numbers of theirs, for each slice of contexts."""
+    cut = np.searchsorted(_part_of(contexts, parts), np.arange(parts + 1))
+    return [(k, part, blobs.pack(blobs.delta(contexts[a:b]), *(x[a:b] for x in columns))) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+
+
+def _ask(parts: int, hot: np.ndarray, scoring: bool):
+    """Of one part: its contexts by slice; of training places with their customers and distinct words there."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iloc[0])
+        if scoring:
+            contexts, columns = np.unique(np.concatenate([blobs.undelta(blobs.unpack(x)[4]) for x in group["data"]])), []
+        else:
+            _, number, u, *_, contexts = _gather(group, len(hot), False, True)
+            _, u, c, _ = _pairs(number, u, None, len(contexts))
+            columns = [np.bincount(u, weights=c, minlength=len(contexts)).astype(np.int64), np.bincount(u, minlength=len(contexts))]
+        return pd.DataFrame(_by_slice(parts, contexts, columns, part), columns=["key", "part", "data"])
+
+    return run
+
+
+def _answer(width: int):
+    """Of one slice of contexts: the sums of ``width`` numbers of each context, for each part that asks (no part asks as -1)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        got = [(int(p), blobs.unpack(x)) for p, x in zip(group["part"], group["data"], strict=True)]
+        lists = [blobs.undelta(b[0]) for _, b in got]
+        contexts = np.unique(np.concatenate(lists))
+        total = np.zeros((width, len(contexts)), np.int64)
+        for (_, b), mine in zip(got, lists, strict=True):
+            if len(b) > 1:
+                total[:, np.searchsorted(contexts, mine)] += np.stack(b[1:])
+        rows = [(p, blobs.pack(b[0], *total[:, np.searchsorted(contexts, mine)])) for (p, b), mine in zip(got, lists, strict=True) if p >= 0]
+        return pd.DataFrame(rows, columns=["part", "data"])
+
+    return run
+
+
+def _received(answers: pd.DataFrame, contexts: np.ndarray, width: int) -> np.ndarray:
+    """(width, contexts) numbers of the contexts of a part."""
+    out = np.zeros((width, len(contexts)), np.int64)
+    for x in answers["data"]:
+        b = blobs.unpack(x)
+        out[:, np.searchsorted(contexts, blobs.undelta(b[0]))] = np.stack(b[1:])
+    return out
 
 
 def _totals(parts: int, hot: np.ndarray, by_class: np.ndarray):
@@ -334,8 +425,29 @@ def _totals(parts: int, hot: np.ndarray, by_class: np.ndarray):
     return run
 
 
+def _totals_whole(parts: int, hot: np.ndarray):
+    """Of one part: sums over each state as in ``_totals``; by slices of contexts customers, distinct words and tables of each state."""
+
+    def run(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iloc[0])
+        cold, number, u, *_, contexts = _gather(group, len(hot), False, True)
+        word, u, c, _ = _pairs(number, u, None, len(contexts))
+        customers_of, kinds = _received(answers, contexts, 2)
+        seats = Seats(word, u, c, len(hot) + len(cold), len(hot), customers_of, parts, part, kinds)
+        sums, warm = [float(len(cold))], [seats.known[: len(hot)]]
+        columns = [seats.own_more.astype(np.int64) + seats.own_kinds, seats.own_kinds]
+        for t, customers, root in seats.states():
+            sums += [float(customers[len(hot) :].sum()), float(root[len(hot) :].sum())]
+            warm.append(customers[: len(hot)].astype(float))
+            columns.append(np.bincount(u, weights=t, minlength=len(contexts)).astype(np.int64))
+        rows = [(-1, -1, blobs.pack(np.array(sums))), (-3, -1, blobs.pack(np.concatenate(warm)))]
+        return pd.DataFrame(rows + _by_slice(parts, contexts, columns, -1), columns=["key", "part", "data"])
+
+    return run
+
+
 class Model:
-    """What all parts must know; its size depends on CONTEXTS, SAMPLES and HOT alone."""
+    """What all parts must know; its size depends on SAMPLES and HOT, and on the classes of ``by_class``, of which the query has none here: ``of`` adds those of a part."""
 
     def __init__(self, hot: np.ndarray, by_class: np.ndarray, tokens: int, totals: dict[int, np.ndarray], seed: int = 11):
         self.hot, self.by_class, self.tokens = hot, by_class.astype(np.float64), tokens
@@ -354,8 +466,14 @@ class Model:
             self.hot_tables.append(t)
             self.root_c.append(sums[1 + 2 * s] + c.sum())
             self.root_t.append(sums[2 + 2 * s] + t.sum())
-        chunks = [totals.get(k, np.zeros(SAMPLES * len(by_class[k * CHUNK : (k + 1) * CHUNK]), np.int64)).reshape(SAMPLES, -1) for k in range(-(-CONTEXTS // CHUNK))]
-        self.tables = np.concatenate(chunks, axis=1).astype(np.float64)
+        chunks = [totals.get(k, np.zeros(SAMPLES * len(by_class[k * CHUNK : (k + 1) * CHUNK]), np.int64)).reshape(SAMPLES, -1) for k in range(-(-len(by_class) // CHUNK))]
+        self.tables = np.concatenate([np.zeros((SAMPLES, 0)), *chunks], axis=1).astype(np.float64)
+
+    def of(self, by_class: np.ndarray, tables: np.ndarray) -> Model:
+        """This model with customers and, by state, tables of the restaurants of a part."""
+        out = copy.copy(self)
+        out.by_class, out.tables = by_class.astype(np.float64), tables.astype(np.float64)
+        return out
 
     def root(self, s: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """P(w) of words by their root customers and tables in state s."""
@@ -370,17 +488,18 @@ class Model:
 def _score(parts: int, sent):
     """Of one part: for each source, sums over its documents of log10(c + 0.5), log10 P and known tokens."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        model: Model = sent.value
-        n_hot = len(model.hot)
-        cold, number, u, docs, train, source, size, extra = _gather(group, n_hot, True)
-        word, u, c, pair = _pairs(number, u, np.concatenate(train))
+    def run(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        n_hot = len(sent.value.hot)
+        cold, number, u, docs, train, source, size, extra, contexts = _gather(group, n_hot, True, True)
+        word, u, c, pair = _pairs(number, u, np.concatenate(train), len(contexts))
+        customers_of, kinds, *tables_of = _received(answers, contexts, 2 + SAMPLES)
+        model: Model = sent.value.of(customers_of, np.stack(tables_of))
         seen = np.flatnonzero(c > 0)
         trained = np.unique(word[seen][word[seen] >= n_hot])  # the words that the chain of the training places has, in the same order
         chain = np.full(n_hot + len(cold), -1, np.int64)
         chain[:n_hot] = np.arange(n_hot)
         chain[trained] = n_hot + np.arange(len(trained))
-        seats = Seats(chain[word[seen]], u[seen], c[seen], n_hot + len(trained), n_hot, model.by_class, parts, int(group["part"].iloc[0]))
+        seats = Seats(chain[word[seen]], u[seen], c[seen], n_hot + len(trained), n_hot, customers_of, parts, int(group["part"].iloc[0]), kinds)
         known = np.bincount(word, weights=c, minlength=n_hot + len(cold))
         known[:n_hot] = model.hot_counts
         total = np.zeros(len(word))
@@ -437,17 +556,20 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     parts = K.hot_conf(spark)
-    census = _collected(docs.mapInArrow(_census, "key int, data binary").groupBy("key").applyInPandas(_most_frequent(4 * HOT), "key int, data binary").collect())
+    census = _collected(docs.mapInArrow(_census_whole, "key int, data binary").groupBy("key").applyInPandas(_most_frequent(4 * HOT), "key int, data binary").collect())
     tokens = int(census[-1][0][0]) if -1 in census else 0
-    chunks = range(-(-CONTEXTS // CHUNK))
-    by_class = np.concatenate([census[k][0] if k in census else np.zeros(CHUNK, np.int64) for k in chunks])
     frequent = census.get(-2, [np.zeros(0, np.uint64), np.zeros(0, np.int64)])
     hot = np.sort(frequent[0][frequent[1] * HOT >= tokens]) if tokens else np.zeros(0, np.uint64)
     hot = hot[: 4 * HOT]
-    seen = docs.mapInArrow(_exchange(parts, hot, False), "part int, source long, data binary").drop("source")
-    summed = seen.selectExpr("part", "0L AS source", "data").groupBy("part").applyInPandas(_totals(parts, hot, by_class), "key int, data binary")
-    totals = {k: v[0] for k, v in _collected(summed.groupBy("key").applyInPandas(_sum_arrays, "key int, data binary").collect()).items()}
-    model = Model(hot, by_class, tokens, totals)
+    asked, answered = "key int, part int, data binary", "part int, data binary"
+    seen = docs.mapInArrow(_exchange(parts, hot, False, True), "part int, source long, data binary")
+    told = seen.groupBy("part").applyInPandas(_ask(parts, hot, False), asked).groupBy("key").applyInPandas(_answer(2), answered)
+    summed = K.checkpoint(seen.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_totals_whole(parts, hot), asked))
+    totals = {k: v[0] for k, v in _collected(summed.where("key < 0").select("key", "data").groupBy("key").applyInPandas(_sum_arrays, "key int, data binary").collect()).items()}
+    model = Model(hot, np.zeros(0), tokens, totals)
     sent = spark.sparkContext.broadcast(model)
-    scored = docs.mapInArrow(_exchange(parts, hot, True), "part int, source long, data binary").groupBy("part").applyInPandas(_score(parts, sent), "source long, data binary")
+    placed = docs.mapInArrow(_exchange(parts, hot, True, True), "part int, source long, data binary")
+    asks = placed.groupBy("part").applyInPandas(_ask(parts, hot, True), asked)
+    told = asks.unionByName(summed.where("key >= 0")).groupBy("key").applyInPandas(_answer(2 + SAMPLES), answered)
+    scored = placed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_score(parts, sent), "source long, data binary")
     return scored.groupBy("source").applyInPandas(_finish(tokens, model.words), SCHEMA)

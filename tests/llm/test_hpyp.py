@@ -106,3 +106,44 @@ def test_table_counts_follow_the_seating_distribution():
     t = H.draw_tables(np.full(40_000, n), np.full(40_000, x), d, rng)
     weight = np.exp(H._LOG_S[d][n, 1 : n + 1] + np.log(x) * np.arange(1, n + 1))
     assert np.abs(np.bincount(t, minlength=n + 1)[1:] / 40_000 - weight / weight.sum()).max() < 0.01
+
+
+def test_restaurants_grow_with_the_previous_words(spark):
+    """More distinct previous words than CONTEXTS: each keeps a restaurant of its own, customers and tables added up over parts."""
+    n = H.CONTEXTS + 5000
+    words = [f"p{k}" for k in range(n)]
+    text = pa.array([" ".join(words[k : k + 500]) for k in range(0, n, 500)])
+    raw, off = H.K.text_buffers(text)
+    _, u, _ = H.places(raw, off)
+    assert len(np.unique(u)) == n + 1  # and the start
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([2] * len(text)), "text": text})  # 2 is a training row
+    parts, hot = 3, np.sort(np.array([H.END], np.uint64))
+    seen = pd.concat([b.to_pandas() for b in H._exchange(parts, hot, False, True)(iter([batch]))])
+    asks = pd.concat([H._ask(parts, hot, False)(g) for _, g in seen.groupby("part")])
+    answers = pd.concat([H._answer(2)(g) for _, g in asks.groupby("key")])
+    customers = {}
+    for p, g in seen.groupby("part"):
+        cold, number, u, *_, contexts = H._gather(g, 1, False, True)
+        got = H._received(answers[answers["part"] == p], contexts, 2)
+        for x, c, kinds in zip(contexts.tolist(), *got.tolist(), strict=True):
+            assert customers.setdefault(x, (c, kinds)) == (c, kinds)
+    assert len(customers) == n + 1
+    assert sorted(customers.values())[-1] == (len(text), len(text))
+    assert sum(c for c, _ in customers.values()) == n + len(text)
+
+
+def test_two_contexts_of_one_class_are_told_apart(spark):
+    """Two previous words of one hash class, one always before x and one always before y."""
+    first = {}
+    for k in range(5000):
+        raw = np.frombuffer(f"q{k}".encode() + b" x", np.uint8)
+        c = int(H.pooled(H.places(raw, np.array([0, len(raw)]))[1])[1])
+        if c in first:
+            a, b = first[c], f"q{k}"
+            break
+        first[c] = f"q{k}"
+    train = [d for d in range(400) if zlib.crc32(str(d).encode()) % 5 != 1]
+    held = [d for d in range(400, 500) if zlib.crc32(str(d).encode()) % 5 == 1][:2]
+    docs = [(d, f"{a} x" if d % 2 else f"{b} y") for d in train] + [(held[0], f"{a} x"), (held[1], f"{a} y")]
+    score = {r.doc_id: r.score for r in H.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert score[held[0]] > score[held[1]] + 0.3
