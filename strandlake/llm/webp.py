@@ -3,11 +3,13 @@
 The decoder reads prefix codes (simple and normal, with meta codes), literals,
 back-references and colour cache, and inverts the predictor, cross-colour,
 subtract-green and palette transforms.  Images whose three colour codes are equal and
-hold literals alone, as ``store_texts`` writes them, take a quicker way
+hold literals alone, as ``TextCode`` writes them, take a quicker way
 through a table that gives several symbols a step.
 
 ``media_columns`` stores UTF-8 texts as RGB images of 64 pixels a row (tiles of at most
-16384 rows, one file after another), reads them back and computes features.
+16384 rows, one file after another), reads them back and computes features.  Tiles whose content
+repeats (see ``store``) have back-references and a colour cache or a palette, where that is shorter; others are literals
+of a fixed code.
 
 Nulls and empties: a null text is empty; an empty text is one row of blanks.  Equal texts
 give equal media.  A null doc_id stays null; extra columns are ignored.
@@ -40,6 +42,7 @@ NEAR = [
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 SIGNATURE = 0x2F
+FARTHEST = (1 << 20) - 120
 
 
 class BitReader:
@@ -67,14 +70,24 @@ class BitReader:
 
 class BitWriter:
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.done, self.held, self.left, self.n = bytearray(), 0, 0, 0
 
     def write(self, x: int, n: int) -> None:
-        self.value |= x << self.n
+        self.held |= x << self.left
+        self.left += n
         self.n += n
+        if self.left >= 1024:
+            whole = self.left >> 3
+            self.done += (self.held & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+            self.held >>= 8 * whole
+            self.left -= 8 * whole
+
+    @property
+    def value(self) -> int:
+        return int.from_bytes(self.bytes(), "little")
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.n + 7) // 8, "little")
+        return bytes(self.done) + self.held.to_bytes((self.left + 7) // 8, "little")
 
 
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
@@ -174,6 +187,18 @@ def _value(code: int, r: BitReader) -> int:
     return ((2 + (code & 1)) << extra) + r.read(extra) + 1
 
 
+_near: dict[int, dict[int, int]] = {}
+
+
+def _near_codes(width: int) -> dict[int, int]:
+    """The first code of each distance that has a short one in images of a width."""
+    if width not in _near:
+        if len(_near) > 64:
+            _near.clear()
+        _near[width] = {_distance(c, width): c for c in range(120, 0, -1)}
+    return _near[width]
+
+
 def _distance(code: int, width: int) -> int:
     if code > 120:
         return code - 120
@@ -215,8 +240,8 @@ def read_image(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
             back = _distance(_value(group[4].next(r), r), width)
             if back > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
-            for k in range(at, at + n):
-                out.append(out[k - back])
+            piece = out[at - back : at - back + n]
+            out += piece if len(piece) == n else (piece * _div(n, back))[:n]
         else:
             for x in out[cached:]:
                 cache[(CACHE_FACTOR * x & 0xFFFFFFFF) >> shift] = x
@@ -497,19 +522,19 @@ def write_image(w: BitWriter, argb: list[int], width: int, top: bool, cache_bits
         w.write(cache_bits, 4)
     if top:
         w.write(0, 1)
-    cache, tokens, at, seen = [0] * (1 << cache_bits), [], 0, {}
+    cache, tokens, at, seen, codes_near = [0] * (1 << cache_bits), [], 0, {}, _near_codes(width)
     while at < len(argb):
         n = 0
         if references and at + 3 <= len(argb):
             before = seen.get(tuple(argb[at : at + 3]))
-            if before is not None:
+            if before is not None and at - before <= FARTHEST:
                 while at + n < len(argb) and n < 4096 and argb[before + n] == argb[at + n]:
                     n += 1
         for k in range(at, at + max(1, n)):
             seen[tuple(argb[k : k + 3])] = k
         if n >= 3:
             back = at - before
-            near = next((c for c in range(1, 121) if _distance(c, width) == back), back + 120)
+            near = codes_near.get(back, back + 120)
             tokens.append((256 + _prefix(n)[0], _prefix(n), _prefix(near)))
         else:
             n = 1
@@ -610,6 +635,7 @@ def encode(image: np.ndarray, transforms=(), cache_bits: int = 0, references: bo
 ROW = 64
 MAX_ROWS = 16384
 UNIT = 3 * ROW
+REPEATS = 0.125
 #: Bytes from frequent to rare, by which the code of texts is made.
 _FREQUENT = b" eatinhrosdlcumgfpwybv,.\nkEATINSHRD-|'xjqzLCUMGFPWYBVKXJQZ0123456789\xc3:;!?()\"/#$%&*+=@_<>[]{}\t"
 
@@ -672,6 +698,31 @@ class TextCode:
         return _file(out[: (total + 7) // 8].tobytes())
 
 
+def store(payload: np.ndarray, code: TextCode) -> bytes:
+    """Files of a payload of whole rows, one for each tile: the shortest of literals and what its content calls for.
+
+    A tile in which a share of ``REPEATS`` of the runs of three pixels occurred before is tried with a colour cache as
+    wide as its colours and, of at most 256 colours, with a palette, both with back-references.
+    """
+    out, step = [], UNIT * MAX_ROWS
+    for a in range(0, len(payload), step):
+        tile = payload[a : a + step]
+        rgb = tile.reshape(-1, 3).astype(np.uint64)
+        pixel = rgb[:, 0] << np.uint64(16) | rgb[:, 1] << np.uint64(8) | rgb[:, 2]
+        runs = K.mix64(K.mix64(pixel[:-2] << np.uint64(24) | pixel[1:-1]) + pixel[2:])
+        repeated = len(runs) - len(np.unique(runs))
+        choices = [code.encode(tile)]
+        if repeated >= REPEATS * len(runs):
+            image = np.full((len(tile) // UNIT, ROW, 4), 255, np.uint8)
+            image[..., 1:] = tile.reshape(-1, ROW, 3)
+            colours = len(np.unique(pixel))
+            choices.append(encode(image, (), min(10, max(1, (colours - 1).bit_length())), True))
+            if colours <= 256:
+                choices.append(encode(image, [("palette",)], 0, True))
+        out.append(min(choices, key=len))
+    return b"".join(out)
+
+
 def read_payload(media: bytes) -> np.ndarray:
     """RGB samples of all tiles of a media value, in order."""
     out, at = [], 0
@@ -711,7 +762,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
                     data = raw[off[k] : off[k + 1]]
                     whole = np.full(max(1, _div(len(data), UNIT)) * UNIT, 32, np.uint8)
                     whole[: len(data)] = data
-                    media.append(code.encode(whole))
+                    media.append(store(whole, code))
                     back = read_payload(media[-1])
                     payload.append(back.tobytes())
                     features.append(feature(back))

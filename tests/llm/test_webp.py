@@ -65,3 +65,28 @@ def test_tiles(monkeypatch):
     media = W.TextCode().encode(data)
     assert media.count(b"RIFF") >= 4
     assert hashlib.sha256(W.read_payload(media)).digest() == hashlib.sha256(data).digest()
+
+
+def test_repeating_texts_use_the_features(spark, monkeypatch):
+    """Texts that repeat are shorter than literals and take the general loop; others stay literals."""
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefghij klmnop") for _ in range(1200))
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(4000))
+    texts = [passage * 4, "ab" * 9000, "=" * 30_000, noise]
+    literal = W.TextCode()
+    media = {r.doc_id: bytes(r.media) for r in W.media_columns(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    quick = []
+    plain = W._literals
+    monkeypatch.setattr(W, "_literals", lambda *a: quick.append(plain(*a)) or quick[-1])
+    for k, text in enumerate(texts):
+        data = text.encode()
+        whole = np.frombuffer(data.ljust(-(-len(data) // 192) * 192), np.uint8)
+        size = len(literal.encode(whole))
+        quick.clear()
+        assert W.read_payload(media[k]).tobytes() == whole.tobytes()
+        if k < 3:
+            assert len(media[k]) < 0.6 * size
+            assert all(x is None for x in quick)
+        else:
+            assert media[k] == literal.encode(whole)
+            assert quick[0] is not None
