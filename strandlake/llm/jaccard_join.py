@@ -5,7 +5,7 @@ hashes of all runs of ``WORDS`` words (all words, where there are fewer).  Two
 texts are linked if the Jaccard similarity of their sets is ``THRESHOLD`` or more.
 
 1. Each text gets 128 MinHash values of 16 bits.  Texts of equal sets are
-   one *node* from here on (the least doc_id stands for them).
+   one *node* from here on, named by the number of one of their rows.
 2. Nodes that agree in one of 32 bands of four values are candidates: a pair at the threshold is
    missed with probability (1 - 0.8**4)**32 < 1e-7.  In each band bucket every
    node is compared with the least one, as BayesLSH does: values are compared
@@ -18,15 +18,16 @@ texts are linked if the Jaccard similarity of their sets is ``THRESHOLD`` or mor
    tile compares all its pairs as in 2 and verifies the rest exactly on the sets
    of the whole texts.  It returns a row a node with a count of links and the
    least node that the tile links it with, never a row a pair.
-4. Links of tiles join to classes.
+4. Links of tiles, and of nodes that stand under one doc_id, join to classes; a class
+   is named by its least doc_id.
 
 No task holds more than two blocks of nodes; a group of n nodes makes n/BLOCK
 copies of its texts, which is what counting all its links takes.
 
 Nulls and empties: a null text counts as empty; texts without words are equal to one
 another and to nothing else.  A row with a null doc_id gets a null class and no
-links.  Rows of one doc_id are one document in classes and are
-counted each in links.  An empty table gives no rows.
+links.  Rows of one doc_id are one document in classes, whether or not their texts are equal, and are
+counted each in links.  An empty table gives no rows.  A very long text is one row of a tile.
 Extra columns are ignored.
 """
 
@@ -223,8 +224,9 @@ def _verify(rows: pd.DataFrame) -> pd.DataFrame:
     g = np.concatenate([x for x, _ in found])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     sig, sets, size = signatures(g, bounds)
-    # a doc_id that stands in several rows: only the text of this node counts
-    mine = (sets[:, 0].view(np.int64) == rows["h1"].to_numpy()) & ~rows.duplicated(["node", "h1"]).to_numpy()
+    # a doc_id that stands in several rows: only the text of this node counts, once
+    mine = (sets[:, 0].view(np.int64) == rows["h1"].to_numpy()) & (sets[:, 1].view(np.int64) == rows["h2"].to_numpy())
+    mine &= ~rows["node"].where(mine, -1 - np.arange(len(rows))).duplicated().to_numpy()
     node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
     block = np.where(mine, rows["block"].to_numpy(), -1)
     ids, place, held = np.unique(g, return_inverse=True, return_counts=True)
@@ -271,16 +273,17 @@ def _tiles(rows: DataFrame, key: str, block: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, copy_of (least doc_id of an equal set), n_links (other documents linked), class_id (least doc_id that links lead to)."""
     docs = docs.select("doc_id", "text")
-    signed = K.checkpoint(docs.mapInArrow(K.tidy(_signed), "doc_id long, h1 long, h2 long, size long, sig binary").where("doc_id is not null"))
-    sets = signed.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    signed = docs.mapInArrow(K.tidy(_signed), "doc_id long, h1 long, h2 long, size long, sig binary").where("doc_id is not null")
+    signed = K.checkpoint(signed.withColumn("row", F.monotonically_increasing_id()))
+    sets = signed.groupBy("h1", "h2", "size").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     sets = K.checkpoint(sets)
-    full = sets.where("size > 0").select("node", "h1", "size", "copies", "sig")
+    full = sets.where("size > 0").select("node", "h1", "h2", "doc", "size", "copies", "sig")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("sig"), b * (2 * ROWS) + 1, F.lit(2 * ROWS)), b))
     rows = full.select(F.explode(bands).alias("bucket"), "node")
     least = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
     member = K.checkpoint(rows.join(least, "bucket"))
     stars = member.where("node != leader").select("node", "leader").distinct()
-    slim = full.select("node", "size", "sig").dropDuplicates(["node"])
+    slim = full.select("node", "size", "sig")
     other = slim.select(F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("sig").alias("leader_sig"))
     first = K.checkpoint(stars.join(slim, "node").join(other, "leader").mapInArrow(K.tidy(_likely_edges), "node long, leader long"))
     group = components(first, "node", "leader")
@@ -291,14 +294,20 @@ def jaccard_classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     more = open_.groupBy("bucket", "i", "j").applyInPandas(_bucket_links, "node long, leader long").distinct()
     candidate = K.checkpoint(components(first.union(more), "node", "leader"))
     # exact verification
-    tiles = _tiles(candidate, "component", block).join(full.select("node", "h1", "copies"), "node")
-    tiles = tiles.join(docs.withColumnRenamed("doc_id", "node"), "node")
+    tiles = _tiles(candidate, "component", block).join(full.select("node", "h1", "h2", "doc", "copies"), "node")
+    tiles = tiles.join(docs.withColumnRenamed("doc_id", "doc"), "doc").drop("doc")
     linked = K.checkpoint(tiles.groupBy("component", "i", "j").applyInPandas(_verify, "node long, links long, root long"))
-    classes = components(linked, "node", "root").withColumnRenamed("component", "class_id")
-    counted = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = sets.select("h1", "h2", "size", "node", "copies").join(counted, "node", "left").join(classes, "node", "left")
+    # texts under one doc_id are one document of a class
     ids = signed.select("doc_id", "h1", "h2", "size")
-    found = ids.join(nodes, ["h1", "h2", "size"]).select("doc_id", F.col("node").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("class_id", "node").alias("class_id"))
+    again = ids.groupBy("doc_id").agg(F.count_distinct("h1", "h2", "size").alias("texts")).where("texts > 1").select("doc_id")
+    held = ids.join(again, "doc_id", "left_semi").join(sets.select("h1", "h2", "size", "node"), ["h1", "h2", "size"]).select("doc_id", "node").distinct()
+    shared = held.join(held.groupBy("doc_id").agg(F.min("node").alias("root")), "doc_id").select("node", "root")
+    together = K.checkpoint(components(linked.select("node", "root").union(shared), "node", "root"))
+    named = together.join(sets.select("node", "doc"), "node")
+    classes = named.join(named.groupBy("component").agg(F.min("doc").alias("class_id")), "component").select("node", "class_id")
+    counted = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    nodes = sets.select("h1", "h2", "size", "node", "doc", "copies").join(counted, "node", "left").join(classes, "node", "left")
+    found = ids.join(nodes, ["h1", "h2", "size"]).select("doc_id", F.col("doc").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("class_id", "doc").alias("class_id"))
     return found.union(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long")))
 
 

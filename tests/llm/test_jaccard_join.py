@@ -68,6 +68,27 @@ def test_tiles(spark):
     assert run(spark, docs, block=7) == brute(docs)
 
 
+def test_one_doc_id_with_several_texts(spark):
+    """Rows of one doc_id are one document: their texts' links all count, and their classes are one."""
+    rng = random.Random(9)
+    a, b, c = ([rng.choice("abcdefghijklmnop") + str(rng.randint(0, 99)) for _ in range(80)] for _ in range(3))
+
+    def near(w, k):
+        return " ".join([*w[:k], "other", *w[k + 1 :]])
+
+    docs = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 3)), (5, near(a, 70)), (3, near(b, 5)), (4, near(b, 60)), (6, " ".join(c)), (7, " ".join(c)), (7, " ".join(c)), (8, None)]
+    expected = [(1, 1, 2, 1), (1, 1, 2, 1), (2, 2, 1, 1), (5, 5, 1, 1), (3, 3, 1, 1), (4, 4, 1, 1), (6, 6, 2, 6), (7, 6, 2, 6), (7, 6, 2, 6), (8, 8, 0, 8)]
+    for shift in range(3):
+        assert run(spark, docs[shift:] + docs[:shift]) == sorted(expected)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(10)
+    w = [str(rng.randint(0, 9999)) for _ in range(60_000)]
+    docs = [(1, " ".join(w)), (2, " ".join(w[:59_000])), (3, " ".join(w[30_000:]))]
+    assert run(spark, docs) == [(1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 0, 3)]
+
+
 def test_null_ids_and_empty_table(spark):
     rows = J.jaccard_classes(spark.createDataFrame([(None, "a b"), (1, "a b"), (2, "a b")], "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_links, r.class_id) for r in rows), key=str) == [(1, 1, 1), (2, 1, 1), (None, 0, None)]
