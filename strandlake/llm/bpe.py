@@ -1,100 +1,160 @@
 """Byte-level BPE as a monoid: encode halves, join neighbours at their seam; decode by concatenation up the tree.
 
-A node of the tree is a stretch of the text and its ids.  A leaf is encoded by
-the ``tiktoken`` library.  To join two neighbours, a window around the seam is
-encoded again, and ids outside the window are kept.  Keeping them is sound once
-the window begins and ends at *settled* places: a place between a character
-that is not white space and one that is.  No match of ``PATTERN`` spans such a
-place, a match that ends there ends there whatever follows, and the pattern
-looks ahead only from inside white space; so the ids on either side do not
-depend on the other side.  The window grows (doubling) to the next settled place on each
-side, and to the end of the node where there is none, as in a long run without
-white space; inside such a run ids can change at any distance, so nothing less
-would be proven.
-
-Nulls and empties: a null or empty text has no ids and decodes to no bytes.  Repeated
-rows give equal values.  Extra columns are ignored.
+Two trees of the same kind stand on one another.
+
+*Merges.*  A stretch of bytes is halved down to single bytes.  Neighbours are joined by encoding
+again, by the ranks, a window of ``k`` tokens on each side of the seam, with k = 0, 1, 2, 4, ...
+until the tokens outside are proven to stay.  The proof is by pairs: a sequence of tokens
+is the encoding of its bytes exactly if each two neighbours are that of
+theirs.  All pairs inside both halves and the window are such, so only the two pairs where the
+window meets the rest are looked at.
+
+*Matches.*  A text is halved down to ``LEAF_CHARS`` characters, which are cut into matches of ``PATTERN``.
+A match depends only on the text from its start to two characters after its end (the pattern looks no further ahead),
+so of the left half all matches that end two characters before the seam stay.  The matches
+from there on are made again over a window that takes 2, 4, 8, ... matches of the right
+half, until one of them ends, two characters before the window does, where a match of the right half
+ends: from a common end on the matches are the same.
+
+Nulls and empties: a null or empty text has no ids and decodes to no bytes; an empty table gives no rows.  A null doc_id
+stays null.  Repeated rows give equal values.  Extra columns are ignored.  A long text is encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LEAF_CHARS = 512
-_SETTLED = re.compile(r"\S(?=\s)")
+LEAF_CHARS = 128
+#: Characters after a match that the pattern may look at.
+AHEAD = 2
+#: Matches and pairs of tokens whose encodings a worker keeps.
+KEPT = 100_000
 SCHEMA = "doc_id long, ids binary, decoded binary"
 
 
 class TreeEncoder:
-    """Encodes and decodes texts by the ranks of a tiktoken file."""
+    """Encodes and decodes texts by the ranks of a file."""
 
     def __init__(self, path: str, pattern: str, leaf_chars: int = LEAF_CHARS):
         import base64
 
-        import tiktoken
+        import regex
 
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.inner = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        self.matches = regex.compile(pattern).findall
         self.leaf_chars = leaf_chars
-        self.leaf = self.inner.encode_ordinary
-
-    def settled_before(self, text: str, at: int, low: int) -> int:
-        """The last settled place in (low, at), or low."""
-        reach = 32
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+
+    def merged(self, data: bytes) -> list[int]:
+        """Merges by rank, the lowest first, of the leftmost first."""
+        ranks, n = self.ranks, len(data)
+        part = [data[k : k + 1] for k in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := ranks.get(data[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            if not part[k] or after[k] >= n or ranks.get(part[k] + part[after[k]]) != rank:
+                continue
+            gone = after[k]
+            part[k] += part[gone]
+            part[gone] = b""
+            after[k] = after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+                if (r := ranks.get(part[k] + part[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k))
+            if before[k] >= 0 and (r := ranks.get(part[before[k]] + part[k])) is not None:
+                heapq.heappush(heap, (r, before[k]))
+        return [ranks[x] for x in part if x]
+
+    def stays(self, x: int, y: int) -> bool:
+        """Whether two tokens are the encoding of their bytes."""
+        known = self.pairs.get((x, y))
+        if known is None:
+            if len(self.pairs) >= KEPT:
+                self.pairs.clear()
+            known = self.pairs[x, y] = self.merged(self.bytes_of[x] + self.bytes_of[y]) == [x, y]
+        return known
+
+    def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
+        k = 0
+        while True:
+            a, b = max(0, len(left) - k), min(len(right), k)
+            window = self.merged(b"".join(map(self.bytes_of.__getitem__, left[a:] + right[:b])))
+            middle = left[a - 1 : a] + window + right[b : b + 1]
+            if (a == 0 or self.stays(*middle[:2])) and (b == len(right) or self.stays(*middle[-2:])):
+                return left[:a] + window + right[b:]
+            k = max(1, 2 * k)
+
+    def tokens(self, data: bytes) -> list[int]:
+        """ids of one match."""
+        if len(data) == 1:
+            return [self.ranks[data]]
+        m = len(data) // 2
+        return self.join_tokens(self.tokens(data[:m]), self.tokens(data[m:]))
+
+    def ids_of(self, match: str) -> tuple[int, ...]:
+        found = self.known.get(match)
+        if found is None:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            found = tuple(self.tokens(match.encode()))
+            if len(match) <= self.leaf_chars:
+                self.known[match] = found
+        return found
+
+    def join(self, left: list[str], right: list[str]) -> list[str]:
+        """Matches of a text from those of its halves; changes ``left``."""
+        open_, kept = [], 0
+        while left and kept < AHEAD:
+            kept += len(left[-1])
+            open_.append(left.pop())
+        begin = "".join(reversed(open_))
+        take = 2
         while True:
-            begin = max(low, at - reach)
-            last = -1
-            for m in _SETTLED.finditer(text, begin, at):
-                last = m.end()
-            if last > 0:
-                return last
-            if begin == low:
-                return low
-            reach *= 2
-
-    def settled_after(self, text: str, at: int, high: int) -> int:
-        """The first settled place in (at, high), or high."""
-        m = _SETTLED.search(text, at, high)
-        return m.end() if m else high
-
-    def _size(self, ids: list[int], from_end: bool, n_bytes: int) -> int:
-        """How many ids at one end make up n_bytes."""
-        k, got = 0, 0
-        for t in reversed(ids) if from_end else ids:
-            if got >= n_bytes:
-                break
-            got += len(self.bytes_of[t])
-            k += 1
-        return k
-
-    def join(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
-        """ids of text[a:b] from those of text[a:m] and text[m:b]."""
-        if not left or not right:
-            return left + right
-        begin, end = self.settled_before(text, m, a), self.settled_after(text, m, b)
-        drop = self._size(left, True, len(text[begin:m].encode()))
-        skip = self._size(right, False, len(text[m:end].encode()))
-        return left[: len(left) - drop] + self.leaf(text[begin:end]) + right[skip:]
-
-    def encode(self, text: str, a: int = 0, b: int | None = None) -> list[int]:
-        b = len(text) if b is None else b
-        if b - a <= self.leaf_chars:
-            return self.leaf(text[a:b])
-        m = (a + b) // 2
-        return self.join(text, a, m, b, self.encode(text, a, m), self.encode(text, m, b))
+            whole = take >= len(right)
+            window = begin + "".join(right[:take])
+            ends, at = {}, len(begin)
+            for k, x in enumerate(right[:take]):
+                at += len(x)
+                ends[at] = k + 1
+            made, at = [], 0
+            for x in self.matches(window):
+                made.append(x)
+                at += len(x)
+                if at in ends and (whole or at + AHEAD <= len(window)):
+                    left += made
+                    left += right[ends[at] :]
+                    return left
+            take *= 2
+
+    def cut(self, text: str) -> list[str]:
+        """The matches of a text."""
+        if len(text) <= self.leaf_chars:
+            return self.matches(text)
+        m = len(text) // 2
+        return self.join(self.cut(text[:m]), self.cut(text[m:]))
+
+    def encode(self, text: str) -> list[int]:
+        out: list[int] = []
+        for match in self.cut(text):
+            out += self.ids_of(match)
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 2 * self.leaf_chars:
+        if len(ids) <= self.leaf_chars:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         m = len(ids) // 2
         return self.decode(ids[:m]) + self.decode(ids[m:])
