@@ -18,7 +18,7 @@ assistants' texts inside their rendered turns, in code points.
 
 Nulls and empties: null texts and roles are empty; a null conv_id is a
 conversation of its own; repeated rows are events of their own.  An empty log
-gives no rows.  Extra columns are ignored.  One conversation is one string, so its turns meet in
+gives no rows.  A very long text is one string like any other.  Extra columns are ignored.  One conversation is one string, so its turns meet in
 one task; a task holds one conversation at a time.
 """
 
@@ -86,10 +86,32 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of finished conversations: each row is a message of its own, in the order of turn, role and text."""
+    """A log that leaves the rows of ``conversations`` as messages, in the order of turn, role and text.
+
+    Messages arrive as a recorder would see them, by their number in the conversation:
+
+    * 1, 4, ...: a draft of it and a draft of the message that follows, then a regeneration
+      with its first half, which drops both drafts, and a delta with its second half;
+    * 2, 5, ...: three deltas;
+    * 3, 6, ...: a draft in two deltas, then an edit to its first half, and a delta with its second half.
+    """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    c = conversations.select("conv_id", "turn", "role", "text").withColumn("message", F.row_number().over(order).cast("long"))
-    return c.select("conv_id", F.col("message").alias("seq"), "message", F.lit("delta").alias("kind"), "role", "text")
+    c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("message", F.row_number().over(order).cast("long"))
+    n = F.char_length("text")
+    half, third = F.floor(n / 2).cast("int"), F.floor(n / 3).cast("int")
+    message, text, draft = F.col("message"), F.col("text"), F.substring("text", 1, 12)
+
+    def event(k: int, kind: str, text: Column, message: Column = message) -> Column:
+        return F.struct((F.col("message") * 8 + k).alias("seq"), message.alias("message"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    def rest(first: Column) -> Column:
+        return F.substring(text, first + 1, n)
+
+    regenerated = F.array(event(0, "delta", draft), event(1, "delta", draft, message + 1), event(2, "regenerate", F.substring(text, F.lit(1), half)), event(3, "delta", rest(half)))
+    streamed = F.array(event(0, "delta", F.substring(text, F.lit(1), third)), event(1, "delta", F.substring(text, third + 1, third)), event(2, "delta", rest(2 * third)))
+    edited = F.array(event(0, "delta", draft), event(1, "delta", F.lit("...")), event(2, "edit", F.substring(text, F.lit(1), half)), event(3, "delta", rest(half)))
+    events = F.when(message % 3 == 1, regenerated).when(message % 3 == 2, streamed).otherwise(edited)
+    return c.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.message", "e.kind", "role", "e.text")
 
 
 def formatted_digests(conversations: DataFrame) -> DataFrame:

@@ -51,6 +51,22 @@ def test_digests(spark):
     assert C.formatted_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_log_of_conversations_needs_folding(spark):
+    """Drafts, edits and regenerations are in the log, and its fold is the input."""
+    rng = random.Random(6)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "x", "é" * 5, "some words of a turn " * rng.randint(1, 9)])) for c in range(20) for t in range(rng.randint(1, 9))]
+    rows += [(50, 0, "user", "y" * 300_000), (50, 1, "assistant", "again"), (50, 1, "assistant", "again")]
+    log = C.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    assert log.count() > 2.5 * len(rows)
+    got = sorted((r.conv_id, r.message, r.role, r.text) for r in C.fold(log).collect())
+    expected = []
+    for c in sorted({r[0] for r in rows}):
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3] or ""))
+        expected += [(c, k + 1, r[2] or "", r[3] or "") for k, r in enumerate(mine)]
+    assert got == expected
+
+
 def test_no_control_string_survives_in_texts(spark):
     m = spark.createDataFrame([(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, message long, role string, text string")
     r = C.render(m).first()
