@@ -55,10 +55,10 @@ TRIGGER = 24
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 #: Bytes of text a batch, bytes of strings a part, strings of one trigger that still meet in one part.
 BATCH_BYTES = 8 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 HEAVY = 50_000
 #: Bytes that a trigger of the inner parse covers, and the mask that its hash must miss.
-INNER, INNER_MASK = 8, 15
+INNER, INNER_MASK = 8, 31
 _FLUSH = 3_000_000
 _SHIFT = np.uint64(20)
 
@@ -133,10 +133,20 @@ def phrase_hashes(raw: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.n
     return _range_hashes(raw, first, first + count + LENGTH - 1)
 
 
+def _in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of keys in their order, the sorted keys); where key and place fit a word together they are sorted as one, which is much faster."""
+    n = len(keys)
+    wide = np.uint64(max(1, n - 1).bit_length())
+    if n and int(keys.max()).bit_length() + int(wide) <= 64:
+        both = np.sort(keys << wide | np.arange(n, dtype=np.uint64))
+        return (both & ((np.uint64(1) << wide) - np.uint64(1))).view(np.int64), both >> wide
+    order = np.argsort(keys)
+    return order, keys[order]
+
+
 def _ranked(keys: np.ndarray) -> np.ndarray:
     """Dense ranks of keys, from 0."""
-    order = np.argsort(keys)
-    sorted_ = keys[order]
+    order, sorted_ = _in_order(keys)
     out = np.empty(len(keys), np.int64)
     step = np.zeros(len(keys), np.int64)
     step[1:] = sorted_[1:] != sorted_[:-1]
@@ -146,29 +156,49 @@ def _ranked(keys: np.ndarray) -> np.ndarray:
 
 def _joined(rank: np.ndarray, at: np.ndarray, has: np.ndarray) -> np.ndarray:
     """Keys of (own rank, rank at another place; 0 where there is none)."""
-    key = rank.astype(np.uint64) << np.uint64(32)
+    key = rank.astype(np.uint64) << np.uint64(len(rank).bit_length())
     key[has] |= (rank[at[has]] + 1).astype(np.uint64)
     return key
 
 
 def _dictionary_ranks(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Ranks of the dictionary's suffixes, each up to its phrase's end (``left`` bytes on) or a gram's depth: its suffix array, by doubling."""
-    word = _words(text).byteswap()
-    cut = np.maximum(7 - left, 0).astype(np.uint64) * np.uint64(8)
-    word >>= np.uint64(8)
+    word = _words(text).byteswap() >> np.uint64(24)
+    cut = np.maximum(5 - left, 0).astype(np.uint64) * np.uint64(8)
     word = word >> cut << cut
-    rank = _ranked(word << np.uint64(8) | np.minimum(left, 7).astype(np.uint64))
-    depth, place = 7, np.arange(len(text))
-    while depth < LENGTH:
-        rank = _ranked(_joined(rank, place + depth, left > depth))
+    rank = np.zeros(len(text), np.int64)
+    tied = _split_ties(rank, np.arange(len(text)), word << np.uint64(3) | np.minimum(left, 5).astype(np.uint64), 64)
+    depth = 5
+    while depth < LENGTH and len(tied):
+        more = left[tied] > depth
+        second = np.zeros(len(tied), np.uint64)
+        second[more] = (rank[tied[more] + depth] + 1).astype(np.uint64)
+        tied = _split_ties(rank, tied, second, len(text).bit_length())
         depth *= 2
     return rank
 
 
+def _split_ties(rank: np.ndarray, tied: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks (places of the first of equals) of tied suffixes by a second key of ``bits`` bits; gives those that are still tied."""
+    key = second if bits == 64 else rank[tied].astype(np.uint64) << np.uint64(bits) | second
+    order, key = _in_order(key)
+    n = len(key)
+    new = np.ones(n + 1, dtype=bool)
+    new[1:n] = key[1:] != key[:-1]
+    first = np.maximum.accumulate(np.where(new[:n], np.arange(n), 0))
+    old = np.zeros(n, np.int64) if bits == 64 else (key >> np.uint64(bits)).astype(np.int64)
+    group = np.ones(n, dtype=bool)
+    group[1:] = old[1:] != old[:-1]
+    begin = np.maximum.accumulate(np.where(group, np.arange(n), 0))
+    place = tied[order]
+    rank[place] = old + first - begin
+    return place[~(new[:n] & new[1:])]
+
+
 def _parse_ranks(phrase: np.ndarray, begin: np.ndarray, string: np.ndarray) -> np.ndarray:
     """Ranks of the parse's suffixes, each up to its string's end or a gram's depth: its suffix array, by doubling."""
     n, span, place = len(phrase), 1, np.arange(len(phrase))
-    rank = _ranked(phrase)
+    rank = _ranked(phrase.astype(np.uint64))
     while True:
         has = np.zeros(n, dtype=bool)
         has[: n - span] = string[span:] == string[: n - span]
@@ -209,11 +239,11 @@ def corpus_order(data: np.ndarray, size: np.ndarray, places: np.ndarray) -> np.n
     rest = _dictionary_ranks(text, np.repeat(first + long_, long_) - np.arange(len(text)))
     follow = _parse_ranks(rest[first[which]], begin, string)
     at = np.searchsorted(begin, places, side="right") - 1
-    key = rest[first[which[at]] + places - begin[at]].astype(np.uint64) << np.uint64(32)
+    key = rest[first[which[at]] + places - begin[at]].astype(np.uint64) << np.uint64(len(begin).bit_length())
     more = at + 1 < len(begin)
     more[more] = string[at[more] + 1] == string[at[more]]
     key[more] |= (follow[at[more] + 1] + 1).astype(np.uint64)
-    return np.argsort(key)
+    return _in_order(key)[0]
 
 
 def smallest_owner(data: np.ndarray, count: np.ndarray, owner: np.ndarray) -> np.ndarray:
