@@ -2,17 +2,15 @@
 
 The decoder reads prefix codes (simple and normal, with meta codes), literals,
 back-references and colour cache, and inverts the predictor, cross-colour,
-subtract-green and palette transforms.  Images whose three colour codes are equal and
-hold literals alone, as ``TextCode`` writes them, take a quicker way
-through a table that gives several symbols a step.
+subtract-green and palette transforms.  ``webp_lanes`` reads the entropy-coded pixels of many images at once.
 
 ``media_columns`` stores UTF-8 texts as RGB images of 64 pixels a row (tiles of at most
-16384 rows, one file after another), reads them back and computes features.  Tiles whose content
-repeats (see ``store``) have back-references and a colour cache or a palette, where that is shorter; others are literals
-of a fixed code.
+64 rows, one file after another), reads them back and computes features.  A tile has literals, or literals with
+back-references and a colour cache, or a palette with back-references, whichever is shortest.
 
-Nulls and empties: a null text is empty; an empty text is one row of blanks.  Equal texts
-give equal media.  A null doc_id stays null; extra columns are ignored.
+Nulls and empties: a null text is empty; an empty text is one row of blanks; an empty table gives no rows.  Equal texts
+give equal media.  A null doc_id stays null; repeated rows count each; extra columns are ignored.  A long text is
+stored whole, as many tiles.
 """
 
 from __future__ import annotations
@@ -220,8 +218,6 @@ def read_image(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
         meta = (read_image(r, _div(width, 1 << meta_bits), _div(height, 1 << meta_bits), False) >> 8 & 0xFFFF).reshape(_div(height, 1 << meta_bits), -1).tolist()
         groups = max(max(row) for row in meta) + 1
     lengths = [[read_lengths(r, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
-    if top and groups == 1 and not cache_size and (quick := _literals(r, lengths[0], width * height)) is not None:
-        return quick
     codes = [[Code(x) for x in group] for group in lengths]
     out: list[int] = []
     cache = [0] * cache_size
@@ -254,54 +250,6 @@ def read_image(r: BitReader, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-_steps: dict[tuple, list] = {}
-
-
-def _step_table(lengths: tuple) -> list:
-    """For each 16 bits: (symbols that end inside them, their bits, their number)."""
-    if lengths not in _steps:
-        if len(_steps) > 4:
-            _steps.clear()
-        one, size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        for s, (code, n) in canonical(list(lengths)).items():
-            one[code :: 1 << n], size[code :: 1 << n] = s, n
-        one, size = one.tolist(), size.tolist()
-        table = []
-        for w in range(1 << 16):
-            got, used = [], 0
-            while len(got) < 8:
-                rest = w >> used
-                n = size[rest]
-                if n == 0 or used + n > 16:
-                    break
-                got.append(one[rest])
-                used += n
-            table.append((bytes(got), used, len(got)))
-        _steps[lengths] = table
-    return _steps[lengths]
-
-
-def _literals(r: BitReader, lengths: list[list[int]], pixels: int) -> np.ndarray | None:
-    """The quick way for three equal codes of literals and one alpha, else None; the reader is done after it."""
-    green, red, blue, alpha = (tuple(x) for x in lengths[:4])
-    if any(green[256:]) or green[:256] != red or red != blue or sum(n > 0 for n in red) < 2 or sum(n > 0 for n in alpha) != 1:
-        return None
-    table = _step_table(red)
-    begin = r.place()
-    skip = begin >> 3
-    data = r.data[skip:] + bytes(16)
-    words = np.ndarray(((len(data) - 8) // 4 + 1,), "<u8", data, 0, (4,)).tolist()
-    p, left, out = begin & 7, 3 * pixels, []
-    add = out.append
-    while left > 0:
-        got, used, n = table[words[p >> 5] >> (p & 31) & 65535]
-        add(got)
-        p += used
-        left -= n
-    grb = np.frombuffer(b"".join(out), np.uint8, 3 * pixels).reshape(-1, 3).astype(np.uint32)
-    return np.uint32(alpha.index(max(alpha)) << 24) | grb[:, 1] << 16 | grb[:, 0] << 8 | grb[:, 2]
-
-
 # inverse transforms, on channel arrays (height, width, 4) of A, R, G, B
 
 
@@ -633,104 +581,45 @@ def encode(image: np.ndarray, transforms=(), cache_bits: int = 0, references: bo
 # texts
 
 ROW = 64
-MAX_ROWS = 16384
+MAX_ROWS = 64
 UNIT = 3 * ROW
-REPEATS = 0.125
+#: Bytes of text that are stored and read together.
+WINDOW = 4 * K.WINDOW
 #: Bytes from frequent to rare, by which the code of texts is made.
 _FREQUENT = b" eatinhrosdlcumgfpwybv,.\nkEATINSHRD-|'xjqzLCUMGFPWYBVKXJQZ0123456789\xc3:;!?()\"/#$%&*+=@_<>[]{}\t"
 
 
-def text_lengths() -> list[int]:
+def text_counts() -> list[int]:
     counts = [1] * 256
     for rank, byte in enumerate(_FREQUENT):
         counts[byte] = 200_000 // (rank + 3)
     for byte in range(0x80, 0xC0):
         counts[byte] = 1_200
-    return code_lengths(counts, 14)
+    return counts
 
 
-class TextCode:
-    """The fixed code of texts, and what stands before the pixels of each image."""
+def text_lengths() -> list[int]:
+    return code_lengths(text_counts(), 14)
 
-    def __init__(self):
-        lengths = text_lengths()
-        code = canonical(lengths)
-        self.bits = np.array([code[s][0] for s in range(256)], np.uint64)
-        self.size = np.array([code[s][1] for s in range(256)], np.int64)
-        w = BitWriter()
-        for _ in range(3):  # no transform, cache or meta code
-            w.write(0, 1)
-        for n in (280, 256, 256):
-            write_lengths(w, lengths + [0] * (n - 256))
-        write_lengths(w, [0] * 255 + [1])
-        write_lengths(w, [1] + [0] * 39)
-        self.head, self.head_bits = w.value, w.n
-
-    def encode(self, payload: np.ndarray) -> bytes:
-        """Files of a payload of whole rows, one for each tile."""
-        step = UNIT * MAX_ROWS
-        return b"".join(self._tile(payload[a : a + step]) for a in range(0, len(payload), step))
-
-    def _tile(self, payload: np.ndarray) -> bytes:
-        rgb = payload.reshape(-1, 3)
-        size = self.size[rgb]
-        n = size.sum(axis=1)
-        value = self.bits[rgb]
-        lg, lr = size[:, 1].astype(np.uint64), size[:, 0].astype(np.uint64)
-        value = value[:, 1] | value[:, 0] << lg | value[:, 2] << (lg + lr)
-        w = BitWriter()
-        w.write(SIGNATURE, 8)
-        w.write(ROW - 1, 14)
-        w.write(len(payload) // UNIT - 1, 14)
-        w.write(0, 4)
-        w.write(self.head, self.head_bits)
-        at = w.n + np.cumsum(n) - n
-        total = int(w.n + n.sum())
-        value = value << (at & 7).astype(np.uint64)
-        out = np.zeros((total + 7) // 8 + 8, np.uint8)
-        first = at >> 3
-        for k in range(7):
-            column = (value >> np.uint64(8 * k) & np.uint64(255)).astype(np.uint8)
-            some = column > 0
-            np.bitwise_or.at(out, first[some] + k, column[some])
-        head = w.bytes()
-        out[: len(head)] |= np.frombuffer(head, np.uint8)
-        return _file(out[: (total + 7) // 8].tobytes())
-
-
-def store(payload: np.ndarray, code: TextCode) -> bytes:
-    """Files of a payload of whole rows, one for each tile: the shortest of literals and what its content calls for.
-
-    A tile in which a share of ``REPEATS`` of the runs of three pixels occurred before is tried with a colour cache as
-    wide as its colours and, of at most 256 colours, with a palette, both with back-references.
+
+def store(payloads: list[np.ndarray]) -> list[bytes]:
+    """For each payload of whole rows its files, one for each tile.
+
+    A tile has the shortest of: literals of a fixed code; literals, back-references and cached colours of another;
+    a palette with back-references, where its colours are few.
     """
-    out, step = [], UNIT * MAX_ROWS
-    for a in range(0, len(payload), step):
-        tile = payload[a : a + step]
-        rgb = tile.reshape(-1, 3).astype(np.uint64)
-        pixel = rgb[:, 0] << np.uint64(16) | rgb[:, 1] << np.uint64(8) | rgb[:, 2]
-        runs = K.mix64(K.mix64(pixel[:-2] << np.uint64(24) | pixel[1:-1]) + pixel[2:])
-        repeated = len(runs) - len(np.unique(runs))
-        choices = [code.encode(tile)]
-        if repeated >= REPEATS * len(runs):
-            image = np.full((len(tile) // UNIT, ROW, 4), 255, np.uint8)
-            image[..., 1:] = tile.reshape(-1, ROW, 3)
-            colours = len(np.unique(pixel))
-            choices.append(encode(image, (), min(10, max(1, (colours - 1).bit_length())), True))
-            if colours <= 256:
-                choices.append(encode(image, [("palette",)], 0, True))
-        out.append(min(choices, key=len))
-    return b"".join(out)
+    from .webp_lanes import encode_tiles
+
+    rows = [np.minimum(MAX_ROWS, len(x) // UNIT - np.arange(0, len(x) // UNIT, MAX_ROWS)) for x in payloads]
+    files = iter(encode_tiles(np.concatenate(payloads), np.concatenate(rows)))
+    return [b"".join(next(files) for _ in n) for n in rows]
 
 
 def read_payload(media: bytes) -> np.ndarray:
     """RGB samples of all tiles of a media value, in order."""
-    out, at = [], 0
-    while at < len(media):
-        size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        out.append(decode(media[at : at + size])[..., 1:].astype(np.uint8).reshape(-1))
-        at += size
-    return np.concatenate(out)
+    from .webp_lanes import decode_all
+
+    return decode_all([media])[0]
 
 
 def feature(payload: np.ndarray) -> str:
@@ -742,8 +631,6 @@ def feature(payload: np.ndarray) -> str:
     return "m" + ",".join(map(str, mean.tolist())) + ";s" + ",".join(map(str, step.tolist()))
 
 
-_code: list[TextCode] = []
-
 SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, feature string"
 
 
@@ -751,21 +638,25 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the stored ``media``, the ``payload`` read back from it and its features, for each row; a narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _code:
-            _code.append(TextCode())
-        code = _code[0]
+        from .webp_lanes import decode_all
+
         for batch in batches:
             raw, off = K.text_buffers(batch.column("text"))
-            for i, j in K.windows(off, 4 * K.WINDOW):
-                media, payload, features = [], [], []
+            for i, j in K.windows(off, WINDOW):
+                payloads = []
                 for k in range(i, j):
                     data = raw[off[k] : off[k + 1]]
                     whole = np.full(max(1, _div(len(data), UNIT)) * UNIT, 32, np.uint8)
                     whole[: len(data)] = data
-                    media.append(store(whole, code))
-                    back = read_payload(media[-1])
-                    payload.append(back.tobytes())
-                    features.append(feature(back))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(off[i : j + 1])), pa.array(media, pa.binary()), pa.array(payload, pa.binary()), pa.array(features, pa.string())], names=["doc_id", "n_bytes", "media", "payload", "feature"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+                    payloads.append(whole)
+                media = store(payloads)
+                back = decode_all(media)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(i, j - i), pa.array(np.diff(off[i : j + 1])), pa.array(media, pa.binary()),
+                        pa.array([x.tobytes() for x in back], pa.binary()), pa.array([feature(x) for x in back], pa.string()),
+                    ],
+                    names=["doc_id", "n_bytes", "media", "payload", "feature"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(run), SCHEMA)
