@@ -1,45 +1,43 @@
 """Hierarchical Pitman-Yor language model: seating by Gibbs, log10 probabilities of whole texts.
 
 Words are runs of bytes other than ASCII white space, lower-cased (A-Z); each text ends
-with an end token.  A context restaurant serves all places with one previous word, so
-restaurants grow with the corpus; all context restaurants share
-their parent, the restaurant without context, whose base is uniform over the V words of the
-training texts and one class for all others.  A predictive probability is
+with an end token.  Each previous word has a context restaurant of its own, so
+restaurants grow with the corpus; all share their parent, the restaurant without context,
+whose base is uniform over the V words of the training texts and one class for all others.
+A predictive probability is
 
     (c_uw - d t_uw + (strength + d t_u) P(w)) / (strength + c_u)
 
 with customers c and tables t, P(w) of the same form one level up, and is averaged over ``SAMPLES`` states of the
-sampler.  Words are told apart by 64-bit hashes.
+sampler.  Words and contexts are told apart by 64-bit hashes.
 
-*Distribution.*  A text's score is a sum over its places, so places meet by word, in packed blobs, and each
-part of words returns sums for each text.  A dish's seating in every context is then
-in one part.  Totals of restaurants reach the parts that hold places of theirs by an exchange by context:
-parts ask for their contexts, and a slice of contexts adds up and answers.  What all parts must know is
-of bounded size: sums over all restaurants, and *hot* words (those with a thousandth of all tokens:
-at most ``HOT`` words, spread over all parts by context).
+*Sampler.*  A sweep draws, each from its conditional given all the rest,
 
-1. A pass counts training tokens and finds hot words.
-2. Training places meet by word; parts ask for customers and distinct words of their restaurants and run their
-   chains (a restaurant's tables lie between these two; where, a part estimates from its share); the tables
-   of each state are added up by context.
-3. All places meet by word; parts ask for the totals, run the same chains again and score with
-   the exact totals, so each state's probabilities sum to one.
+* for each context u an auxiliary x_u ~ Gamma(strength/d + t_u): given these, dishes are independent;
+* the tables of each dish in each context, P(t_uw = t) ~ S(c_uw, t) (d x_u G(w))**t with generalised Stirling numbers S;
+* the same two of the root, whose dishes have one customer for each table below and the base in G's place;
+* the root's weights G(w): Gamma(c_w - d t_w) of each word and Gamma(strength + d t) for what is new,
+  divided by their sum (new weight falls on words by the base).
 
-The functions also know restaurants pooled to ``CONTEXTS`` hash classes (``whole`` false); ``score_texts`` doesn't pool.
+Draws with more than ``EXACT`` customers use the Stirling numbers' alternating sum, and from 32 expected tables on
+their normal limit (see ``draw_tables``).  Random numbers are hashes of the
+word, the context and the sweep, and sums over parts are of whole numbers, so the result
+doesn't depend on the number of parts or on which task does what.
 
-*Sampler.*  Given the rest, the number of tables that serve a dish with c customers has
-probability proportional to S(c, t) x**t, with generalised Stirling numbers S and
-x = (strength + d t_u) P(w); it is drawn as a block for c up to ``BLOCK_CUSTOMERS``, and above
-that by seating customers anew in groups of a tenth of those seated.
+*Distribution.*  Places meet by context, so a restaurant is in one part whole; *hot* contexts (those with a
+thousandth of all tokens, ``4 * HOT`` at most) are spread over all parts by word.  Numbers that several parts share, the
+root's customers of a word and a hot context's tables, are added up in each sweep by an exchange by key; so
+are the sums over all words.  Keys that one part alone has stay there.  Nothing is broadcast but the list of hot contexts.
 
 Nulls and empties: a null text is empty, an end token alone.  Rows count each, repeated or not.
 A null doc_id counts as the text "" in the choice of training rows.  An empty table gives
-no rows; without training rows every word is unknown.  Extra columns are ignored.
+no rows; without training rows every word is unknown.  A very long text is like any other; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import copy
+import functools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -47,21 +45,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blobs
 from . import kernels as K
 
-CONTEXTS = 1 << 16
-SAMPLES, BURN_IN = 4, 4
+SAMPLES, BURN_IN = 3, 3
 DISCOUNT, STRENGTH = 0.8, 20.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 HOT = 1000
-BLOCK_CUSTOMERS = 48
-CHUNK = 4096
+EXACT = 256
 FLUSH = 2_000_000
 
 END = np.uint64(0x3C79AC492BA7B653)
 BEGIN = np.uint64(0x1B873593CC9E2D51)
+_U = np.uint64
+_HOT_KEY = _U(0x5851F42D4C957F2D)
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -81,91 +80,211 @@ def places(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[stop - count + np.arange(n)] = BEGIN
-    return h, K.mix64(before * np.uint64(0x9FB21C651E98DF25)), doc
+    return h, K.mix64(before * _U(0x9FB21C651E98DF25)), doc
 
 
-def pooled(u: np.ndarray) -> np.ndarray:
-    """Classes of contexts."""
-    return (u % np.uint64(CONTEXTS)).astype(np.uint16 if CONTEXTS <= 1 << 16 else np.uint32)
+# random numbers by key
 
 
-def _sum_arrays(group: pd.DataFrame) -> pd.DataFrame:
-    total = None
-    for x in group["data"]:
-        a = blobs.unpack(x)[0]
-        total = a.copy() if total is None else total + a
-    return pd.DataFrame({"key": [group["key"].iloc[0]], "data": [blobs.pack(total)]})
+def uniform(key: np.ndarray, sweep: int, salt: int) -> np.ndarray:
+    """Numbers in (0, 1) that a key, a sweep and a salt give."""
+    h = K.mix64(key ^ _U((sweep * 0x9E3779B97F4A7C15 + salt * 0xC2B2AE3D27D4EB4F + 1) & 0xFFFFFFFFFFFFFFFF))
+    return ((h >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def _census(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
-    """Of one task: customers by class (keys of chunks; not with whole contexts), the number of training tokens (key -1), frequent words (key -2)."""
-    by_class, total = np.zeros(CONTEXTS, np.int64), 0
-    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def normal(key: np.ndarray, sweep: int, salt: int) -> np.ndarray:
+    return np.sqrt(-2 * np.log(uniform(key, sweep, salt))) * np.cos(2 * np.pi * uniform(key, sweep, salt + 1))
+
+
+def gamma(key: np.ndarray, shape: np.ndarray, sweep: int) -> np.ndarray:
+    """Gamma draws of scale 1 by a key (Marsaglia and Tsang 2000)."""
+    shape = np.asarray(shape, np.float64)
+    d = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out = np.zeros(len(key))
+    open_, salt = np.arange(len(key)), 16
+    while len(open_):
+        x = normal(key[open_], sweep, salt)
+        v = (1 + c[open_] * x) ** 3
+        u = np.log(uniform(key[open_], sweep, salt + 2))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            good = (v > 0) & (u < 0.5 * x * x + d[open_] * (1 - v + np.log(v)))
+        out[open_[good]] = (d[open_] * v)[good]
+        open_, salt = open_[~good], salt + 3
+    small = np.flatnonzero(shape < 1)
+    out[small] *= uniform(key[small], sweep, 15) ** (1 / shape[small])
+    return out
+
+
+# table counts
+
+
+@functools.cache
+def _stirling(d: float) -> np.ndarray:
+    """log S(c, t) of generalised Stirling numbers for c, t up to EXACT."""
+    n = EXACT
+    s = np.full((n + 1, n + 1), -np.inf)
+    s[0, 0] = 0.0
+    for c in range(n):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore"):
+            s[c + 1, 1 : c + 2] = np.logaddexp(s[c, : c + 1], np.log(np.maximum(c - t * d, 0)) + s[c, 1 : c + 2])
+    return s
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma of arguments of 50 and more."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+_GRID, _TERMS = 96, 96
+
+
+@functools.cache
+def _signed_binomials(d: float) -> np.ndarray:
+    """(-1)**j C(t, j) / Gamma(-j d) for j (rows) from 1 and t from 1."""
+    out = np.zeros((_TERMS, _GRID))
+    for j in range(1, _TERMS + 1):
+        x = j * d
+        if abs(x - round(x)) > 1e-9:
+            inverse = math.gamma(x + 1) * math.sin(math.pi * x) / -math.pi  # 1 / Gamma(-x)
+            for t in range(j, _GRID + 1):
+                out[j - 1, t - 1] = (-1) ** j * math.comb(t, j) * inverse
+    return out
+
+
+def _expected(c: np.ndarray, z: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the table count in the limit: z x (1-x)**(d-1) = c and t - 1 = z (1 - (1-x)**d) / d."""
+    low, high = np.zeros(len(c)), np.full(len(c), 700.0)  # of -log(1 - x)
+    target = np.log(c / z)
+    for _ in range(60):
+        y = (low + high) / 2
+        less = np.log(-np.expm1(-y)) + (1 - d) * y < target
+        low, high = np.where(less, y, low), np.where(less, high, y)
+    y = (low + high) / 2
+    rest = np.exp(-d * y)
+    t = np.maximum(z * (1 - rest) / d, 1.0)
+    g = d * np.exp(y * (1 - d)) / (1 - rest)  # derivative of log((1 - (1-x)**d) / d) in x
+    x = -np.expm1(-y)
+    curve = g * (1 - d) * np.exp(y) - g * g
+    slope = 1 / t + x * g * g / (t * (g + x * curve))
+    return t + 1, np.sqrt(1 / np.maximum(slope, 1e-12))
+
+
+def draw_tables(c: np.ndarray, z: np.ndarray, d: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Table counts of dishes with c customers, P(t) ~ S(c, t) z**t, by keys.
+
+    Up to EXACT customers from the exact numbers; above, up to 32 expected tables, from their sum
+    S(c, t) d**t t! = sum over j of (-1)**j C(t, j) (-j d)(-j d + 1)...(-j d + c - 1); beyond that from the normal limit.
+    """
+    t = np.minimum(c, 1).astype(np.int64)
+    several = np.flatnonzero(c > 1)
+    order = several[np.argsort(c[several], kind="stable")]
+    bounds = np.searchsorted(c[order], np.arange(2, EXACT + 2))
+    log_z = np.log(np.maximum(z, 1e-300))
+    u = uniform(key, sweep, 0)
+    exact = _stirling(d)
+    for n in np.flatnonzero(np.diff(bounds)) + 2:
+        at = order[bounds[n - 2] : bounds[n - 1]]
+        for begin in range(0, len(at), max(1, (1 << 20) // int(n))):
+            a = at[begin : begin + max(1, (1 << 20) // int(n))]
+            p = exact[n, 1 : n + 1] + log_z[a, None] * np.arange(1, n + 1)
+            p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
+            t[a] = 1 + (p < u[a, None] * p[:, -1:]).sum(axis=1)
+    large = order[bounds[-1] :]
+    if len(large):
+        mean, deviation = _expected(c[large].astype(float), np.maximum(z[large], 1e-300), d)
+        t[large] = np.clip(np.round(mean + deviation * normal(key[large], sweep, 1)), 1, c[large]).astype(np.int64)
+        few = large[mean < 32]
+        for begin in range(0, len(few), 4096):
+            a = few[begin : begin + 4096]
+            j, k = np.arange(1, _TERMS + 1), np.arange(1, _GRID + 1)
+            n = c[a].astype(float)[:, None]
+            low = np.maximum(n - j * d, 50.0)
+            ratio = np.exp(_log_gamma(low) - _log_gamma(n - d))
+            sums = np.maximum(ratio @ _signed_binomials(d), 0.0)
+            log_p = k * (log_z[a, None] - math.log(d)) - np.cumsum(np.log(k))
+            p = (sums * np.exp(log_p - log_p.max(axis=1, keepdims=True))).cumsum(axis=1)
+            t[a] = 1 + (p < u[a, None] * p[:, -1:]).sum(axis=1)
+    return t
+
+
+def root_draws(word: np.ndarray, customers: np.ndarray, tables: int, words: int, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, weights in units of 2**-20) of words in the root, given their customers and the tables of the state before."""
+    if sweep:
+        x = gamma(np.array([_HOT_KEY]), np.array([ROOT_STRENGTH / ROOT_DISCOUNT + tables]), sweep)[0]
+        t = draw_tables(customers, np.full(len(word), ROOT_DISCOUNT * x / (words + 1)), ROOT_DISCOUNT, word, sweep)
+    else:
+        t = np.minimum(customers, 1)
+    weight = np.zeros(len(word), np.int64)
+    some = customers > 0
+    weight[some] = np.maximum(1, np.round(gamma(word[some], customers[some] - ROOT_DISCOUNT * t[some], sweep) * (1 << 20))).astype(np.int64)
+    return t, weight
+
+
+# exchanges
+
+
+def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one task: the number of training tokens (key -1), frequent contexts (key -2)."""
+    total = 0
+    contexts, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         raw, off = K.text_buffers(batch.column("text"))
         train = ~held_out_rows(batch.column("doc_id").to_pylist())
         for i, j in K.windows(off):
-            w, u, doc = places(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            learn = train[i:j][doc]
-            if not whole:
-                by_class += np.bincount(pooled(u[learn]), minlength=CONTEXTS)
-            total += int(learn.sum())
-            slot = (w >> np.uint64(48)).astype(np.int64)  # words of well-filled slots alone are counted
-            full = np.bincount(slot, minlength=1 << 16)[slot] >= max(8, len(w) // (4 * HOT))
-            v, n = np.unique(w[full], return_counts=True)
-            v, inverse = np.unique(np.concatenate([words, v]), return_inverse=True)
+            _, u, doc = places(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            total += int(train[i:j][doc].sum())
+            slot = (u >> _U(48)).astype(np.int64)  # contexts of well-filled slots alone are counted
+            full = np.bincount(slot, minlength=1 << 16)[slot] >= max(8, len(u) // (4 * HOT))
+            v, n = np.unique(u[full], return_counts=True)
+            v, inverse = np.unique(np.concatenate([contexts, v]), return_inverse=True)
             n = np.bincount(inverse, weights=np.concatenate([counts, n])).astype(np.int64)
             if len(v) > 8 * HOT:
                 keep = np.sort(np.argsort(-n, kind="stable")[: 4 * HOT])
                 v, n = v[keep], n[keep]
-            words, counts = v, n
-    rows = [(k, blobs.pack(by_class[k * CHUNK : (k + 1) * CHUNK])) for k in range(0 if whole else -(-CONTEXTS // CHUNK))]
-    rows += [(-1, blobs.pack(np.array([total])))]
-    rows += [(-2, blobs.pack(words, counts))]
+            contexts, counts = v, n
+    rows = [(-1, blobs.pack(np.array([total]))), (-2, blobs.pack(contexts, counts))]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "data"])
 
 
-def _census_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _census(batches, True)
+def _census_sum(group: pd.DataFrame) -> pd.DataFrame:
+    got, key = [blobs.unpack(x) for x in group["data"]], int(group["key"].iloc[0])
+    if key == -1:
+        return pd.DataFrame({"key": [key], "data": [blobs.pack(sum(x[0] for x in got))]})
+    v, inverse = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    n = np.bincount(inverse, weights=np.concatenate([x[1] for x in got]), minlength=len(v)).astype(np.int64)
+    keep = np.sort(np.argsort(-n, kind="stable")[: 4 * HOT])
+    return pd.DataFrame({"key": [key], "data": [blobs.pack(v[keep], n[keep])]})
 
 
-def _most_frequent(total: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Sums arrays of a key; of frequent words, keeps those with half a thousandth of all that were counted."""
-        if group["key"].iloc[0] != -2:
-            return _sum_arrays(group)
-        got = [blobs.unpack(x) for x in group["data"]]
-        v, inverse = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate([x[1] for x in got]), minlength=len(v)).astype(np.int64)
-        keep = np.sort(np.argsort(-n, kind="stable")[:total])
-        return pd.DataFrame({"key": [-2], "data": [blobs.pack(v[keep], n[keep])]})
-
-    return run
+def _slice_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Slices follow the order of keys."""
+    return ((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
-def _part_of(words: np.ndarray, parts: int) -> np.ndarray:
-    """Parts follow the order of words."""
-    return ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _pair_keys(word: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return K.mix64(word + u * _U(0xD6E8FEB86659FD93))
 
 
-def _hot_part(words: np.ndarray, u: np.ndarray, parts: int) -> np.ndarray:
-    return (K.mix64(words + u.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(parts)).astype(np.int64)
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if len(x) == 0 or x.max() < 1 << 16 else np.uint32)
 
 
-def _exchange(parts: int, hot: np.ndarray, scoring: bool, whole: bool = False):
-    """Places by part. A blob has: words, their run lengths, classes (of whole contexts, indices and the contexts), and for scoring document indices and training marks; hot words are indices into ``hot``."""
+def _exchange(parts: int, hot: np.ndarray):
+    """Places by part. A blob has: contexts, their run lengths, hot contexts as indices, words as indices, the words, document indices and training marks; one blob of each flush also what documents are."""
 
     def flush(got: list, source: int, docs: list) -> pa.RecordBatch:
         w, u, doc = (np.concatenate(x) for x in zip(*got, strict=True))
-        place = np.minimum(np.searchsorted(hot, w), max(0, len(hot) - 1))
-        is_hot = (hot[place] == w) if len(hot) else np.zeros(len(w), dtype=bool)
+        place = np.minimum(np.searchsorted(hot, u), max(0, len(hot) - 1))
+        is_hot = (hot[place] == u) if len(hot) else np.zeros(len(u), dtype=bool)
         cold = np.flatnonzero(~is_hot)
-        cold = cold[np.argsort(w[cold], kind="stable")]
+        cold = cold[np.argsort(u[cold], kind="stable")]
         warm = np.flatnonzero(is_hot)
-        part_warm = _hot_part(w[warm], u[warm], parts)
+        part_warm = (_pair_keys(w[warm], u[warm]) % _U(parts)).astype(np.int64)
         order = np.lexsort((place[warm], part_warm))
         warm, part_warm = warm[order], part_warm[order]
-        cut = np.searchsorted(_part_of(w[cold], parts), np.arange(parts + 1))
+        cut = np.searchsorted(_slice_of(u[cold], parts), np.arange(parts + 1))
         cut_warm = np.searchsorted(part_warm, np.arange(parts + 1))
         ids = np.array([0 if x is None else x for x in docs], np.int64)
         null = np.array([x is None for x in docs], np.uint8)
@@ -174,20 +293,14 @@ def _exchange(parts: int, hot: np.ndarray, scoring: bool, whole: bool = False):
         rows = []
         for k in range(parts):
             c, h = cold[cut[k] : cut[k + 1]], warm[cut_warm[k] : cut_warm[k + 1]]
-            if len(c) + len(h) == 0 and not (scoring and k == source % parts):
+            first = k == source % parts
+            if len(c) + len(h) == 0 and not first:
                 continue
-            begin = K.runs(w[c])
-            mine = np.concatenate([u[c], u[h]])
-            if whole:
-                contexts, mine = np.unique(mine, return_inverse=True)
-                mine = mine.astype(np.uint16 if len(contexts) <= 1 << 16 else np.uint32)
-            body = [blobs.delta(w[c][begin]), np.diff(np.append(begin, len(c))).astype(np.uint32), mine if whole else pooled(mine), place[h].astype(np.uint16)]
-            if whole:
-                body.append(blobs.delta(contexts))
-            if scoring:
-                body += [np.concatenate([doc[c], doc[h]]).astype(np.uint32), train]
-                if k == source % parts:
-                    body += [blobs.delta(ids), null, tokens]
+            begin = K.runs(u[c])
+            words, which = np.unique(np.concatenate([w[c], w[h]]), return_inverse=True)
+            body = [blobs.delta(u[c][begin]), _small(np.diff(np.append(begin, len(c)))), place[h].astype(np.uint16), _small(which), blobs.delta(words), _small(np.concatenate([doc[c], doc[h]])), train]
+            if first:
+                body += [blobs.delta(ids), null, tokens]
             rows.append((k, source, blobs.pack(*body)))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "source", "data"])
 
@@ -200,12 +313,8 @@ def _exchange(parts: int, hot: np.ndarray, scoring: bool, whole: bool = False):
         for batch in batches:
             raw, off = K.text_buffers(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
-            train = ~held_out_rows(ids)
             for i, j in K.windows(off):
                 w, u, doc = places(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                if not scoring:
-                    learn = train[i:j][doc]
-                    w, u, doc = w[learn], u[learn], doc[learn]
                 got.append((w, u, doc + len(docs)))
                 docs += ids[i:j]
                 held += len(w)
@@ -219,357 +328,328 @@ def _exchange(parts: int, hot: np.ndarray, scoring: bool, whole: bool = False):
     return run
 
 
-def _stirling(d: float, n: int) -> np.ndarray:
-    """log S(c, t) of generalised Stirling numbers for c, t up to n."""
-    s = np.full((n + 1, n + 1), -np.inf)
-    s[0, 0] = 0.0
-    for c in range(n):
-        t = np.arange(1, c + 2)
-        with np.errstate(divide="ignore"):
-            s[c + 1, 1 : c + 2] = np.logaddexp(s[c, : c + 1], np.log(np.maximum(c - t * d, 0)) + s[c, 1 : c + 2])
-    return s
-
-
-_LOG_S = {d: _stirling(d, BLOCK_CUSTOMERS) for d in (DISCOUNT, ROOT_DISCOUNT)}
+class Part:
+    """The places of one part: distinct words and contexts, distinct pairs in order, the pair of each place."""
 
-
-def draw_tables(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Table counts of dishes with c customers given x, the weight of a new table."""
-    t = np.minimum(c, 1)
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(2, BLOCK_CUSTOMERS + 2))
-    log_x = np.log(np.maximum(x, 1e-300))
-    for n in range(2, BLOCK_CUSTOMERS + 1):
-        at = order[bounds[n - 2] : bounds[n - 1]]
-        if len(at):
-            p = _LOG_S[d][n, 1 : n + 1] + log_x[at, None] * np.arange(1, n + 1)
-            p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
-            t[at] = 1 + (p < rng.random(len(at))[:, None] * p[:, -1:]).sum(axis=1)
-    at = order[bounds[-1] :]
-    if len(at):
-        seated, tables, all_, new = np.ones(len(at)), np.ones(len(at)), c[at].astype(float), x[at]
-        while True:
-            left = all_ - seated
-            if not (left > 0).any():
-                break
-            group = np.minimum(left, np.maximum(1, seated // 10))
-            p = new / (seated - d * tables + new)
-            tables += rng.binomial(group.astype(np.int64), np.clip(p, 0, 1))
-            seated += group
-        t[at] = tables.astype(t.dtype)
-    return t
-
-
-class Seats:
-    """The chain of one part over its distinct (word, class) pairs; hot words count as ``1 / parts`` of themselves.
-
-    ``kinds``, if given, are the distinct words of each class over all parts, as ``by_class`` are the customers.
-    """
-
-    def __init__(self, word: np.ndarray, u: np.ndarray, c: np.ndarray, n_words: int, hot_words: int, by_class: np.ndarray, parts: int, seed: int, kinds: np.ndarray | None = None):
-        self.word, self.u, self.c, self.n_words, self.parts = word, u, c, n_words, parts
-        self.share = np.ones(n_words)  # how many times a word's local counts make its counts
-        self.share[:hot_words] = parts
-        self.known = np.bincount(word, weights=c, minlength=n_words)
-        self.hot_words, self.by_class = hot_words, by_class
-        self.rng = np.random.default_rng([20240229, seed])
-        self.t = np.minimum(c, 1)
-        self.several = np.flatnonzero(c > 1)
-        self.root_tables = np.minimum(self.known, 1)
-        self.kinds = kinds
-        self.own_kinds = np.bincount(u, minlength=len(by_class))
-        self.own_more = np.bincount(u, weights=c, minlength=len(by_class)) - self.own_kinds
-
-    def tables_of_classes(self) -> np.ndarray:
-        """Tables of each class over all parts, estimated from those of this part."""
-        own = np.bincount(self.u, weights=self.t, minlength=len(self.by_class))
-        if self.kinds is None:
-            return np.minimum(own * self.parts, self.by_class)
-        return self.kinds + (self.by_class - self.kinds) * ((own - self.own_kinds) / np.maximum(self.own_more, 1))
-
-    def sweep(self) -> None:
-        cold = max(1, int((self.known[self.hot_words :] > 0).sum())) * self.parts
-        customers = np.bincount(self.word, weights=self.t, minlength=self.n_words)
-        root_c = max(1.0, customers.sum() * self.parts)
-        root_t = max(1.0, self.root_tables[self.hot_words :].sum() * self.parts)
-        base = 1.0 / (cold + 1)
-        new = ROOT_STRENGTH + ROOT_DISCOUNT * root_t
-        p = np.maximum(customers * self.share - ROOT_DISCOUNT * self.root_tables + new * base, 1e-12) / (ROOT_STRENGTH + root_c)
-        t_u = self.tables_of_classes()
-        at = self.several
-        self.t[at] = draw_tables(self.c[at], (STRENGTH + DISCOUNT * t_u[self.u[at]]) * p[self.word[at]], DISCOUNT, self.rng)
-        customers = np.bincount(self.word, weights=self.t, minlength=self.n_words).astype(np.int64)
-        self.root_tables = draw_tables(customers, np.full(self.n_words, new * base), ROOT_DISCOUNT, self.rng).astype(float)
-        self.customers = customers
-
-    def states(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(tables of pairs, customers of words, root tables of words) of the states that count."""
-        for _ in range(BURN_IN):
-            self.sweep()
-        for _ in range(SAMPLES):
-            self.sweep()
-            yield self.t, self.customers, self.root_tables
-
-
-def _gather(group: pd.DataFrame, n_hot: int, scoring: bool, whole: bool = False):
-    """Entries of a part: (words of the part that aren't hot, dense word numbers with hot ones first, classes, document indices, training marks by entry, sources, ..., contexts of the classes)."""
-    group = group.sort_values("source")
-    words, classes, docs, train, source, size = [], [], [], [], [], []
-    extra, lists, listed = [], [], 0
-    for src, data in zip(group["source"], group["data"], strict=True):
-        b = blobs.unpack(data)
-        if whole:
-            lists.append(blobs.undelta(b.pop(4)))
-            b[2] = b[2].astype(np.int64) + listed
-            listed += len(lists[-1])
-        w = np.repeat(blobs.undelta(b[0]), b[1])
-        words.append((w, b[3].astype(np.int64)))
-        classes.append(b[2].astype(np.int64))
-        if scoring:
-            docs.append(b[4].astype(np.int64))
-            train.append(b[5][b[4]].astype(bool))
-            source.append(int(src))
-            size.append(len(b[5]))
-            extra.append(b[6:])
-    cold, inverse = np.unique(np.concatenate([w for w, _ in words]), return_inverse=True)
-    number, at = [], 0
-    for w, h in words:
-        number += [inverse[at : at + len(w)] + n_hot, h]
-        at += len(w)
-    contexts, u = None, np.concatenate(classes)
-    if whole:
-        contexts, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-        u = inverse[u]
-    return cold, np.concatenate(number), u, docs, train, source, size, extra, contexts
-
-
-def _pairs(number: np.ndarray, u: np.ndarray, weight: np.ndarray | None, contexts: int = CONTEXTS):
-    """Distinct (word, class) pairs in order: (word, class, count, pair of each entry)."""
-    contexts = max(1, contexts)
-    key = number * contexts + u
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    begin = K.runs(sorted_)
-    size = np.diff(np.append(begin, len(key)))
-    pair = np.empty(len(key), np.int64)
-    pair[order] = np.repeat(np.arange(len(begin)), size)
-    count = size if weight is None else np.add.reduceat(weight[order].astype(np.int64), begin) if len(begin) else size
-    return sorted_[begin] // contexts, sorted_[begin] % contexts, count, pair
-
-
-def _by_slice(parts: int, contexts: np.ndarray, columns: list[np.ndarray], part: int) -> list[tuple]:
-    """Rows (key, part, data) of contexts in order and numbers of theirs, for each slice of contexts."""
-    cut = np.searchsorted(_part_of(contexts, parts), np.arange(parts + 1))
-    return [(k, part, blobs.pack(blobs.delta(contexts[a:b]), *(x[a:b] for x in columns))) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-
-
-def _ask(parts: int, hot: np.ndarray, scoring: bool):
-    """Of one part: its contexts by slice; of training places with their customers and distinct words there."""
+    def __init__(self, group: pd.DataFrame, hot: np.ndarray):
+        group = group.sort_values("source")
+        self.docs, self.source, self.size, self.extra = [], [], [], []
+        u_lists, u_runs, w_lists, w_index, train = [], [], [], [], []
+        listed = 0
+        for src, data in zip(group["source"], group["data"], strict=True):
+            b = blobs.unpack(data)
+            u_lists += [blobs.undelta(b[0]), hot[b[2]] if len(b[2]) else np.zeros(0, np.uint64)]
+            u_runs += [b[1].astype(np.int64), np.ones(len(b[2]), np.int64)]
+            w_index.append(b[3].astype(np.int64) + listed)
+            w_lists.append(blobs.undelta(b[4]))
+            listed += len(w_lists[-1])
+            self.docs.append(b[5].astype(np.int64))
+            train.append(b[6][b[5]].astype(bool))
+            self.source.append(int(src))
+            self.size.append(len(b[6]))
+            self.extra.append(b[7:])
+        self.words, which = np.unique(np.concatenate(w_lists), return_inverse=True)
+        w = which[np.concatenate(w_index)]
+        self.contexts, which = np.unique(np.concatenate(u_lists), return_inverse=True)
+        u = np.repeat(which, np.concatenate(u_runs))
+        n = max(1, len(self.words))
+        order, key = K.in_order((u * n + w).astype(np.uint64))
+        begin = K.runs(key)
+        size = np.diff(np.append(begin, len(key)))
+        self.pair = np.empty(len(key), np.int64)
+        self.pair[order] = np.repeat(np.arange(len(begin)), size)
+        key = key[begin].astype(np.int64)
+        self.u, self.w = key // n, key % n
+        self.c = np.bincount(self.pair, weights=np.concatenate(train), minlength=len(key)).astype(np.int64)
+
+
+def _hot_of(contexts: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Numbers of the contexts that are hot."""
+    return np.flatnonzero(np.isin(contexts, hot))
+
+
+class Shared:
+    """The keys of a part, by slice: its words, and its hot contexts under keys of their own."""
+
+    def __init__(self, words: np.ndarray, contexts: np.ndarray, hot: np.ndarray, parts: int):
+        self.hot = _hot_of(contexts, hot)
+        keys = np.concatenate([words, K.mix64(contexts[self.hot] ^ _HOT_KEY)])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.is_word = self.order < len(words)
+        self.cut = np.searchsorted(_slice_of(self.keys, parts), np.arange(parts + 1))
+
+
+def _first(parts: int, hot: np.ndarray):
+    """Of one part: customers and distinct pairs of its keys by slice, and for itself its training pairs."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        part = int(group["part"].iloc[0])
-        if scoring:
-            contexts, columns = np.unique(np.concatenate([blobs.undelta(blobs.unpack(x)[4]) for x in group["data"]])), []
-        else:
-            _, number, u, *_, contexts = _gather(group, len(hot), False, True)
-            _, u, c, _ = _pairs(number, u, None, len(contexts))
-            columns = [np.bincount(u, weights=c, minlength=len(contexts)).astype(np.int64), np.bincount(u, minlength=len(contexts))]
-        return pd.DataFrame(_by_slice(parts, contexts, columns, part), columns=["key", "part", "data"])
+        me = int(group["part"].iloc[0])
+        p = Part(group, hot)
+        seen = p.c > 0
+        u, w, c = p.u[seen], p.w[seen], p.c[seen]
+        sh = Shared(p.words, p.contexts, hot, parts)
+        customers = np.concatenate([np.bincount(w, weights=c, minlength=len(p.words)), np.bincount(u, weights=c, minlength=len(p.contexts))[sh.hot]])[sh.order].astype(np.int64)
+        tables = np.concatenate([np.bincount(w, minlength=len(p.words)), np.bincount(u, minlength=len(p.contexts))[sh.hot]])[sh.order]
+        rows = [(k, me, blobs.pack(blobs.delta(sh.keys[a:b]), customers[a:b], tables[a:b].astype(np.uint32), sh.is_word[a:b].astype(np.uint8))) for k, (a, b) in enumerate(zip(sh.cut[:-1], sh.cut[1:], strict=True))]
+        rows.append((parts + me, me, blobs.pack(blobs.delta(p.contexts), blobs.delta(p.words), _small(np.bincount(u, minlength=len(p.contexts))), _small(w), _small(c))))
+        K.trim()
+        return pd.DataFrame(rows, columns=["key", "part", "data"])
 
     return run
 
 
-def _answer(width: int):
-    """Of one slice of contexts: the sums of ``width`` numbers of each context, for each part that asks (no part asks as -1)."""
+def _first_answer(parts: int):
+    """Of one slice: which keys of each part others have too, their sums, and sums over the slice; what a part has for itself goes back."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        got = [(int(p), blobs.unpack(x)) for p, x in zip(group["part"], group["data"], strict=True)]
-        lists = [blobs.undelta(b[0]) for _, b in got]
-        contexts = np.unique(np.concatenate(lists))
-        total = np.zeros((width, len(contexts)), np.int64)
-        for (_, b), mine in zip(got, lists, strict=True):
-            if len(b) > 1:
-                total[:, np.searchsorted(contexts, mine)] += np.stack(b[1:])
-        rows = [(p, blobs.pack(b[0], *total[:, np.searchsorted(contexts, mine)])) for (p, b), mine in zip(got, lists, strict=True) if p >= 0]
-        return pd.DataFrame(rows, columns=["part", "data"])
+        key = int(group["key"].iloc[0])
+        if key >= parts:
+            return pd.DataFrame({"part": group["part"], "source": -1, "data": group["data"]})
+        got = [blobs.unpack(x) for x in group["data"]]
+        lists = [blobs.undelta(b[0]) for b in got]
+        keys, which = np.unique(np.concatenate(lists), return_inverse=True)
+        n, held = len(keys), np.bincount(which)
+        customers = np.bincount(which, weights=np.concatenate([b[1] for b in got]), minlength=n).astype(np.int64)
+        tables = np.bincount(which, weights=np.concatenate([b[2] for b in got]), minlength=n).astype(np.int64)
+        word = np.zeros(n, dtype=bool)
+        word[which] = np.concatenate([b[3] for b in got]) > 0
+        known = word & (customers > 0)
+        t, weight = root_draws(keys[known], tables[known], 0, 0, 0)
+        sums = np.array([known.sum(), customers[known].sum(), tables[known].sum(), t.sum(), weight.sum()], np.int64)
+        rows, at = [], 0
+        for part, mine in zip(group["part"], lists, strict=True):
+            k = which[at : at + len(mine)]
+            at += len(mine)
+            several = held[k] > 1
+            rows.append((part, key, blobs.pack(sums, several.astype(np.uint8), customers[k][several], tables[k][several])))
+        return pd.DataFrame(rows, columns=["part", "source", "data"])
 
     return run
 
 
-def _received(answers: pd.DataFrame, contexts: np.ndarray, width: int) -> np.ndarray:
-    """(width, contexts) numbers of the contexts of a part."""
-    out = np.zeros((width, len(contexts)), np.int64)
-    for x in answers["data"]:
-        b = blobs.unpack(x)
-        out[:, np.searchsorted(contexts, blobs.undelta(b[0]))] = np.stack(b[1:])
+class State:
+    """What a part knows of the root after a sweep, for each of its words; and tables of hot contexts."""
+
+    def __init__(self, sh: Shared, n_words: int):
+        self.sh, self.n_words = sh, n_words
+
+    def take(self, customers: np.ndarray, tables: np.ndarray, sums: np.ndarray) -> None:
+        """Numbers by key in the order of ``sh.keys``."""
+        back = np.empty(len(self.sh.order), np.int64)
+        back[self.sh.order] = customers
+        self.customers, self.hot_tables = back[: self.n_words], back[self.n_words :]
+        back = np.empty(len(self.sh.order), np.int64)
+        back[self.sh.order] = tables
+        self.tables = back[: self.n_words]
+        self.all_customers, self.all_tables, self.all_weights = (int(x) for x in sums)
+
+
+def _first_state(rows: pd.DataFrame, sh: Shared, own: np.ndarray, own_tables: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, int, int, State]:
+    """(which keys others have, customers by key, V, N, the state before the first sweep)."""
+    several, customers, tables, sums = np.zeros(len(sh.keys), dtype=bool), own.copy(), own_tables.copy(), np.zeros(5, np.int64)
+    for k, data in zip(rows["source"], rows["data"], strict=True):
+        if k >= 0:
+            a, b = sh.cut[k], sh.cut[k + 1]
+            s, held, c, t = blobs.unpack(data)
+            held = held > 0
+            sums += s
+            several[a:b] = held
+            customers[a:b][held], tables[a:b][held] = c, t
+    state = State(sh, n_words)
+    state.take(tables, np.minimum(tables, 1), sums[2:])
+    return several, customers, int(sums[0]), int(sums[1]), state
+
+
+def _received(rows: pd.DataFrame, sh: Shared, several: np.ndarray, own: np.ndarray, before: int, words: int, sweep: int, state: State) -> None:
+    """The state after a sweep: sums of keys that others have too, and own numbers of the rest."""
+    customers, tables, sums = own.copy(), np.zeros(len(own), np.int64), np.zeros(3, np.int64)
+    for k, data in zip(rows["source"], rows["data"], strict=True):
+        if k >= 0:
+            a, b = sh.cut[k], sh.cut[k + 1]
+            s, c, t = blobs.unpack(data)
+            sums += s
+            held = several[a:b]
+            customers[a:b][held], tables[a:b][held] = c, t
+    alone = np.flatnonzero(~several & sh.is_word)
+    tables[alone] = root_draws(sh.keys[alone], customers[alone], before, words, sweep)[0]
+    state.take(customers, tables, sums)
+
+
+def _own_keys(sh: Shared, u: np.ndarray, w: np.ndarray, t: np.ndarray, n_contexts: int, n_words: int) -> np.ndarray:
+    """Sums of a number of pairs by key."""
+    return np.concatenate([np.bincount(w, weights=t, minlength=n_words), np.bincount(u, weights=t, minlength=n_contexts)[sh.hot]])[sh.order].astype(np.int64)
+
+
+def _tables_of_contexts(u: np.ndarray, t: np.ndarray, n_contexts: int, sh: Shared, hot_tables: np.ndarray) -> np.ndarray:
+    out = np.bincount(u, weights=t, minlength=n_contexts)
+    out[sh.hot] = hot_tables
     return out
 
 
-def _totals(parts: int, hot: np.ndarray, by_class: np.ndarray):
-    """Of one part: sums over each state, by key: -1 of (words, customers, root tables) that aren't hot, -3 of hot words, chunks of classes."""
+def sweep_tables(pair_keys: np.ndarray, u: np.ndarray, c: np.ndarray, context_keys: np.ndarray, tables_of: np.ndarray, weight: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of pairs after a sweep, from the tables of contexts before and the root's weights of the pairs' words."""
+    x = gamma(context_keys, STRENGTH / DISCOUNT + tables_of, sweep)
+    return draw_tables(c, DISCOUNT * x[u] * weight, DISCOUNT, pair_keys, sweep)
+
+
+def root_weights(word: np.ndarray, customers: np.ndarray, tables: np.ndarray, all_tables: int, all_weights: int, words: int, sweep: int) -> np.ndarray:
+    """G(w) of words in the state after a sweep."""
+    weight = np.zeros(len(word))
+    some = customers > 0
+    weight[some] = np.maximum(1, np.round(gamma(word[some], customers[some] - ROOT_DISCOUNT * tables[some], sweep) * (1 << 20)))
+    new = gamma(np.array([_HOT_KEY ^ _U(1)]), np.array([ROOT_STRENGTH + ROOT_DISCOUNT * all_tables]), sweep)[0] * (1 << 20)
+    return (weight + new / (words + 1)) / (all_weights + new)
+
+
+def _sweep(parts: int, hot: np.ndarray, sweep: int):
+    """Of one part: a sweep over its pairs; sums of shared keys by slice, and for itself its tables."""
+
+    def run(first: pd.DataFrame, last: pd.DataFrame) -> pd.DataFrame:
+        if len(first) == 0:
+            return pd.DataFrame({"key": [], "part": [], "data": []})
+        me = int(first["part"].iloc[0])
+        contexts, words, runs, w, c = blobs.unpack(first["data"][first["source"] == -1].iloc[0])
+        contexts, words, w, c = blobs.undelta(contexts), blobs.undelta(words), w.astype(np.int64), c.astype(np.int64)
+        u = np.repeat(np.arange(len(contexts)), runs)
+        sh = Shared(words, contexts, hot, parts)
+        several, _, n_words, _, state = _first_state(first, sh, _own_keys(sh, u, w, c, len(contexts), len(words)), _own_keys(sh, u, w, np.ones(len(u)), len(contexts), len(words)), len(words))
+        t = np.minimum(c, 1)
+        if sweep > 1:
+            own = last["data"][last["source"] == -1].iloc[0]
+            t, before = (x.astype(np.int64) for x in blobs.unpack(own))
+            _received(last, sh, several, _own_keys(sh, u, w, t, len(contexts), len(words)), int(before[0]), n_words, sweep - 1, state)
+        weight = root_weights(words, state.customers, state.tables, state.all_tables, state.all_weights, n_words, sweep - 1)
+        tables_of = _tables_of_contexts(u, t, len(contexts), sh, state.hot_tables)
+        t = sweep_tables(_pair_keys(words[w], contexts[u]), u, c, contexts, tables_of, weight[w], sweep)
+        own = _own_keys(sh, u, w, t, len(contexts), len(words))
+        alone = np.flatnonzero(~several & sh.is_word)
+        root, weights = root_draws(sh.keys[alone], own[alone], state.all_tables, n_words, sweep)
+        private, nothing = np.array([own[alone].sum(), root.sum(), weights.sum()], np.int64), np.zeros(3, np.int64)
+        told = np.array([state.all_tables, n_words], np.int64)
+        rows = []
+        for k, (a, b) in enumerate(zip(sh.cut[:-1], sh.cut[1:], strict=True)):
+            held = several[a:b]
+            rows.append((k, me, blobs.pack(private if k == me else nothing, told, blobs.delta(sh.keys[a:b][held]), own[a:b][held].astype(np.uint32), sh.is_word[a:b][held].astype(np.uint8))))
+        rows.append((parts + me, me, blobs.pack(_small(t), told[:1])))
+        K.trim()
+        return pd.DataFrame(rows, columns=["key", "part", "data"])
+
+    return run
+
+
+def _sweep_answer(parts: int, sweep: int):
+    """Of one slice: the sums of each part's keys, the root's tables drawn for them, and sums over the slice."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        cold, number, u, *_ = _gather(group, len(hot), False)
-        word, u, c, _ = _pairs(number, u, None)
-        seats = Seats(word, u, c, len(hot) + len(cold), len(hot), by_class, parts, int(group["part"].iloc[0]))
-        sums, warm, classes = [float(len(cold))], [seats.known[: len(hot)]], []
-        for t, customers, root in seats.states():
-            sums += [float(customers[len(hot) :].sum()), float(root[len(hot) :].sum())]
-            warm.append(customers[: len(hot)].astype(float))
-            classes.append(np.bincount(u, weights=t, minlength=CONTEXTS))
-        rows = [(-1, blobs.pack(np.array(sums))), (-3, blobs.pack(np.concatenate(warm)))]
-        classes = np.stack(classes)
-        rows += [(k, blobs.pack(classes[:, k * CHUNK : (k + 1) * CHUNK].astype(np.int64).reshape(-1))) for k in range(-(-CONTEXTS // CHUNK))]
-        return pd.DataFrame(rows, columns=["key", "data"])
+        key = int(group["key"].iloc[0])
+        if key >= parts:
+            return pd.DataFrame({"part": group["part"], "source": -1, "data": group["data"]})
+        got = [blobs.unpack(x) for x in group["data"]]
+        lists = [blobs.undelta(b[2]) for b in got]
+        keys, which = np.unique(np.concatenate(lists), return_inverse=True)
+        customers = np.bincount(which, weights=np.concatenate([b[3] for b in got]), minlength=len(keys)).astype(np.int64)
+        word = np.zeros(len(keys), dtype=bool)
+        word[which] = np.concatenate([b[4] for b in got]) > 0
+        before, n_words = (int(x) for x in got[0][1])
+        tables = np.zeros(len(keys), np.int64)
+        tables[word], weight = root_draws(keys[word], customers[word], before, n_words, sweep)
+        sums = np.array([customers[word].sum(), tables.sum(), weight.sum()], np.int64) + sum(b[0] for b in got)
+        rows, at = [], 0
+        for part, mine in zip(group["part"], lists, strict=True):
+            k = which[at : at + len(mine)]
+            at += len(mine)
+            rows.append((part, key, blobs.pack(sums, customers[k], _small(tables[k]))))
+        return pd.DataFrame(rows, columns=["part", "source", "data"])
 
     return run
 
 
-def _totals_whole(parts: int, hot: np.ndarray):
-    """Of one part: sums over each state as in ``_totals``; by slices of contexts customers, distinct words and tables of each state."""
+def root_mean(customers, tables, all_customers: int, all_tables: int, words: int):
+    """P(w) of words in the root."""
+    return (customers - ROOT_DISCOUNT * tables + (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) / (words + 1)) / (ROOT_STRENGTH + all_customers)
 
-    def run(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        part = int(group["part"].iloc[0])
-        cold, number, u, *_, contexts = _gather(group, len(hot), False, True)
-        word, u, c, _ = _pairs(number, u, None, len(contexts))
-        customers_of, kinds = _received(answers, contexts, 2)
-        seats = Seats(word, u, c, len(hot) + len(cold), len(hot), customers_of, parts, part, kinds)
-        sums, warm = [float(len(cold))], [seats.known[: len(hot)]]
-        columns = [seats.own_more.astype(np.int64) + seats.own_kinds, seats.own_kinds]
-        for t, customers, root in seats.states():
-            sums += [float(customers[len(hot) :].sum()), float(root[len(hot) :].sum())]
-            warm.append(customers[: len(hot)].astype(float))
-            columns.append(np.bincount(u, weights=t, minlength=len(contexts)).astype(np.int64))
-        rows = [(-1, -1, blobs.pack(np.array(sums))), (-3, -1, blobs.pack(np.concatenate(warm)))]
-        return pd.DataFrame(rows + _by_slice(parts, contexts, columns, -1), columns=["key", "part", "data"])
 
-    return run
+def below(c, t, tables_of, customers_of, p):
+    """P(w | u) by the pair's customers and tables, the context's tables and customers, and P(w)."""
+    return (c - DISCOUNT * t + (STRENGTH + DISCOUNT * tables_of) * p) / (STRENGTH + customers_of)
 
 
-class Model:
-    """What all parts must know; its size depends on SAMPLES and HOT, and on the classes of ``by_class``, of which the query has none here: ``of`` adds those of a part."""
-
-    def __init__(self, hot: np.ndarray, by_class: np.ndarray, tokens: int, totals: dict[int, np.ndarray], seed: int = 11):
-        self.hot, self.by_class, self.tokens = hot, by_class.astype(np.float64), tokens
-        sums = totals.get(-1, np.zeros(1 + 2 * SAMPLES))
-        warm = totals.get(-3, np.zeros((1 + SAMPLES) * len(hot))).reshape(1 + SAMPLES, len(hot))
-        self.hot_counts = warm[0]
-        self.words = int(sums[0]) + int((warm[0] > 0).sum())
-        self.base = 1.0 / (self.words + 1)
-        rng = np.random.default_rng([20240229, 1 << 40, seed])
-        self.root_c, self.root_t, self.hot_customers, self.hot_tables = [], [], [], []
-        for s in range(SAMPLES):
-            c = warm[1 + s].astype(np.int64)
-            new = (ROOT_STRENGTH + ROOT_DISCOUNT * max(1.0, sums[2 + 2 * s])) * self.base
-            t = draw_tables(c, np.full(len(c), new), ROOT_DISCOUNT, rng).astype(float)
-            self.hot_customers.append(c)
-            self.hot_tables.append(t)
-            self.root_c.append(sums[1 + 2 * s] + c.sum())
-            self.root_t.append(sums[2 + 2 * s] + t.sum())
-        chunks = [totals.get(k, np.zeros(SAMPLES * len(by_class[k * CHUNK : (k + 1) * CHUNK]), np.int64)).reshape(SAMPLES, -1) for k in range(-(-len(by_class) // CHUNK))]
-        self.tables = np.concatenate([np.zeros((SAMPLES, 0)), *chunks], axis=1).astype(np.float64)
-
-    def of(self, by_class: np.ndarray, tables: np.ndarray) -> Model:
-        """This model with customers and, by state, tables of the restaurants of a part."""
-        out = copy.copy(self)
-        out.by_class, out.tables = by_class.astype(np.float64), tables.astype(np.float64)
-        return out
-
-    def root(self, s: int, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """P(w) of words by their root customers and tables in state s."""
-        new = (ROOT_STRENGTH + ROOT_DISCOUNT * self.root_t[s]) * self.base
-        return (customers - ROOT_DISCOUNT * tables + new) / (ROOT_STRENGTH + self.root_c[s])
-
-    def below(self, s: int, u: np.ndarray, c: np.ndarray, t: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """P(w | u) of pairs by their customers, tables and P(w)."""
-        return (c - DISCOUNT * t + (STRENGTH + DISCOUNT * self.tables[s][u]) * p) / (STRENGTH + self.by_class[u])
-
-
-def _score(parts: int, sent):
-    """Of one part: for each source, sums over its documents of log10(c + 0.5), log10 P and known tokens."""
+def _score(parts: int, hot: np.ndarray):
+    """Of one part: for each source, sums over its documents of log10(c + 0.5), log10 P and known tokens, and N and V."""
 
     def run(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        n_hot = len(sent.value.hot)
-        cold, number, u, docs, train, source, size, extra, contexts = _gather(group, n_hot, True, True)
-        word, u, c, pair = _pairs(number, u, np.concatenate(train), len(contexts))
-        customers_of, kinds, *tables_of = _received(answers, contexts, 2 + SAMPLES)
-        model: Model = sent.value.of(customers_of, np.stack(tables_of))
-        seen = np.flatnonzero(c > 0)
-        trained = np.unique(word[seen][word[seen] >= n_hot])  # the words that the chain of the training places has, in the same order
-        chain = np.full(n_hot + len(cold), -1, np.int64)
-        chain[:n_hot] = np.arange(n_hot)
-        chain[trained] = n_hot + np.arange(len(trained))
-        seats = Seats(chain[word[seen]], u[seen], c[seen], n_hot + len(trained), n_hot, customers_of, parts, int(group["part"].iloc[0]), kinds)
-        known = np.bincount(word, weights=c, minlength=n_hot + len(cold))
-        known[:n_hot] = model.hot_counts
-        total = np.zeros(len(word))
-        if len(seen):
-            states = seats.states()
-        else:
-            states = iter([(np.zeros(0), np.zeros(n_hot), np.zeros(n_hot))] * SAMPLES)
-        for s, (t, customers, root) in enumerate(states):
-            cust, tab = np.zeros(n_hot + len(cold)), np.zeros(n_hot + len(cold))
-            cust[trained], tab[trained] = customers[n_hot:], root[n_hot:]
-            cust[:n_hot], tab[:n_hot] = model.hot_customers[s], model.hot_tables[s]
-            tables = np.zeros(len(word))
+        if len(group) == 0:
+            return pd.DataFrame({"source": [], "data": []})
+        p = Part(group, hot)
+        seen = np.flatnonzero(p.c > 0)
+        u, w, c = p.u[seen], p.w[seen], p.c[seen]
+        sh = Shared(p.words, p.contexts, hot, parts)
+        size = len(p.contexts), len(p.words)
+        first = answers[answers["sweep"] == 0]
+        several, customers, n_words, tokens, state = _first_state(first, sh, _own_keys(sh, u, w, c, *size), _own_keys(sh, u, w, np.ones(len(u)), *size), size[1])
+        back = np.empty(len(sh.order), np.int64)
+        back[sh.order] = customers
+        known, customers_of = back[: size[1]], np.bincount(u, weights=c, minlength=size[0])
+        customers_of[sh.hot] = back[size[1] :]
+        total = np.zeros(len(p.c))
+        for sweep in sorted(x for x in answers["sweep"].unique() if x):
+            rows = answers[answers["sweep"] == sweep]
+            t, before = (x.astype(np.int64) for x in blobs.unpack(rows["data"][rows["source"] == -1].iloc[0]))
+            _received(rows, sh, several, _own_keys(sh, u, w, t, *size), int(before[0]), n_words, int(sweep), state)
+            mean = root_mean(state.customers, state.tables, state.all_customers, state.all_tables, n_words)
+            tables_of = _tables_of_contexts(u, t, size[0], sh, state.hot_tables)
+            tables = np.zeros(len(p.c))
             tables[seen] = t
-            total += model.below(s, u, c, tables, model.root(s, cust, tab)[word])
+            total += below(p.c, tables, tables_of[p.u], customers_of[p.u], mean[p.w])
         log_p = np.log10(total / SAMPLES)
-        log_c = np.log10(known + 0.5)[word]
-        is_known = (known > 0)[word]
+        log_c = np.log10(known + 0.5)[p.w]
+        is_known = (known > 0)[p.w]
         rows, at = [], 0
-        for d, src, n, info in zip(docs, source, size, extra, strict=True):
-            mine = pair[at : at + len(d)]
+        for d, src, n, info in zip(p.docs, p.source, p.size, p.extra, strict=True):
+            mine = p.pair[at : at + len(d)]
             at += len(d)
             sums = [np.bincount(d, weights=x[mine], minlength=n) for x in (log_c, log_p, is_known)]
-            rows.append((src, blobs.pack(*sums[:2], sums[2].astype(np.uint32), *info)))
+            rows.append((src, blobs.pack(*sums[:2], sums[2].astype(np.uint32), np.array([tokens, n_words], np.int64), *info)))
+        K.trim()
         return pd.DataFrame(rows, columns=["source", "data"])
 
     return run
 
 
-def _finish(tokens: int, words: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sums, info = None, None
-        for data in group.sort_values("data")["data"]:
-            b = blobs.unpack(data)
-            mine = [x.astype(np.float64) for x in b[:3]]
-            sums = mine if sums is None else [a + x for a, x in zip(sums, mine, strict=True)]
-            if len(b) > 3:
-                info = b[3:]
-        ids, null, n = blobs.undelta(info[0]), info[1].astype(bool), info[2].astype(np.int64)
-        doc_id = pd.array(ids, dtype="Int64")
-        doc_id[null] = pd.NA
-        held = held_out_rows([None if z else int(x) for x, z in zip(ids, null, strict=True)])
-        base = sums[0] - n * np.log10(tokens + 0.5 * (words + 1))
-        return pd.DataFrame({"doc_id": doc_id, "held_out": held, "n_tokens": n, "n_known": sums[2].astype(np.int64), "train_tokens": tokens, "base_score": base, "score": sums[1]})
-
-    return run
-
-
-def _collected(rows) -> dict[int, list[np.ndarray]]:
-    return {r.key: blobs.unpack(bytes(r.data)) for r in rows}
+def _finish(group: pd.DataFrame) -> pd.DataFrame:
+    sums, info = None, None
+    for data in group.sort_values("data")["data"]:
+        b = blobs.unpack(data)
+        mine = [x.astype(np.float64) for x in b[:3]]
+        sums = mine if sums is None else [a + x for a, x in zip(sums, mine, strict=True)]
+        tokens, words = (int(x) for x in b[3])
+        if len(b) > 4:
+            info = b[4:]
+    ids, null, n = blobs.undelta(info[0]), info[1].astype(bool), info[2].astype(np.int64)
+    doc_id = pd.array(ids, dtype="Int64")
+    doc_id[null] = pd.NA
+    held = held_out_rows([None if z else int(x) for x, z in zip(ids, null, strict=True)])
+    base = sums[0] - n * np.log10(tokens + 0.5 * (words + 1))
+    return pd.DataFrame({"doc_id": doc_id, "held_out": held, "n_tokens": n, "n_known": sums[2].astype(np.int64), "train_tokens": tokens, "base_score": base, "score": sums[1]})
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    parts = K.hot_conf(spark)
-    census = _collected(docs.mapInArrow(_census_whole, "key int, data binary").groupBy("key").applyInPandas(_most_frequent(4 * HOT), "key int, data binary").collect())
+    parts = K.hot_conf(docs.sparkSession)
+    census = {r.key: blobs.unpack(bytes(r.data)) for r in docs.mapInArrow(_census, "key int, data binary").groupBy("key").applyInPandas(_census_sum, "key int, data binary").collect()}
     tokens = int(census[-1][0][0]) if -1 in census else 0
     frequent = census.get(-2, [np.zeros(0, np.uint64), np.zeros(0, np.int64)])
-    hot = np.sort(frequent[0][frequent[1] * HOT >= tokens]) if tokens else np.zeros(0, np.uint64)
-    hot = hot[: 4 * HOT]
-    asked, answered = "key int, part int, data binary", "part int, data binary"
-    seen = docs.mapInArrow(_exchange(parts, hot, False, True), "part int, source long, data binary")
-    told = seen.groupBy("part").applyInPandas(_ask(parts, hot, False), asked).groupBy("key").applyInPandas(_answer(2), answered)
-    summed = K.checkpoint(seen.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_totals_whole(parts, hot), asked))
-    totals = {k: v[0] for k, v in _collected(summed.where("key < 0").select("key", "data").groupBy("key").applyInPandas(_sum_arrays, "key int, data binary").collect()).items()}
-    model = Model(hot, np.zeros(0), tokens, totals)
-    sent = spark.sparkContext.broadcast(model)
-    placed = docs.mapInArrow(_exchange(parts, hot, True, True), "part int, source long, data binary")
-    asks = placed.groupBy("part").applyInPandas(_ask(parts, hot, True), asked)
-    told = asks.unionByName(summed.where("key >= 0")).groupBy("key").applyInPandas(_answer(2 + SAMPLES), answered)
-    scored = placed.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(_score(parts, sent), "source long, data binary")
-    return scored.groupBy("source").applyInPandas(_finish(tokens, model.words), SCHEMA)
+    hot = np.sort(frequent[0][frequent[1] * HOT >= tokens])[: 4 * HOT] if tokens else np.zeros(0, np.uint64)
+    told, answered = "key int, part int, data binary", "part int, source int, data binary"
+    placed = docs.mapInArrow(K.tidy(_exchange(parts, hot)), "part int, source long, data binary").groupBy("part")
+    first = placed.applyInPandas(_first(parts, hot), told).groupBy("key").applyInPandas(_first_answer(parts), answered)
+    last, sampled = first, first.where("source >= 0").withColumn("sweep", F.lit(0))
+    for sweep in range(1, BURN_IN + SAMPLES + 1):
+        swept = first.groupBy("part").cogroup(last.groupBy("part")).applyInPandas(_sweep(parts, hot, sweep), told)
+        last = swept.groupBy("key").applyInPandas(_sweep_answer(parts, sweep), answered)
+        if sweep > BURN_IN:
+            sampled = sampled.union(last.withColumn("sweep", F.lit(sweep)))
+    scored = placed.cogroup(sampled.groupBy("part")).applyInPandas(_score(parts, hot), "source long, data binary")
+    return scored.groupBy("source").applyInPandas(_finish, SCHEMA)

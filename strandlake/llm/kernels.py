@@ -131,6 +131,17 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flag)
 
 
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of keys in their order, the sorted keys); where key and place fit a word together they are sorted as one, which is much faster."""
+    n = len(keys)
+    wide = np.uint64(max(1, n - 1).bit_length())
+    if n and int(keys.max()).bit_length() + int(wide) <= 64:
+        both = np.sort(keys << wide | np.arange(n, dtype=np.uint64))
+        return (both & ((np.uint64(1) << wide) - np.uint64(1))).view(np.int64), both >> wide
+    order = np.argsort(keys)
+    return order, keys[order]
+
+
 def ranges_concat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of arange(start, start+length)."""
     total = int(lengths.sum())

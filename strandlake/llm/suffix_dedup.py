@@ -133,20 +133,9 @@ def phrase_hashes(raw: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.n
     return _range_hashes(raw, first, first + count + LENGTH - 1)
 
 
-def _in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of keys in their order, the sorted keys); where key and place fit a word together they are sorted as one, which is much faster."""
-    n = len(keys)
-    wide = np.uint64(max(1, n - 1).bit_length())
-    if n and int(keys.max()).bit_length() + int(wide) <= 64:
-        both = np.sort(keys << wide | np.arange(n, dtype=np.uint64))
-        return (both & ((np.uint64(1) << wide) - np.uint64(1))).view(np.int64), both >> wide
-    order = np.argsort(keys)
-    return order, keys[order]
-
-
 def _ranked(keys: np.ndarray) -> np.ndarray:
     """Dense ranks of keys, from 0."""
-    order, sorted_ = _in_order(keys)
+    order, sorted_ = K.in_order(keys)
     out = np.empty(len(keys), np.int64)
     step = np.zeros(len(keys), np.int64)
     step[1:] = sorted_[1:] != sorted_[:-1]
@@ -181,7 +170,7 @@ def _dictionary_ranks(text: np.ndarray, left: np.ndarray) -> np.ndarray:
 def _split_ties(rank: np.ndarray, tied: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
     """Ranks (places of the first of equals) of tied suffixes by a second key of ``bits`` bits; gives those that are still tied."""
     key = second if bits == 64 else rank[tied].astype(np.uint64) << np.uint64(bits) | second
-    order, key = _in_order(key)
+    order, key = K.in_order(key)
     n = len(key)
     new = np.ones(n + 1, dtype=bool)
     new[1:n] = key[1:] != key[:-1]
@@ -243,7 +232,7 @@ def corpus_order(data: np.ndarray, size: np.ndarray, places: np.ndarray) -> np.n
     more = at + 1 < len(begin)
     more[more] = string[at[more] + 1] == string[at[more]]
     key[more] |= (follow[at[more] + 1] + 1).astype(np.uint64)
-    return _in_order(key)[0]
+    return K.in_order(key)[0]
 
 
 def smallest_owner(data: np.ndarray, count: np.ndarray, owner: np.ndarray) -> np.ndarray:
