@@ -24,20 +24,25 @@ def gw_to_chrom(df: DataFrame, genome: DataFrame, gw: str = "gwpos") -> DataFram
     return df.join(g, (F.col(gw) >= F.col("_g")) & (F.col(gw) < F.col("_end"))).withColumn("pos", F.col(gw) - F.col("_g")).drop("_g", "_end")
 
 
-def bp_to_cm(df: DataFrame, gmap: DataFrame, bp: str, out: str = "cm") -> DataFrame:
-    """Piecewise linear and clamped to the knots; distinct positions meet the broadcast map, then rejoin."""
-    m = F.broadcast(gmap)
-    p = df.select(F.col(bp).alias("_p")).distinct()
+def _binned(gmap: DataFrame, low: str, high: str, width: float) -> DataFrame:
+    """Knots dealt to the bins of ``width`` that they reach."""
+    return gmap.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+
+
+def bp_to_cm(df: DataFrame, gmap: DataFrame, bp: str, out: str = "cm", width: int = 1_000_000) -> DataFrame:
+    """Piecewise linear and clamped to the knots; distinct positions meet the knots of their bin, then rejoin."""
+    p = df.select(F.col(bp).alias("_p")).distinct().withColumn("_bin", F.floor(F.col("_p") / width))
     y = F.col("y1") + (F.col("_p") - F.col("x1")) * ((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
-    at = p.join(m, (F.col("_p") >= F.col("x1")) & (F.col("_p") < F.col("x2"))).select("_p", F.greatest("y1", F.least("y2", y)).alias(out))
+    at = p.join(_binned(gmap, "x1", "x2", width), "_bin").where((F.col("_p") >= F.col("x1")) & (F.col("_p") < F.col("x2"))).select("_p", F.greatest("y1", F.least("y2", y)).alias(out))
     return df.join(at, F.col(bp) == F.col("_p"), "left").drop("_p")
 
 
-def cm_to_bp(df: DataFrame, gmap: DataFrame, cm: str, out: str = "bp") -> DataFrame:
-    """Inverse of the map, cut to whole bp and clamped to the knots."""
-    m = F.broadcast(gmap)
-    x = F.floor(F.col("x1") + (F.col(cm) - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))))
-    return df.join(m, (F.col(cm) >= F.col("y1")) & (F.col(cm) < F.col("y2")), "left").withColumn(out, F.greatest("x1", F.least("x2", x))).drop("x1", "x2", "y1", "y2")
+def cm_to_bp(df: DataFrame, gmap: DataFrame, cm: str, out: str = "bp", width: float = 10.0) -> DataFrame:
+    """Inverse of the map, cut to whole bp and clamped to the knots; distinct values meet the knots of their bin, then rejoin."""
+    p = df.select(F.col(cm).alias("_c")).distinct().withColumn("_bin", F.floor(F.col("_c") / width))
+    x = F.floor(F.col("x1") + (F.col("_c") - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))))
+    at = p.join(_binned(gmap, "y1", "y2", width), "_bin").where((F.col("_c") >= F.col("y1")) & (F.col("_c") < F.col("y2"))).select("_c", F.greatest("x1", F.least("x2", x)).alias(out))
+    return df.join(at, F.col(cm) == F.col("_c"), "left").drop("_c")
 
 
 def constant_cm(bp: Column, bp_per_cm: float = 15_000.0) -> Column:

@@ -9,20 +9,22 @@ from . import intervals as I
 from . import rare
 
 
-def _carried(rec: DataFrame, segs: DataFrame, width: int) -> DataFrame:
-    """Pairs of a record's point and a segment over it."""
-    pts = rec.select(F.col("pos").alias("s"), (F.col("pos") + 1).alias("e"), "genome")
-    return I.interval_join(pts, segs, [], width)
+def _at(rec: DataFrame, genome: str, *more: str) -> DataFrame:
+    """Records as points (s, e) of a genome column of the given name."""
+    return rec.select(F.col("pos").alias("s"), (F.col("pos") + 1).alias("e"), F.col("genome").alias(genome), *more)
 
 
 def position_scan(rec: DataFrame, segs: DataFrame, width: int = 100_000) -> DataFrame:
-    """For positions of one allele with two carriers or more: segments over it with both, one or no carrying ends."""
+    """For positions of one allele with two carriers or more: segments over it with both, one or no carrying ends.
+
+    A segment meets the records of its two genomes only, by genome and bin.
+    """
     r = rare.drop_multiallelic(rec)
     keep = r.groupBy("pos").agg(F.count("*").alias("carriers")).where("carriers >= 2")
     r = r.join(keep.select("pos"), "pos", "left_semi")
     numbered = segs.withColumn("seg_id", F.monotonically_increasing_id()) if "seg_id" not in segs.columns else segs
-    j = _carried(r, numbered, width).where((F.col("genome") == F.col("g1_b")) | (F.col("genome") == F.col("g2_b")))
-    per = j.groupBy(F.col("s").alias("pos"), "seg_id_b").agg(F.count("*").alias("k"))
+    ends = numbered.select("seg_id", "s", "e", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("genome"))
+    per = I.interval_join(_at(r, "genome"), ends, ["genome"], width).groupBy(F.col("s").alias("pos"), "seg_id_b").agg(F.count("*").alias("k"))
     c = per.groupBy("pos").agg(F.sum((F.col("k") == 2).cast("long")).alias("within"), F.sum((F.col("k") == 1).cast("long")).alias("between"))
     points = keep.select(F.lit(0).alias("z"), F.col("pos").alias("p"), "carriers")
     cov = I.sweep_coverage(points, segs.select(F.lit(0).alias("z"), "s", "e"), ["z"], width=width).withColumnRenamed("p", "pos")
@@ -30,26 +32,32 @@ def position_scan(rec: DataFrame, segs: DataFrame, width: int = 100_000) -> Data
     return out.select("pos", "carriers", "within", "between", (F.col("cov") - F.col("within") - F.col("between")).alias("outside"))
 
 
-def pair_counters(rec: DataFrame, segs: DataFrame) -> DataFrame:
-    """Over all pairs of genomes: positions that one or both carry, with equal or different alleles, inside and outside shared segments."""
+def pair_counters(rec: DataFrame, segs: DataFrame, width: int = 100_000) -> DataFrame:
+    """Over all pairs of genomes: positions that one or both carry, with equal or different alleles, inside and outside shared segments.
+
+    Only whether any segment of the pair covers a position matters, so segments merge first; records meet them by genome and bin.
+    """
     pairs = rare.pair_table(rec)
     whole = pairs.agg(F.sum(F.col("n1") + F.col("n2") - 2 * F.col("both")).alias("one"), F.sum("eq").alias("eq"), F.sum(F.col("both") - F.col("eq")).alias("ne"))
-    s = segs.select("g1", "g2", "s", "e").distinct()
-    end = lambda g: rec.select(F.col("genome").alias(g), "pos", F.col("allele").alias(f"a_{g}"))
-    one = s.join(end("g1"), "g1").where("s <= pos and pos < e").select("g1", "g2", "pos", "a_g1").distinct()
-    two = s.join(end("g2"), "g2").where("s <= pos and pos < e").select("g1", "g2", "pos", "a_g2").distinct()
-    j = one.join(two, ["g1", "g2", "pos"], "full")
+    s = I.islands(segs, ["g1", "g2"])
+
+    def covered(own: str, other: str) -> DataFrame:
+        j = I.interval_join(_at(rec, own, F.col("allele").alias(f"a_{own}")), s, [own], width)
+        return j.select(own, F.col(f"{other}_b").alias(other), F.col("s").alias("pos"), f"a_{own}")
+
+    j = covered("g1", "g2").join(covered("g2", "g1"), ["g1", "g2", "pos"], "full")
     inside = j.agg(F.coalesce(F.sum((F.col("a_g1").isNull() | F.col("a_g2").isNull()).cast("long")), F.lit(0)).alias("ibd_one"), F.coalesce(F.sum((F.col("a_g1") == F.col("a_g2")).cast("long")), F.lit(0)).alias("ibd_eq"), F.coalesce(F.sum((F.col("a_g1") != F.col("a_g2")).cast("long")), F.lit(0)).alias("ibd_ne"))
     return whole.crossJoin(inside).select("ibd_one", "ibd_eq", "ibd_ne", (F.col("one") - F.col("ibd_one")).alias("out_one"), (F.col("eq") - F.col("ibd_eq")).alias("out_eq"), (F.col("ne") - F.col("ibd_ne")).alias("out_ne"))
 
 
-def matched_rows(rec: DataFrame, segs: DataFrame) -> DataFrame:
-    """Positions where a pair carries equal alleles, with the least segment (s, e) of the pair over it, if any."""
+def matched_rows(rec: DataFrame, segs: DataFrame, width: int = 100_000) -> DataFrame:
+    """Positions where a pair carries equal alleles, with the least segment (s, e) of the pair over it, if any; they meet by pair and bin."""
     a = rec.select("pos", F.col("genome").alias("g1"), F.col("allele").alias("a1"))
     b = rec.select("pos", F.col("genome").alias("g2"), F.col("allele").alias("a2"))
     m = a.join(b, "pos").where("g1 > g2 and a1 = a2").select("g1", "g2", "pos", F.col("a1").alias("allele"))
-    c = m.join(segs.select("g1", "g2", "s", "e"), ["g1", "g2"]).where("s <= pos and pos < e").groupBy("g1", "g2", "pos").agg(F.min(F.struct("s", "e")).alias("x"))
-    return m.join(c, ["g1", "g2", "pos"], "left").select("g1", "g2", "pos", "allele", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    points = m.select("g1", "g2", "allele", F.col("pos").alias("s"), (F.col("pos") + 1).alias("e"))
+    c = I.interval_join(points, segs.select("g1", "g2", "s", "e"), ["g1", "g2"], width).groupBy("g1", "g2", F.col("s").alias("pos")).agg(F.min(F.struct("s_b", "e_b")).alias("x"))
+    return m.join(c, ["g1", "g2", "pos"], "left").select("g1", "g2", "pos", "allele", F.col("x.s_b").alias("s"), F.col("x.e_b").alias("e"))
 
 
 def similarity(rec: DataFrame, segs: DataFrame, every: int = 64, bp_per_cm: float = 15_000.0) -> DataFrame:

@@ -58,6 +58,14 @@ def rec_gw(spark, d) -> DataFrame:
     return X.rec(spark, d).select((F.col("pos") * GW).alias("pos"), "genome", "allele")
 
 
+#: The allele that most carriers of a site have, and now and then the other; so that sites of one allele and of two occur.
+SITE_ALLELE = "1 + (pos + CASE WHEN (pos * 31 + genome * 17) % 61 = 0 THEN 1 ELSE 0 END) % 2"
+
+
+def rec_by_site(spark, d) -> DataFrame:
+    return X.rec(spark, d).withColumn("allele", F.expr(SITE_ALLELE))
+
+
 # coordinates
 
 
@@ -120,11 +128,12 @@ def interval_merge_ref(spark, d):
 
 
 def chrom_islands(spark, d) -> DataFrame:
-    """Merged segments of the pairs with ind1 = 39, by chromosome."""
-    return I.islands(X.seg(spark, d).where("ind1 = 39 and e - s >= 60000"), ["chrid"])
+    """Merged segments of the greatest length that occurs, by chromosome."""
+    s = X.seg(spark, d)
+    return I.islands(s.join(F.broadcast(s.agg(F.max(F.col("e") - F.col("s")).alias("top"))), F.col("e") - F.col("s") == F.col("top"), "left_semi"), ["chrid"])
 
 
-CHROM = """, o AS (SELECT chrid, s, e, max(e) OVER (PARTITION BY chrid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM seg WHERE ind1 = 39 AND e - s >= 60000),
+CHROM = """, o AS (SELECT chrid, s, e, max(e) OVER (PARTITION BY chrid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM seg WHERE e - s = (SELECT max(e - s) FROM seg)),
 n AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY chrid ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o),
 reg AS (SELECT chrid, min(s) AS s, max(e) AS e FROM n GROUP BY chrid, k),
 st AS (SELECT * FROM reg UNION ALL SELECT chrid, gwstart + size, gwstart + size FROM genome),
@@ -209,12 +218,12 @@ def ploidy_d2h(spark, d):
     return ibd.diploid_to_haploid(ibd.haploid_to_diploid(X.seg(spark, d), p), p).groupBy("ind1", "ind2", "hap1", "hap2").agg(F.count("*").alias("n"))
 
 
-def coverage(spark, d, step: int = POINT_STEP, offset: int = 0, closed: bool = False, of: str = "true") -> DataFrame:
-    return I.sweep_coverage(I.grid(X.genome(spark), step, offset), X.seg(spark, d).where(of), ["chrid"], closed=closed)
+def coverage(spark, d, step: int = POINT_STEP, offset: int = 0, closed: bool = False, least_cm: float = 0.0) -> DataFrame:
+    return I.sweep_coverage(I.grid(X.genome(spark), step, offset), ibd.min_cm(X.seg(spark, d), least_cm), ["chrid"], closed=closed)
 
 
-FEW = "ind1 > 35 AND ind2 < 4"  # few pairs, so that coverage has peaks
-FEW_SQL = " AND " + FEW
+LONG = 6.0  # least cM of the segments whose coverage is looked at for extremes and peaks
+LONG_SQL = f" AND (e - s) / 15000.0 >= {LONG}"
 
 
 COV = ", pt AS (SELECT chrid, gwstart + k * {step} + {off} AS p FROM genome, range({n}) t(k)), cov AS (SELECT chrid, p, (SELECT count(*) FROM seg WHERE seg.chrid = pt.chrid AND s <= p{w}) - (SELECT count(*) FROM seg WHERE seg.chrid = pt.chrid AND e {op} p{w}) AS cov FROM pt)\n"
@@ -261,7 +270,7 @@ def diploid_merge(spark, d):
     return ibd.diploid_merge(sides(spark, d)[0])
 
 
-FIRST = ", f AS (SELECT *, row_number() OVER (PARTITION BY ind1, ind2 ORDER BY s, e) AS rn FROM seg)"
+FIRST = ", f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ind1, ind2 ORDER BY s, e) AS rn FROM seg)"
 
 
 @query(FIRST + ISLANDS.format(src="f WHERE rn > 1") + "SELECT * FROM isl UNION ALL SELECT ind1, ind2, chrid, s, e FROM f WHERE rn = 1")
@@ -269,12 +278,11 @@ def diploid_merge_ref(spark, d):
     return ibd.diploid_merge(X.seg(spark, d), "reference")
 
 
-@query(", ps AS (SELECT s.ind1, s.ind2, r.l_partkey * 1500 % 21000000 AS pos FROM (SELECT DISTINCT ind1, ind2 FROM seg) s JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey <= 400) r ON (s.ind1 + s.ind2 + r.l_partkey) % 5 = 0), r0 AS (SELECT ind1, ind2, chrid, s, e, max(e) OVER (PARTITION BY ind1, ind2, chrid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM seg), g AS (SELECT DISTINCT ind1, ind2, chrid, b AS gs, s AS ge FROM r0 WHERE s > b), br AS (SELECT g.* FROM g LEFT JOIN ps ON ps.ind1 = g.ind1 AND ps.ind2 = g.ind2 AND pos >= gs AND pos < ge GROUP BY ALL HAVING count(pos) <= 1 AND (ge - gs) / 15000.0 < 2), al AS (SELECT ind1, ind2, chrid, s, e FROM seg UNION ALL SELECT ind1, ind2, chrid, gs, ge FROM br)" + ISLANDS.format(src="al") + "SELECT * FROM isl")
+@query(", ps AS (SELECT a.genome AS ind1, b.genome AS ind2, a.pos * 1000 AS pos FROM rec a JOIN rec b ON a.pos = b.pos AND a.genome > b.genome AND a.allele <> b.allele), r0 AS (SELECT ind1, ind2, chrid, s, e, max(e) OVER (PARTITION BY ind1, ind2, chrid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM seg), g AS (SELECT DISTINCT ind1, ind2, chrid, b AS gs, s AS ge FROM r0 WHERE s > b), br AS (SELECT g.* FROM g LEFT JOIN ps ON ps.ind1 = g.ind1 AND ps.ind2 = g.ind2 AND pos >= gs AND pos < ge GROUP BY ALL HAVING count(pos) <= 1 AND (ge - gs) / 15000.0 < 2), al AS (SELECT ind1, ind2, chrid, s, e FROM seg UNION ALL SELECT ind1, ind2, chrid, gs, ge FROM br)" + ISLANDS.format(src="al") + "SELECT * FROM isl")
 def bridge_merge(spark, d):
-    s = X.seg(spark, d)
-    near = X.table(spark, d, "lineitem").where("l_partkey <= 400").select("l_partkey").distinct()
-    p = s.select("ind1", "ind2").distinct().join(F.broadcast(near), (F.col("ind1") + F.col("ind2") + F.col("l_partkey")) % 5 == 0)
-    return ibd.bridge_merge(s, p.select("ind1", "ind2", (F.col("l_partkey") * 1500 % 21_000_000).alias("pos")), 2.0, 1)
+    a = rec_gw(spark, d).select("pos", F.col("genome").alias("ind1"), F.col("allele").alias("a1"))
+    b = rec_gw(spark, d).select("pos", F.col("genome").alias("ind2"), F.col("allele").alias("a2"))
+    return ibd.bridge_merge(X.seg(spark, d), a.join(b, "pos").where("ind1 > ind2 and a1 <> a2").select("ind1", "ind2", "pos"), 2.0, 1)
 
 
 @query(ISLANDS.format(src="seg") + "SELECT ind1, ind2, round(sum(e - s) / 15000.0, 6) AS total_cm FROM isl GROUP BY 1, 2")
@@ -341,22 +349,22 @@ TRIM = ", tr AS (SELECT chrid, cov, row_number() OVER (PARTITION BY chrid ORDER
 RUNS = "SELECT chrid, min(p) AS s, max(p) + 10000 AS e FROM (SELECT chrid, p, k - row_number() OVER (PARTITION BY chrid ORDER BY p) AS g FROM (SELECT cov.*, {lim}, row_number() OVER (PARTITION BY chrid ORDER BY p) AS k FROM cov JOIN lim USING (chrid)) WHERE {hit}) GROUP BY chrid, g"
 
 
-@query(COV.format(step=10000, off=0, n=300, op="<=", w=FEW_SQL) + TRIM.format(t="0.03") + ", lim AS (SELECT chrid, avg(cov) + 1.5 * stddev_pop(cov) AS lim FROM kept GROUP BY 1) " + RUNS.format(lim="lim", hit="cov > lim"))
+@query(COV.format(step=10000, off=0, n=300, op="<=", w=LONG_SQL) + TRIM.format(t="0.03") + ", lim AS (SELECT chrid, avg(cov) + 1.5 * stddev_pop(cov) AS lim FROM kept GROUP BY 1) " + RUNS.format(lim="lim", hit="cov > lim"))
 def extreme_coverage(spark, d):
-    return ibd.extreme_regions(coverage(spark, d, of=FEW), POINT_STEP, 1.5)
+    return ibd.extreme_regions(coverage(spark, d, least_cm=LONG), POINT_STEP, 1.5)
 
 
-PEAKS = COV.format(step=10000, off=0, n=300, op="<=", w=FEW_SQL) + TRIM.format(t="0.05") + ", lim AS (SELECT chrid, median(cov) AS mid, floor(avg(cov) + 2 * stddev_pop(cov)) AS top FROM kept GROUP BY 1), wide AS (" + RUNS.format(lim="mid, top", hit="cov > mid") + "), core AS (" + RUNS.format(lim="mid, top", hit="cov > top") + "), pk AS (SELECT * FROM wide WHERE EXISTS (SELECT 1 FROM core WHERE core.chrid = wide.chrid AND core.s < wide.e AND wide.s < core.e))"
+PEAKS = COV.format(step=10000, off=0, n=300, op="<=", w=LONG_SQL) + TRIM.format(t="0.05") + ", lim AS (SELECT chrid, median(cov) AS mid, floor(avg(cov) + 2 * stddev_pop(cov)) AS top FROM kept GROUP BY 1), wide AS (" + RUNS.format(lim="mid, top", hit="cov > mid") + "), core AS (" + RUNS.format(lim="mid, top", hit="cov > top") + "), pk AS (SELECT * FROM wide WHERE EXISTS (SELECT 1 FROM core WHERE core.chrid = wide.chrid AND core.s < wide.e AND wide.s < core.e))"
 
 
 @query(PEAKS + " SELECT * FROM pk")
 def ibd_peaks(spark, d):
-    return ibd.peaks(coverage(spark, d, of=FEW), POINT_STEP)
+    return ibd.peaks(coverage(spark, d, least_cm=LONG), POINT_STEP)
 
 
 @query(PEAKS + ", pv AS (SELECT chrid, p, CAST((p * 7919) % 100003 AS DOUBLE) / 100003 / 100 AS pval FROM cov), rk AS (SELECT *, row_number() OVER (ORDER BY pval, p) AS r, count(*) OVER () AS n FROM pv), hit AS (SELECT * FROM rk WHERE pval * n / r < 0.0098) SELECT * FROM pk WHERE EXISTS (SELECT 1 FROM hit WHERE hit.chrid = pk.chrid AND pk.s <= hit.p AND hit.p < pk.e)")
 def peak_filter(spark, d):
-    cov = coverage(spark, d, of=FEW)
+    cov = coverage(spark, d, least_cm=LONG)
     pv = cov.select("chrid", "p", ((F.col("p") * 7919 % 100_003).cast("double") / 100_003 / 100).alias("pval"))
     return ibd.filter_peaks(ibd.peaks(cov, POINT_STEP), pv, 0.0098)
 
@@ -385,9 +393,9 @@ def sample_search(spark, d):
 # rare variants
 
 
-@query("SELECT * FROM rec WHERE pos IN (SELECT pos FROM rec GROUP BY pos HAVING count(DISTINCT allele) = 1)")
+@query(f", r AS (SELECT pos, genome, {SITE_ALLELE} AS allele FROM rec) SELECT * FROM r WHERE pos IN (SELECT pos FROM r GROUP BY pos HAVING count(DISTINCT allele) = 1)")
 def multiallelic_filter(spark, d):
-    return rare.drop_multiallelic(X.rec(spark, d))
+    return rare.drop_multiallelic(rec_by_site(spark, d))
 
 
 @query("SELECT pos, genome, allele FROM rec WHERE genome IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)")
@@ -462,9 +470,9 @@ def id_pairs(spark, d):
 HS = ", hs AS (SELECT ind1 AS g1, ind2 AS g2, chrid, s, e, row_number() OVER () AS id FROM seg), rg AS (SELECT pos * 1000 AS pos, genome, allele FROM rec)"
 
 
-@query(HS + ", one AS (SELECT pos FROM rg GROUP BY pos HAVING count(DISTINCT allele) = 1 AND count(*) >= 2), r AS (SELECT * FROM rg WHERE pos IN (SELECT pos FROM one)), per AS (SELECT r.pos, hs.id, count(*) AS k FROM r JOIN hs ON s <= pos AND pos < e AND (genome = g1 OR genome = g2) GROUP BY 1, 2), c AS (SELECT pos, count(*) FILTER (WHERE k = 2) AS w, count(*) FILTER (WHERE k = 1) AS b FROM per GROUP BY 1), cv AS (SELECT pos, count(id) AS cov FROM one LEFT JOIN hs ON s <= pos AND pos < e GROUP BY 1) SELECT pos, (SELECT count(*) FROM r WHERE r.pos = cv.pos) AS carriers, coalesce(w, 0) AS within, coalesce(b, 0) AS between, cov - coalesce(w, 0) - coalesce(b, 0) AS outside FROM cv LEFT JOIN c USING (pos)")
+@query(HS.replace("genome, allele FROM rec", f"genome, {SITE_ALLELE} AS allele FROM rec") + ", one AS (SELECT pos FROM rg GROUP BY pos HAVING count(DISTINCT allele) = 1 AND count(*) >= 2), r AS (SELECT * FROM rg WHERE pos IN (SELECT pos FROM one)), per AS (SELECT r.pos, hs.id, count(*) AS k FROM r JOIN hs ON s <= pos AND pos < e AND (genome = g1 OR genome = g2) GROUP BY 1, 2), c AS (SELECT pos, count(*) FILTER (WHERE k = 2) AS w, count(*) FILTER (WHERE k = 1) AS b FROM per GROUP BY 1), cv AS (SELECT pos, count(id) AS cov FROM one LEFT JOIN hs ON s <= pos AND pos < e GROUP BY 1) SELECT pos, (SELECT count(*) FROM r WHERE r.pos = cv.pos) AS carriers, coalesce(w, 0) AS within, coalesce(b, 0) AS between, cov - coalesce(w, 0) - coalesce(b, 0) AS outside FROM cv LEFT JOIN c USING (pos)")
 def position_scan(spark, d):
-    return rvibd.position_scan(rec_gw(spark, d), hap_segs(spark, d))
+    return rvibd.position_scan(rec_by_site(spark, d).withColumn("pos", F.col("pos") * GW), hap_segs(spark, d))
 
 
 @query(HS + PAIRS.replace("FROM rec ", "FROM rg ").replace("JOIN rec b", "JOIN rg b") + ", ins AS (SELECT DISTINCT g1, g2, pos, x, y FROM (SELECT h.g1, h.g2, coalesce(a.pos, b.pos) AS pos, a.allele AS x, b.allele AS y, s, e FROM (SELECT DISTINCT g1, g2 FROM hs) h JOIN rg a ON a.genome = g1 LEFT JOIN rg b ON b.genome = g2 AND b.pos = a.pos JOIN hs z ON z.g1 = h.g1 AND z.g2 = h.g2 AND z.s <= a.pos AND a.pos < z.e UNION ALL SELECT h.g1, h.g2, b.pos, a.allele, b.allele, s, e FROM (SELECT DISTINCT g1, g2 FROM hs) h JOIN rg b ON b.genome = g2 LEFT JOIN rg a ON a.genome = g1 AND b.pos = a.pos JOIN hs z ON z.g1 = h.g1 AND z.g2 = h.g2 AND z.s <= b.pos AND b.pos < z.e)), i AS (SELECT count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS io, count(*) FILTER (WHERE x = y) AS ie, count(*) FILTER (WHERE x <> y) AS ine FROM ins), t AS (SELECT CAST(sum(n1 + n2 - 2 * met) AS BIGINT) AS o, CAST(sum(eq) AS BIGINT) AS e, CAST(sum(met - eq) AS BIGINT) AS ne FROM pt) SELECT io AS ibd_one, ie AS ibd_eq, ine AS ibd_ne, o - io AS out_one, e - ie AS out_eq, ne - ine AS out_ne FROM i, t")
@@ -548,15 +556,15 @@ def asibd(spark, d):
 # matrices, pairs, order
 
 
-@query(", t AS (SELECT a.k AS i, b.k AS j FROM range(60) a(k) JOIN range(60) b(k) ON a.k > b.k) SELECT i, j, (i - 1) * i // 2 + j AS idx, i AS i_back, j AS j_back FROM t")
+@query(", t AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a JOIN supplier b ON a.s_suppkey > b.s_suppkey) SELECT i, j, (i - 1) * i // 2 + j AS idx, i AS i_back, j AS j_back FROM t")
 def triangular_index(spark, d):
-    r = spark.range(60)
+    r = X.inds(spark, d).select(F.col("ind").alias("id"))
     p = r.select(F.col("id").alias("i0")).join(r.select(F.col("id").alias("j0")), F.col("i0") > F.col("j0"))
     m = matrix.from_pair_index(matrix.with_pair_index(p, "i0", "j0"))
     return m.select(F.col("i0").alias("i"), F.col("j0").alias("j"), "idx", F.col("i").alias("i_back"), F.col("j").alias("j_back"))
 
 
-CELLS = ", f AS (SELECT ind1 AS row, ind2 AS col, CAST(count(*) AS BIGINT) AS value FROM seg WHERE l_linestatus = 'F' GROUP BY 1, 2), o AS (SELECT ind1 AS row, ind2 AS col, CAST(count(*) AS BIGINT) AS value FROM seg WHERE l_linestatus = 'O' AND ind1 % 2 = 0 GROUP BY 1, 2)"
+CELLS = ", f AS (SELECT ind1 AS row, ind2 AS col, CAST(count(*) AS BIGINT) AS value FROM seg WHERE l_linestatus = 'F' GROUP BY 1, 2), o AS (SELECT ind1 AS row, ind2 AS col, CAST(count(*) AS BIGINT) AS value FROM seg WHERE l_linestatus = 'O' GROUP BY 1, 2)"
 
 
 def _cells(segs) -> DataFrame:
@@ -566,7 +574,7 @@ def _cells(segs) -> DataFrame:
 @query(CELLS + " SELECT f.row, f.col, coalesce(o.value, f.value) AS value FROM f LEFT JOIN o ON o.row = f.row AND o.col = f.col")
 def matrix_update(spark, d):
     a, b = sides(spark, d)
-    return matrix.update(_cells(a), _cells(b.where("ind1 % 2 = 0")))
+    return matrix.update(_cells(a), _cells(b))
 
 
 @query(CELLS + " SELECT col AS row, row AS col, value FROM f WHERE row % 3 = 0 AND col < 10")
@@ -575,14 +583,15 @@ def matrix_subset(spark, d):
     return matrix.transpose(matrix.subset(_cells(sides(spark, d)[0]), ids.where("name % 3 = 0"), ids.where("name < 10")))
 
 
-@query("SELECT a.k AS a, b.k AS b, 'between' AS part FROM range(0, 30) a(k), range(50, 70) b(k) UNION ALL SELECT a.k, b.k, 'within' FROM range(30, 50) a(k) JOIN range(30, 50) b(k) ON a.k > b.k")
+@query(", x AS (SELECT s_suppkey AS id FROM supplier WHERE s_acctbal >= 0), y AS (SELECT s_suppkey AS id FROM supplier WHERE s_nationkey >= 10) SELECT a.id AS a, b.id AS b, 'between' AS part FROM (SELECT id FROM x EXCEPT SELECT id FROM y) a, (SELECT id FROM y EXCEPT SELECT id FROM x) b UNION ALL SELECT a.id, b.id, 'within' FROM (SELECT id FROM x INTERSECT SELECT id FROM y) a JOIN (SELECT id FROM x INTERSECT SELECT id FROM y) b ON a.id > b.id")
 def id_pair_blocks(spark, d):
-    return matrix.pair_blocks(spark.range(50), spark.range(30, 70))
+    s = X.table(spark, d, "supplier").withColumnRenamed("s_suppkey", "id")
+    return matrix.pair_blocks(s.where("s_acctbal >= 0").select("id"), s.where("s_nationkey >= 10").select("id"))
 
 
-@query("SELECT chrid, ind1, ind2, s, e, hap1, hap2, row_number() OVER (PARTITION BY ind1, ind2 ORDER BY s, e, hap1, hap2, l_linestatus) - 1 AS place FROM seg WHERE ind2 = 0")
+@query("SELECT chrid, ind1, ind2, s, e, hap1, hap2, row_number() OVER (PARTITION BY ind1, ind2 ORDER BY s, e, hap1, hap2, l_linestatus) - 1 AS place FROM seg")
 def seg_order(spark, d):
-    o = matrix.ordered(X.seg(spark, d).where("ind2 = 0"), ["s", "e", "hap1", "hap2", "l_linestatus"], ["ind1", "ind2"])
+    o = matrix.ordered(X.seg(spark, d), ["s", "e", "hap1", "hap2", "l_linestatus"], ["ind1", "ind2"])
     return o.select("chrid", "ind1", "ind2", "s", "e", "hap1", "hap2", F.col("place").cast("long").alias("place"))
 
 
@@ -591,10 +600,10 @@ def rec_order(spark, d):
     return matrix.ordered(X.rec(spark, d), ["pos"], ["genome"]).select("genome", "pos", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT DISTINCT ind1 AS id FROM seg WHERE l_linestatus = 'F' EXCEPT SELECT ind2 FROM seg WHERE l_linestatus = 'O' AND ind1 > 30")
+@query("SELECT DISTINCT ind1 AS id FROM seg WHERE l_linestatus = 'F' EXCEPT SELECT ind2 FROM seg WHERE l_linestatus = 'O'")
 def id_difference(spark, d):
     a, b = sides(spark, d)
-    return a.select(F.col("ind1").alias("id")).subtract(b.where("ind1 > 30").select(F.col("ind2").alias("id")))
+    return a.select(F.col("ind1").alias("id")).subtract(b.select(F.col("ind2").alias("id")))
 
 
 @query(TWO + ", x AS (SELECT DISTINCT ind1, ind2, chrid, s, e FROM seg WHERE l_linestatus = 'F') SELECT x.ind1, x.ind2, x.chrid, x.s, x.e, CAST(coalesce(sum(CASE WHEN b.s IS NULL THEN 0 ELSE least(x.e, b.e) - greatest(x.s, b.s) END), 0) AS BIGINT) AS covered FROM x LEFT JOIN isl b ON b.ls = 'O' AND x.ind1 = b.ind1 AND x.ind2 = b.ind2 AND x.chrid = b.chrid AND x.s < b.e AND b.s < x.e GROUP BY ALL")

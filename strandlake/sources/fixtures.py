@@ -40,9 +40,10 @@ def seg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rare-variant records (pos, genome, allele)."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 7")
+def rec(spark: SparkSession, sf_dir: str, line: int | None = None) -> DataFrame:
+    """Rare-variant records (pos, genome, allele) of all line items, or of those of one line number."""
+    li = table(spark, sf_dir, "lineitem")
+    li = li if line is None else li.where(F.col("l_linenumber") == line)
     g = li.groupBy(F.col("l_partkey").alias("pos"), (F.col("l_suppkey") % 50).alias("genome")).agg(F.min("l_quantity").alias("q"))
     return g.select("pos", "genome", (1 + F.col("q").cast("long") % 2).alias("allele"))
 
@@ -66,6 +67,6 @@ gmap AS (SELECT (k // 2) * 3000000 + (k % 2) * 1500000 AS x1, (k // 2) * 3000000
 seg0 AS (SELECT l_suppkey % 40 AS a, l_partkey % 40 AS b, l_suppkey // 40 % 2 AS ha, l_partkey // 40 % 2 AS hb, CAST(l_linenumber % 7 AS INTEGER) AS chrid,
   CAST(l_linenumber % 7 AS BIGINT) * 3000000 + date_diff('day', TIMESTAMP '1995-01-01', l_shipdate) * 1000 AS s, CAST(l_quantity AS BIGINT) * 2000 AS len, l_linestatus FROM lineitem),
 seg AS (SELECT greatest(a, b) AS ind1, least(a, b) AS ind2, CASE WHEN a > b THEN ha ELSE hb END AS hap1, CASE WHEN a > b THEN hb ELSE ha END AS hap2, chrid, s, s + len AS e, l_linestatus FROM seg0 WHERE a <> b),
-rec AS (SELECT l_partkey AS pos, l_suppkey % 50 AS genome, 1 + CAST(min(l_quantity) AS BIGINT) % 2 AS allele FROM lineitem WHERE l_linenumber = 7 GROUP BY 1, 2),
+rec AS (SELECT l_partkey AS pos, l_suppkey % 50 AS genome, 1 + CAST(min(l_quantity) AS BIGINT) % 2 AS allele FROM lineitem GROUP BY 1, 2),
 la AS (SELECT user_id % 40 AS hap, (row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) - 1) * 50000 AS s, event_type AS anc FROM events)
 """
