@@ -107,28 +107,46 @@ def length_spectrum(a: DataFrame, b: DataFrame, width: float = 0.05) -> DataFram
     return j.select(((F.col("k") + 0.5) * width).alias("center"), (F.coalesce("a_bp", F.lit(0)) / BP_PER_CM).alias("a_cm"), (F.coalesce("b_bp", F.lit(0)) / BP_PER_CM).alias("b_cm"))
 
 
-def overlap_shares(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Each segment of a with the share of it that b's merged segments of the pair cover."""
-    keys = [*PAIR, "chrid"]
+def overlap_shares(a: DataFrame, b: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Each segment of a with the share of it that b's merged segments of the pair cover; ``extra`` keys (windows) must agree too."""
+    keys = [*PAIR, "chrid", *extra]
     s = a.select(*keys, "s", "e").groupBy(*keys, "s", "e").agg(F.count("*").alias("n"))
     j = I.interval_join(s, I.islands(b, keys), keys)
     covered = j.groupBy(*keys, "s", "e").agg(F.sum(F.least("e", "e_b") - F.greatest("s", "s_b")).alias("covered"))
     return s.join(covered, [*keys, "s", "e"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
 
-def overlap_rates(a: DataFrame, b: DataFrame, bins: list[float]) -> DataFrame:
-    """Mean and population deviation of overlap shares by length bin of a's segments, and a row of -1 for pairs genome-wide."""
-    sh = overlap_shares(a, b).withColumn("cm", (F.col("e") - F.col("s")) / BP_PER_CM).withColumn("share", F.col("covered") / (F.col("e") - F.col("s")))
+def overlap_rates(a: DataFrame, b: DataFrame, bins: list[float], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and population deviation of overlap shares by length bin of a's segments, and a row of -1 for pairs genome-wide; for each value of ``extra`` keys (windows) apart.
+
+    Equal segments count by their number, in weighted sums.
+    """
+    sh = overlap_shares(a, b, extra).withColumn("cm", (F.col("e") - F.col("s")) / BP_PER_CM).withColumn("share", F.col("covered") / (F.col("e") - F.col("s")))
     bin_ = F.lit(None).cast("double")
     for x in sorted(bins):
         bin_ = F.when(F.col("cm") >= x, F.lit(float(x))).otherwise(bin_)
     each = sh.withColumn("bin_start", bin_).where("bin_start is not null")
-    each = each.select("bin_start", "share", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).groupBy("bin_start").agg(F.avg("share").alias("mean"), F.stddev_pop("share").alias("std"), F.count("*").alias("n"))
-    merged = overlap_shares(I.islands(a, [*PAIR, "chrid"]), b).groupBy(*PAIR).agg((F.sum("covered") / F.sum(F.col("e") - F.col("s"))).alias("share"))
-    whole = merged.agg(F.avg("share").alias("mean"), F.stddev_pop("share").alias("std"), F.count("*").alias("n")).select(F.lit(-1.0).alias("bin_start"), "mean", "std", "n")
+    each = each.groupBy(*extra, "bin_start").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("mean"), (F.sum(F.col("n") * F.col("share") * F.col("share")) / F.sum("n")).alias("square"))
+    each = each.select(*extra, "bin_start", "mean", F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("std"), "n")
+    merged = overlap_shares(I.islands(a, [*PAIR, "chrid", *extra]), b, extra).groupBy(*extra, *PAIR).agg((F.sum("covered") / F.sum(F.col("e") - F.col("s"))).alias("share"))
+    whole = merged.groupBy(*extra).agg(F.avg("share").alias("mean"), F.stddev_pop("share").alias("std"), F.count("*").alias("n")).select(*extra, F.lit(-1.0).alias("bin_start"), "mean", "std", "n")
     return each.unionByName(whole)
 
 
+def windowed_rates(a: DataFrame, b: DataFrame, genome: DataFrame, size: int, bins: list[float]) -> DataFrame:
+    """Overlap rates of both directions inside each window of ``size`` bp: a row a window and length bin of 12 columns."""
+    wa, wb = window_clip(a, genome, size), window_clip(b, genome, size)
+    keys = ["w_chrid", "k"]
+    tag = lambda d: d.withColumn("w_chrid", F.col("chrid"))
+    one = overlap_rates(tag(wa), tag(wb), bins, tuple(keys))
+    two = overlap_rates(tag(wb), tag(wa), bins, tuple(keys))
+    name = lambda d, x: d.select(*keys, "bin_start", F.col("mean").alias(f"{x}_mean"), F.col("std").alias(f"{x}_std"), F.col("n").alias(f"{x}_n"))
+    j = name(one, "a_by_b").join(name(two, "b_by_a"), [*keys, "bin_start"], "full").withColumnRenamed("w_chrid", "chrid")
+    g = F.broadcast(genome.select("chrid", "chrom", "gwstart", "size"))
+    start = F.col("k") * size
+    return j.join(g, "chrid").select("chrid", "chrom", "k", start.alias("start"), F.least(start + size, F.col("size")).alias("end"), "bin_start", "a_by_b_mean", "a_by_b_std", "a_by_b_n", "b_by_a_mean", "b_by_a_std", "b_by_a_n")
+
+
 def window_clip(df: DataFrame, genome: DataFrame, size: int) -> DataFrame:
     """Segments cut at half-open windows of ``size`` bp of their chromosomes."""
     g = F.broadcast(genome.select("chrid", "gwstart", "size"))

@@ -7,10 +7,10 @@ may be of any store.
 
 from __future__ import annotations
 
-import struct
 import tomllib
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,6 +115,34 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").cast("long").alias("id")).orderBy("id")
 
 
+# genome files and map constructors
+
+
+def map_from_knots(spark: SparkSession, knots: list[tuple[int, float]]) -> DataFrame:
+    """A map (x1, x2, y1, y2) from (bp, cM) knots in order."""
+    if any(b[0] <= a[0] or b[1] < a[1] for a, b in zip(knots, knots[1:], strict=False)):
+        raise ValueError("knots must increase")
+    return spark.createDataFrame([(int(a[0]), int(b[0]), float(a[1]), float(b[1])) for a, b in zip(knots, knots[1:], strict=False)], "x1 long, x2 long, y1 double, y2 double")
+
+
+def map_from_lists(spark: SparkSession, chromosomes: list[list[tuple[int, float]]], genome: DataFrame) -> DataFrame:
+    """A genome-wide map from a list of (bp, cM) knots for each chromosome."""
+    return genome_wide_map([map_from_knots(spark, k) for k in chromosomes], genome)
+
+
+def read_genome_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(genome, genome-wide map) of a description and the PLINK maps that it names, relative to its folder."""
+    genome, _, maps = read_genome_toml(spark, path)
+    folder = path.rsplit("/", 1)[0]
+    names = [r.chrom for r in genome.orderBy("chrid").collect()]
+    return genome, genome_wide_map([read_plink_map(spark, m if "/" in m else f"{folder}/{m}", genome, c) for m, c in zip(maps, names, strict=True)], genome)
+
+
+def read_genome_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(genome, genome-wide map) of a folder of two tables."""
+    return spark.read.parquet(f"{path}/genome"), spark.read.parquet(f"{path}/gmap")
+
+
 # segments
 
 
@@ -176,17 +204,31 @@ def read_hmmibd_dir(spark: SparkSession, path: str, inds: DataFrame, genome: Dat
     return read_hmmibd(spark, _glob(spark, path, "*.hmm.txt"), inds, genome, 2.0)
 
 
-def read_eibd(spark: SparkSession, path: str) -> DataFrame:
-    """Binary segments: a little-endian 64-bit count, then rows of four 32-bit numbers; ids are ind * 4 + hap."""
-
-    def rows(frames):
-        for f in frames:
-            for data in f["content"]:
-                (n,) = struct.unpack_from("<Q", data)
-                x = pd.DataFrame(list(struct.iter_unpack("<4I", data[8 : 8 + 16 * n])), columns=["i", "j", "s", "e"])
-                yield pd.DataFrame({"ind1": x.i // 4, "hap1": x.i % 4, "ind2": x.j // 4, "hap2": x.j % 4, "s": x.s, "e": x.e}).astype("int64")
+def read_eibd(spark: SparkSession, path: str, genome: DataFrame | None = None) -> DataFrame:
+    """Binary segments: a little-endian 64-bit count, then rows of four 32-bit numbers; ids are ind * 4 + hap.
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "ind1 long, hap1 long, ind2 long, hap2 long, s long, e long")
+    With a genome, chrid is that of the chromosome in which a segment starts.  A file is one row of Spark's binary source;
+    its segments leave in slices.
+    """
+    names = ["ind1", "hap1", "ind2", "hap2", "s", "e"]
+
+    def rows(batches):
+        for batch in batches:
+            for data in batch.column("content"):
+                raw = data.as_buffer()
+                n = int(np.frombuffer(raw, "<u8", 1)[0])
+                if len(raw) < 8 + 16 * n:
+                    raise ValueError("fewer segments than the count says")
+                x = np.frombuffer(raw, "<u4", 4 * n, 8).reshape(-1, 4)
+                for at in range(0, n, 1 << 16):
+                    i, j, s, e = (x[at : at + (1 << 16), k].astype(np.int64) for k in range(4))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (i // 4, i % 4, j // 4, j % 4, s, e)], names=names)
+
+    segs = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, ", ".join(f"{n} long" for n in names))
+    if genome is None:
+        return segs
+    g = F.broadcast(genome.select("chrid", "gwstart", (F.col("gwstart") + F.col("size")).alias("_end")))
+    return segs.join(g, (F.col("s") >= F.col("gwstart")) & (F.col("s") < F.col("_end"))).select("ind1", "hap1", "ind2", "hap2", "chrid", "s", "e")
 
 
 # variants
@@ -320,6 +362,35 @@ def read_ancestry(spark: SparkSession, path, positions: DataFrame, genome: DataF
     return best_calls(calls, "?", min_prob)
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Adds ``place``, the number of each row of Parquet files in the order of their names and of rows inside; sums of a row a file are collected."""
+    named = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = sorted((r["_file"], r["n"]) for r in named.groupBy("_file").agg(F.count("*").alias("n")).collect())
+    begin, rows = 0, []
+    for file, n in sizes:
+        rows.append((file, begin))
+        begin += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(rows, "_file string, _begin long"))
+    return named.join(starts, "_file").withColumn("place", F.col("_begin") + F.col("_row")).drop("_file", "_row", "_begin")
+
+
+def read_bool_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col) of the true cells of a table of one boolean column, whose name is the number of columns, row after row."""
+    raw = spark.read.parquet(path)
+    (name,) = raw.columns
+    return in_file_order(raw).where(F.col(name)).select(F.floor(F.col("place") / int(name)).alias("row"), (F.col("place") % int(name)).alias("col"))
+
+
+def read_matrix_triple(spark: SparkSession, path: str) -> DataFrame:
+    """(row, col, value) of a matrix in three tables: values row after row, names of rows, names of columns."""
+    values, rows, cols = (in_file_order(spark.read.parquet(f"{path}{x}")) for x in ("", ".row", ".col"))
+    n = cols.count()
+    value = [c for c in values.columns if c != "place"][0]
+    v = values.select(F.col(value).alias("value"), F.floor(F.col("place") / n).alias("_i"), (F.col("place") % n).alias("_j"))
+    r, c = (x.select(F.col(x.columns[0]).alias(name), F.col("place").alias(at)) for x, name, at in ((rows, "row", "_i"), (cols, "col", "_j")))
+    return v.join(r, "_i").join(c, "_j").select("row", "col", "value")
+
+
 def read_matrix(spark: SparkSession, path) -> DataFrame:
     """A tab-separated number table without header as (row values) arrays."""
     return spark.read.text(path).select(F.transform(F.split("value", "\t"), lambda x: x.cast("double")).alias("values"))

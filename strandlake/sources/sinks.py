@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,50 @@ def write_packed_records(rec: DataFrame, path: str, status: str = "0") -> None:
     pack(rec).withColumnRenamed("packed", status).write.mode("overwrite").parquet(path)
 
 
+def write_bool_matrix(cells: DataFrame, n_rows: int, n_cols: int, path: str) -> None:
+    """True cells (row, col) as one boolean column, row after row, whose name is the number of columns."""
+    spark = cells.sparkSession
+    rows = cells.groupBy("row").agg(F.collect_set("col").alias("cols"))
+    dense = spark.range(n_rows).withColumnRenamed("id", "row").join(rows, "row", "left").repartitionByRange("row").sortWithinPartitions("row")
+    cell = F.transform(F.sequence(F.lit(0), F.lit(n_cols - 1)), lambda k: F.coalesce(F.array_contains("cols", k.cast("long")), F.lit(False)))
+    dense.select(F.explode(cell).alias(str(n_cols))).write.mode("overwrite").parquet(path)
+
+
+def write_matrix_triple(cells: DataFrame, rows: DataFrame, cols: DataFrame, path: str, metric: str = "jaccard") -> None:
+    """A matrix (row, col, value) as three tables: values row after row (absent cells 0), names (name) of rows and of columns in their order."""
+    rows.orderBy("name").coalesce(1).write.mode("overwrite").parquet(f"{path}.row")
+    cols.orderBy("name").coalesce(1).write.mode("overwrite").parquet(f"{path}.col")
+    names = cols.agg(F.array_sort(F.collect_list("name")).alias("_names"))
+    by_row = cells.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.col("value").cast("double")))).alias("_cells"))
+    dense = rows.select(F.col("name").alias("row")).join(by_row, "row", "left").join(F.broadcast(names)).repartitionByRange("row").sortWithinPartitions("row")
+    dense.select(F.explode(F.transform("_names", lambda c: F.coalesce(F.try_element_at("_cells", c), F.lit(0.0)))).alias(metric)).write.mode("overwrite").parquet(path)
+
+
+def write_genome_text(genome: DataFrame, gmap: DataFrame, path: str, name: str = "genome") -> None:
+    """A genome description with a PLINK map a chromosome beside it; a dimension of a row a chromosome and knot."""
+    from .scratch import write_bytes
+
+    spark = genome.sparkSession
+    folder, chroms = path.rsplit("/", 1)[0], genome.orderBy("chrid").collect()
+    quoted = lambda xs: ", ".join(f'"{x}"' for x in xs)
+    text = f'name = "{name}"\nchromsize = [{", ".join(str(r["size"]) for r in chroms)}]\nchromnames = [{quoted(r.chrom for r in chroms)}]\ngmaps = [{quoted(f"{r.chrom}.map" for r in chroms)}]\n[idx]\n' + "".join(f"{r.chrom} = {r.chrid}\n" for r in chroms)
+    write_bytes(spark, path, text.encode())
+    g = F.broadcast(genome.select("chrom", "gwstart", (F.col("gwstart") + F.col("size")).alias("_end")))
+    own = gmap.join(g, (F.col("x1") >= F.col("gwstart")) & (F.col("x1") < F.col("_end")))
+    base = own.groupBy("chrom").agg(F.min("y1").alias("_base"))
+    rate = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
+    last = F.least(F.col("x2"), F.col("_end") - 1)
+    knots = own.join(base, "chrom").select("chrom", (last - F.col("gwstart")).alias("bp"), (F.col("y1") + (last - F.col("x1")) * rate - F.col("_base")).alias("cm"))
+    lines = knots.orderBy("chrom", "bp").collect()
+    for r in chroms:
+        write_bytes(spark, f"{folder}/{r.chrom}.map", "".join(f"{k.chrom} . {k.cm!r} {k.bp + 1}\n" for k in lines if k.chrom == r.chrom).encode())
+
+
+def write_genome_tables(genome: DataFrame, gmap: DataFrame, path: str) -> None:
+    genome.write.mode("overwrite").parquet(f"{path}/genome")
+    gmap.write.mode("overwrite").parquet(f"{path}/gmap")
+
+
 def write_sites(sites: DataFrame, path: str) -> None:
     sites.select(F.col("pos").alias("gw_pos"), F.array_join("alleles", " ").cast("binary").alias("alleles")).write.mode("overwrite").parquet(path)
 
@@ -83,10 +128,47 @@ def ancestry_tsv(segs: DataFrame, genome: DataFrame, path: str) -> None:
     write_csv(j.select(F.floor(F.col("hap1") / 2).alias("Ind1"), (F.col("hap1") % 2 + 1).alias("Hap1"), F.floor(F.col("hap2") / 2).alias("Ind2"), (F.col("hap2") % 2 + 1).alias("Hap2"), F.col("chrom").alias("Chrom"), (F.col("pos") + 1).alias("Start"), (F.col("pos") + 1 + F.col("e") - F.col("s")).alias("End"), "anc1", "anc2"), path, "\t")
 
 
-def eibd_bytes(segs: DataFrame) -> bytes:
-    """The binary form of a segment set small enough for one file; larger sets are written as Parquet."""
-    rows = segs.select((F.col("ind1") * 4 + F.col("hap1")).alias("i"), (F.col("ind2") * 4 + F.col("hap2")).alias("j"), "s", "e").orderBy("i", "j", "s", "e").collect()
-    return struct.pack("<Q", len(rows)) + b"".join(struct.pack("<4I", *r) for r in rows)
+#: Segments that one binary file may have: it is put together on the driver.
+EIBD_MOST = 4_000_000
+
+
+def eibd_bytes(segs: DataFrame, most: int = EIBD_MOST) -> bytes:
+    """The binary form of a segment set small enough for one file; larger sets are refused and are written as Parquet."""
+    n = segs.count()
+    if n > most:
+        raise ValueError(f"{n} segments are too many for one file of at most {most}")
+    rows = segs.select((F.col("ind1") * 4 + F.col("hap1")).alias("i"), (F.col("ind2") * 4 + F.col("hap2")).alias("j"), "s", "e").orderBy("i", "j", "s", "e").toArrow()
+    return struct.pack("<Q", n) + np.stack([np.asarray(rows.column(c)).astype("<u4") for c in ("i", "j", "s", "e")], axis=1).tobytes()
+
+
+def write_eibd(segs: DataFrame, path: str, most: int = EIBD_MOST) -> None:
+    from .scratch import write_bytes
+
+    write_bytes(segs.sparkSession, path, eibd_bytes(segs, most))
+
+
+def coverage_table(cov: DataFrame, step: int, path: str) -> None:
+    """(Start, End, Coverage) of points of a grid."""
+    write_parquet(cov.select(F.col("p").alias("Start"), (F.col("p") + step).alias("End"), F.col("cov").alias("Coverage")), path)
+
+
+def totals_csv(spectrum: DataFrame, path: str) -> None:
+    write_csv(spectrum.select(F.col("center").alias("BinCenter"), F.col("a_cm").alias("PopTotIbdA"), F.col("b_cm").alias("PopTotIbdB")), path)
+
+
+def windowed_overlap_csv(rates: DataFrame, path: str) -> None:
+    """A row a window, length bin: rates of both directions (``ibd.windowed_rates`` of both, joined)."""
+    write_csv(rates, path)
+
+
+def overlap_details_tsv(shares: DataFrame, path: str) -> None:
+    """Each segment with the bp of it that the other set covers."""
+    write_csv(shares.select("ind1", "ind2", "chrid", "s", "e", "covered"), path, "\t")
+
+
+def unrelated_list(ids: DataFrame, inds: DataFrame, path: str) -> None:
+    """Names of ids (ind) that are left."""
+    inds.join(ids, "ind", "left_semi").select(F.col("name").alias("value")).write.mode("overwrite").text(path)
 
 
 def vcf_lines(rec: DataFrame, sites: DataFrame, genome: DataFrame, samples: list[str]) -> DataFrame:
