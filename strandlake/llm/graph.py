@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import checkpoint
+from .kernels import checkpoint, forget
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,13 +24,14 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """(node, component) of all nodes with an edge; a component's name is its least node.
 
     A round is a few joins on nodes whose rows shrink to one edge a node; lineage is
-    cut by checkpoint() after each.
+    cut by checkpoint() after each, and the files of the round before are removed.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges = checkpoint(edges)
     state = None
     for _ in range(max_rounds):
-        edges = checkpoint(_stars(_stars(edges, True), False))
+        before, edges = edges, checkpoint(_stars(_stars(edges, True), False))
+        forget(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())
         if now == state:
             break

@@ -187,11 +187,13 @@ def hot_conf(spark) -> int:
 
 
 def checkpoint(df):
-    """Cut lineage through the folder in spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """Cut lineage through the folder in spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine (tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="strandlake-checkpoint-")
@@ -199,6 +201,15 @@ def checkpoint(df):
     return df.checkpoint()
 
 
+def forget(checkpointed) -> None:
+    """Removes the files of a checkpointed frame that nothing will read again."""
+    sc = checkpointed.sparkSession.sparkContext
+    file = checkpointed._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class HashIndex:
     """Open-addressing table from distinct non-zero 64-bit hashes to 0, 1, 2, ... in order of arrival, probed for whole arrays at once."""
 

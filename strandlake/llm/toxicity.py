@@ -10,8 +10,9 @@ proven bound of what is broadcast.  Scoring is one narrow pass without shuffle.
 
 Nulls and empties: a null text counts as empty and scores the bias alone; a null
 label is no label; repeated label rows of a document count once (the largest
-label holds).  Without training rows every score is 0.5.  Extra columns are
-ignored.
+label holds).  A row without doc_id is scored and doesn't train; rows that repeat a doc_id are scored each and
+train once.  A very long text is scored whole, and trains if the bytes bound leaves room.  Without training rows every score is
+0.5; an empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +33,8 @@ from . import kernels as K
 BITS = 22
 #: Labelled rows that training uses at most, those of the smallest hashes of doc_id.
 MAX_TRAIN_ROWS = 24_000
+#: Bytes of text that training reads at most: rows in that order while their sum is within.
+MAX_TRAIN_BYTES = 128 << 20
 THRESHOLD = 0.3
 
 
@@ -112,17 +116,23 @@ def _trainer(bits: int, epochs: int, params: dict):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, epochs: int = 3, **params) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_TRAIN_ROWS, epochs: int = 3, max_bytes: int = MAX_TRAIN_BYTES, **params) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights from the rows of ``docs`` (doc_id, text) that have a 0/1 ``label`` in ``labels`` (doc_id, label).
 
-    The sample is the ``max_rows`` rows of the smallest hashes of doc_id; the
-    bound is the parameter.  One task learns from it in that order.
+    The sample is the ``max_rows`` documents of the smallest hashes of doc_id, as far as their texts are
+    within ``max_bytes``; the bounds are the parameters.  Of rows that repeat a doc_id the least text counts.  One task learns
+    from them in that order.
     """
     marked = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
-    ranked = docs.select("doc_id").distinct().join(marked, "doc_id").withColumn("rank", F.xxhash64("doc_id"))
+    sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"))
+    ranked = sizes.join(marked, "doc_id").withColumn("rank", F.xxhash64("doc_id"))
+    low = F.pmod(F.shiftright("rank", 20), F.lit(1 << 30))
     share = min(1.0, 1.1 * max_rows / max(1, ranked.count()))  # the limit then gathers a little more than it keeps
-    chosen = ranked.where(F.pmod(F.shiftright("rank", 20), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(F.shiftright("rank", 20), F.lit(1 << 30)), "rank", "doc_id").limit(max_rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "rank").repartition(1)  # at most max_rows rows are broadcast, and go to one task
+    chosen = ranked.where(low < int(share * (1 << 30))).orderBy(low, "rank", "doc_id").limit(max_rows)
+    running = F.sum("bytes").over(W.orderBy(low, "rank", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))  # over max_rows rows at most
+    chosen = chosen.withColumn("sum", running).where(F.col("sum") <= max_bytes).select("doc_id", "label", "rank")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "rank").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    picked = picked.select("text", "label", "rank").repartition(1)  # of bounded rows and bytes
     got = picked.mapInArrow(K.tidy(_trainer(bits, epochs, params)), "idx binary, w binary, bias double").collect()
     if not got:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
