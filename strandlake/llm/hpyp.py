@@ -50,12 +50,12 @@ from pyspark.sql import functions as F
 from . import blobs
 from . import kernels as K
 
-SAMPLES, BURN_IN = 3, 3
+SAMPLES, BURN_IN = 2, 2
 DISCOUNT, STRENGTH = 0.8, 20.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 HOT = 1000
 EXACT = 256
-FLUSH = 2_000_000
+FLUSH = 4_000_000
 
 END = np.uint64(0x3C79AC492BA7B653)
 BEGIN = np.uint64(0x1B873593CC9E2D51)
@@ -272,33 +272,36 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 
 def _exchange(parts: int, hot: np.ndarray):
-    """Places by part. A blob has: contexts, their run lengths, hot contexts as indices, words as indices, the words, document indices and training marks; one blob of each flush also what documents are."""
-
-    def flush(got: list, source: int, docs: list) -> pa.RecordBatch:
-        w, u, doc = (np.concatenate(x) for x in zip(*got, strict=True))
-        place = np.minimum(np.searchsorted(hot, u), max(0, len(hot) - 1))
-        is_hot = (hot[place] == u) if len(hot) else np.zeros(len(u), dtype=bool)
-        cold = np.flatnonzero(~is_hot)
-        cold = cold[np.argsort(u[cold], kind="stable")]
-        warm = np.flatnonzero(is_hot)
-        part_warm = (_pair_keys(w[warm], u[warm]) % _U(parts)).astype(np.int64)
-        order = np.lexsort((place[warm], part_warm))
-        warm, part_warm = warm[order], part_warm[order]
-        cut = np.searchsorted(_slice_of(u[cold], parts), np.arange(parts + 1))
-        cut_warm = np.searchsorted(part_warm, np.arange(parts + 1))
+    """Places by part. A blob has: contexts, distinct pairs of each, their words as indices, the words, places of each pair, document indices of places and training marks; one blob of each flush also what documents are."""
+
+    def flush(w: np.ndarray, u: np.ndarray, doc: np.ndarray, source: int, docs: list) -> pa.RecordBatch:
+        part = _slice_of(u, parts)
+        if len(hot):
+            warm = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] == u)
+            part[warm] = (_pair_keys(w[warm], u[warm]) % _U(parts)).astype(np.int64)
+        part = part.astype(np.uint16 if parts < 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+        del part
         ids = np.array([0 if x is None else x for x in docs], np.int64)
         null = np.array([x is None for x in docs], np.uint8)
         train = (~held_out_rows(docs)).astype(np.uint8)
         tokens = np.bincount(doc, minlength=len(docs)).astype(np.uint32)
         rows = []
         for k in range(parts):
-            c, h = cold[cut[k] : cut[k + 1]], warm[cut_warm[k] : cut_warm[k + 1]]
+            mine = order[cut[k] : cut[k + 1]]
             first = k == source % parts
-            if len(c) + len(h) == 0 and not first:
+            if len(mine) == 0 and not first:
                 continue
-            begin = K.runs(u[c])
-            words, which = np.unique(np.concatenate([w[c], w[h]]), return_inverse=True)
-            body = [blobs.delta(u[c][begin]), _small(np.diff(np.append(begin, len(c)))), place[h].astype(np.uint16), _small(which), blobs.delta(words), _small(np.concatenate([doc[c], doc[h]])), train]
+            words, which = np.unique(w[mine], return_inverse=True)
+            mine_u, mine_doc = u[mine], doc[mine]
+            by = np.lexsort((which, mine_u))
+            which, mine_u, mine_doc = which[by], mine_u[by], mine_doc[by]
+            new = np.ones(len(by), dtype=bool)
+            new[1:] = (mine_u[1:] != mine_u[:-1]) | (which[1:] != which[:-1])
+            pairs = np.flatnonzero(new)
+            contexts = K.runs(mine_u[pairs])
+            body = [blobs.delta(mine_u[pairs[contexts]]), _small(np.diff(np.append(contexts, len(pairs)))), _small(which[pairs]), blobs.delta(words), _small(np.diff(np.append(pairs, len(by)))), _small(mine_doc), train]
             if first:
                 body += [blobs.delta(ids), null, tokens]
             rows.append((k, source, blobs.pack(*body)))
@@ -309,21 +312,24 @@ def _exchange(parts: int, hot: np.ndarray):
 
         context = TaskContext.get()
         source = (context.partitionId() if context else 0) << 32
-        got, held, docs = [], 0, []
+        room = FLUSH + K.WINDOW
+        w, u, doc = np.empty(room, np.uint64), np.empty(room, np.uint64), np.empty(room, np.int32)
+        held, docs = 0, []
         for batch in batches:
             raw, off = K.text_buffers(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             for i, j in K.windows(off):
-                w, u, doc = places(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                got.append((w, u, doc + len(docs)))
+                ww, uu, dd = places(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                if held and held + len(ww) > FLUSH:
+                    yield flush(w[:held], u[:held], doc[:held], source, docs)
+                    held, docs, source = 0, [], source + 1
+                if held + len(ww) > len(w):  # one text longer than all the room
+                    w, u, doc = (np.resize(x, held + len(ww)) for x in (w, u, doc))
+                w[held : held + len(ww)], u[held : held + len(ww)], doc[held : held + len(ww)] = ww, uu, dd + len(docs)
                 docs += ids[i:j]
-                held += len(w)
-                if held >= FLUSH:
-                    yield flush(got, source, docs)
-                    got, held, docs = [], 0, []
-                    source += 1
+                held += len(ww)
         if docs:
-            yield flush(got, source, docs)
+            yield flush(w[:held], u[:held], doc[:held], source, docs)
 
     return run
 
@@ -331,19 +337,20 @@ def _exchange(parts: int, hot: np.ndarray):
 class Part:
     """The places of one part: distinct words and contexts, distinct pairs in order, the pair of each place."""
 
-    def __init__(self, group: pd.DataFrame, hot: np.ndarray):
+    def __init__(self, group: pd.DataFrame):
         group = group.sort_values("source")
         self.docs, self.source, self.size, self.extra = [], [], [], []
-        u_lists, u_runs, w_lists, w_index, train = [], [], [], [], []
+        u_lists, u_runs, w_lists, w_index, counts, train = [], [], [], [], [], []
         listed = 0
         for src, data in zip(group["source"], group["data"], strict=True):
             b = blobs.unpack(data)
-            u_lists += [blobs.undelta(b[0]), hot[b[2]] if len(b[2]) else np.zeros(0, np.uint64)]
-            u_runs += [b[1].astype(np.int64), np.ones(len(b[2]), np.int64)]
-            w_index.append(b[3].astype(np.int64) + listed)
-            w_lists.append(blobs.undelta(b[4]))
+            u_lists.append(blobs.undelta(b[0]))
+            u_runs.append(b[1].astype(np.int64))
+            w_index.append(b[2].astype(np.int64) + listed)
+            w_lists.append(blobs.undelta(b[3]))
             listed += len(w_lists[-1])
-            self.docs.append(b[5].astype(np.int64))
+            counts.append(b[4].astype(np.int64))
+            self.docs.append(b[5])
             train.append(b[6][b[5]].astype(bool))
             self.source.append(int(src))
             self.size.append(len(b[6]))
@@ -356,11 +363,12 @@ class Part:
         order, key = K.in_order((u * n + w).astype(np.uint64))
         begin = K.runs(key)
         size = np.diff(np.append(begin, len(key)))
-        self.pair = np.empty(len(key), np.int64)
-        self.pair[order] = np.repeat(np.arange(len(begin)), size)
+        pair = np.empty(len(key), np.int32)
+        pair[order] = np.repeat(np.arange(len(begin), dtype=np.int32), size)
+        self.pair = np.repeat(pair, np.concatenate(counts))
         key = key[begin].astype(np.int64)
         self.u, self.w = key // n, key % n
-        self.c = np.bincount(self.pair, weights=np.concatenate(train), minlength=len(key)).astype(np.int64)
+        self.c = np.bincount(self.pair[np.concatenate(train)], minlength=len(key))
 
 
 def _hot_of(contexts: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -381,31 +389,39 @@ class Shared:
 
 
 def _first(parts: int, hot: np.ndarray):
-    """Of one part: customers and distinct pairs of its keys by slice, and for itself its training pairs."""
+    """Of one part: customers and distinct pairs of its keys, by slice."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         me = int(group["part"].iloc[0])
-        p = Part(group, hot)
+        p = Part(group)
         seen = p.c > 0
         u, w, c = p.u[seen], p.w[seen], p.c[seen]
         sh = Shared(p.words, p.contexts, hot, parts)
-        customers = np.concatenate([np.bincount(w, weights=c, minlength=len(p.words)), np.bincount(u, weights=c, minlength=len(p.contexts))[sh.hot]])[sh.order].astype(np.int64)
-        tables = np.concatenate([np.bincount(w, minlength=len(p.words)), np.bincount(u, minlength=len(p.contexts))[sh.hot]])[sh.order]
-        rows = [(k, me, blobs.pack(blobs.delta(sh.keys[a:b]), customers[a:b], tables[a:b].astype(np.uint32), sh.is_word[a:b].astype(np.uint8))) for k, (a, b) in enumerate(zip(sh.cut[:-1], sh.cut[1:], strict=True))]
-        rows.append((parts + me, me, blobs.pack(blobs.delta(p.contexts), blobs.delta(p.words), _small(np.bincount(u, minlength=len(p.contexts))), _small(w), _small(c))))
+        customers = _own_keys(sh, u, w, c, len(p.contexts), len(p.words))
+        tables = _own_keys(sh, u, w, np.ones(len(u)), len(p.contexts), len(p.words))
+        rows = [(k, me, blobs.pack(blobs.delta(sh.keys[a:b]), _small(customers[a:b]), _small(tables[a:b]), sh.is_word[a:b].astype(np.uint8))) for k, (a, b) in enumerate(zip(sh.cut[:-1], sh.cut[1:], strict=True))]
         K.trim()
         return pd.DataFrame(rows, columns=["key", "part", "data"])
 
     return run
 
 
+def _own_pairs(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one part: its words, contexts and training pairs, for its sweeps."""
+    p = Part(group)
+    seen = p.c > 0
+    data = blobs.pack(blobs.delta(p.contexts), blobs.delta(p.words), _small(np.bincount(p.u[seen], minlength=len(p.contexts))), _small(p.w[seen]), _small(p.c[seen]))
+    out = pd.DataFrame({"part": [int(group["part"].iloc[0])], "source": [-1], "data": [data]})
+    del p
+    K.trim()
+    return out
+
+
 def _first_answer(parts: int):
-    """Of one slice: which keys of each part others have too, their sums, and sums over the slice; what a part has for itself goes back."""
+    """Of one slice: which keys of each part others have too, their sums, and sums over the slice."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         key = int(group["key"].iloc[0])
-        if key >= parts:
-            return pd.DataFrame({"part": group["part"], "source": -1, "data": group["data"]})
         got = [blobs.unpack(x) for x in group["data"]]
         lists = [blobs.undelta(b[0]) for b in got]
         keys, which = np.unique(np.concatenate(lists), return_inverse=True)
@@ -422,7 +438,7 @@ def _first_answer(parts: int):
             k = which[at : at + len(mine)]
             at += len(mine)
             several = held[k] > 1
-            rows.append((part, key, blobs.pack(sums, several.astype(np.uint8), customers[k][several], tables[k][several])))
+            rows.append((part, key, blobs.pack(sums, several.astype(np.uint8), _small(customers[k][several]), _small(tables[k][several]))))
         return pd.DataFrame(rows, columns=["part", "source", "data"])
 
     return run
@@ -530,7 +546,7 @@ def _sweep(parts: int, hot: np.ndarray, sweep: int):
         rows = []
         for k, (a, b) in enumerate(zip(sh.cut[:-1], sh.cut[1:], strict=True)):
             held = several[a:b]
-            rows.append((k, me, blobs.pack(private if k == me else nothing, told, blobs.delta(sh.keys[a:b][held]), own[a:b][held].astype(np.uint32), sh.is_word[a:b][held].astype(np.uint8))))
+            rows.append((k, me, blobs.pack(private if k == me else nothing, told, blobs.delta(sh.keys[a:b][held]), _small(own[a:b][held]), sh.is_word[a:b][held].astype(np.uint8))))
         rows.append((parts + me, me, blobs.pack(_small(t), told[:1])))
         K.trim()
         return pd.DataFrame(rows, columns=["key", "part", "data"])
@@ -559,7 +575,7 @@ def _sweep_answer(parts: int, sweep: int):
         for part, mine in zip(group["part"], lists, strict=True):
             k = which[at : at + len(mine)]
             at += len(mine)
-            rows.append((part, key, blobs.pack(sums, customers[k], _small(tables[k]))))
+            rows.append((part, key, blobs.pack(sums, _small(customers[k]), _small(tables[k]))))
         return pd.DataFrame(rows, columns=["part", "source", "data"])
 
     return run
@@ -581,7 +597,7 @@ def _score(parts: int, hot: np.ndarray):
     def run(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if len(group) == 0:
             return pd.DataFrame({"source": [], "data": []})
-        p = Part(group, hot)
+        p = Part(group)
         seen = np.flatnonzero(p.c > 0)
         u, w, c = p.u[seen], p.w[seen], p.c[seen]
         sh = Shared(p.words, p.contexts, hot, parts)
@@ -644,8 +660,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     hot = np.sort(frequent[0][frequent[1] * HOT >= tokens])[: 4 * HOT] if tokens else np.zeros(0, np.uint64)
     told, answered = "key int, part int, data binary", "part int, source int, data binary"
     placed = docs.mapInArrow(K.tidy(_exchange(parts, hot)), "part int, source long, data binary").groupBy("part")
-    first = placed.applyInPandas(_first(parts, hot), told).groupBy("key").applyInPandas(_first_answer(parts), answered)
-    last, sampled = first, first.where("source >= 0").withColumn("sweep", F.lit(0))
+    sums = placed.applyInPandas(_first(parts, hot), told).groupBy("key").applyInPandas(_first_answer(parts), answered)
+    first = sums.union(placed.applyInPandas(_own_pairs, answered))
+    last, sampled = sums, sums.withColumn("sweep", F.lit(0))
     for sweep in range(1, BURN_IN + SAMPLES + 1):
         swept = first.groupBy("part").cogroup(last.groupBy("part")).applyInPandas(_sweep(parts, hot, sweep), told)
         last = swept.groupBy("key").applyInPandas(_sweep_answer(parts, sweep), answered)
