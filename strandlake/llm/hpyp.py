@@ -27,7 +27,8 @@ doesn't depend on the number of parts or on which task does what.
 *Distribution.*  Places meet by context, so a restaurant is in one part whole; *hot* contexts (those with a
 thousandth of all tokens, ``4 * HOT`` at most) are spread over all parts by word.  Numbers that several parts share, the
 root's customers of a word and a hot context's tables, are added up in each sweep by an exchange by key; so
-are the sums over all words.  Keys that one part alone has stay there.  Nothing is broadcast but the list of hot contexts.
+are the sums over all words.  Keys that one part alone has stay there.  Nothing is broadcast but the list of hot contexts
+and ``COMMON`` words that blobs name by numbers.
 
 Nulls and empties: a null text is empty, an end token alone.  Rows count each, repeated or not.
 A null doc_id counts as the text "" in the choice of training rows.  An empty table gives
@@ -56,6 +57,10 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 HOT = 1000
 EXACT = 256
 FLUSH = 4_000_000
+#: Words that lists name by a number of two bytes; which they are has no effect on results.
+COMMON = 1 << 15
+#: Logarithms are added up as multiples of 1 / SCALE, so sums are exact whatever their order.
+SCALE = float(1 << 30)
 
 END = np.uint64(0x3C79AC492BA7B653)
 BEGIN = np.uint64(0x1B873593CC9E2D51)
@@ -226,14 +231,18 @@ def root_draws(word: np.ndarray, customers: np.ndarray, tables: int, words: int,
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task: the number of training tokens (key -1), frequent contexts (key -2)."""
-    total = 0
+    """Of one task: the number of training tokens (key -1), frequent contexts (key -2); of the first tasks also words that repeat in a window (key -3)."""
+    from pyspark import TaskContext
+
+    context, total, repeated = TaskContext.get(), 0, []
     contexts, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         raw, off = K.text_buffers(batch.column("text"))
         train = ~held_out_rows(batch.column("doc_id").to_pylist())
         for i, j in K.windows(off):
-            _, u, doc = places(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            w, u, doc = places(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            if len(repeated) < 4 and (context is None or context.partitionId() < 64):
+                repeated.append(np.unique(w, return_counts=True))
             total += int(train[i:j][doc].sum())
             slot = (u >> _U(48)).astype(np.int64)  # contexts of well-filled slots alone are counted
             full = np.bincount(slot, minlength=1 << 16)[slot] >= max(8, len(u) // (4 * HOT))
@@ -245,17 +254,25 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 v, n = v[keep], n[keep]
             contexts, counts = v, n
     rows = [(-1, blobs.pack(np.array([total]))), (-2, blobs.pack(contexts, counts))]
+    if repeated:
+        v, n = _most(repeated, COMMON)
+        rows.append((-3, blobs.pack(v[n > 1], n[n > 1])))
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "data"])
 
 
+def _most(got: list, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the largest sums of counts, in order."""
+    v, inverse = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    n = np.bincount(inverse, weights=np.concatenate([x[1] for x in got]), minlength=len(v)).astype(np.int64)
+    keep = np.sort(np.argsort(-n, kind="stable")[:most])
+    return v[keep], n[keep]
+
+
 def _census_sum(group: pd.DataFrame) -> pd.DataFrame:
     got, key = [blobs.unpack(x) for x in group["data"]], int(group["key"].iloc[0])
     if key == -1:
         return pd.DataFrame({"key": [key], "data": [blobs.pack(sum(x[0] for x in got))]})
-    v, inverse = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([x[1] for x in got]), minlength=len(v)).astype(np.int64)
-    keep = np.sort(np.argsort(-n, kind="stable")[: 4 * HOT])
-    return pd.DataFrame({"key": [key], "data": [blobs.pack(v[keep], n[keep])]})
+    return pd.DataFrame({"key": [key], "data": [blobs.pack(*_most(got, 4 * HOT if key == -2 else COMMON))]})
 
 
 def _slice_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -267,12 +284,23 @@ def _pair_keys(word: np.ndarray, u: np.ndarray) -> np.ndarray:
     return K.mix64(word + u * _U(0xD6E8FEB86659FD93))
 
 
+def _named(words: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """Sorted words as numbers of common ones and the rest."""
+    place = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
+    known = common[place] == words if len(common) else np.zeros(len(words), dtype=bool)
+    return [blobs.delta(place[known].astype(np.uint16)), blobs.delta(words[~known])]
+
+
+def _words_of(number: np.ndarray, rest: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate([common[blobs.undelta(number)] if len(number) else np.zeros(0, np.uint64), blobs.undelta(rest)]))
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint16 if len(x) == 0 or x.max() < 1 << 16 else np.uint32)
 
 
-def _exchange(parts: int, hot: np.ndarray):
-    """Places by part. A blob has: contexts, distinct pairs of each, their words as indices, the words, places of each pair, document indices of places and training marks; one blob of each flush also what documents are."""
+def _exchange(parts: int, hot: np.ndarray, common: np.ndarray):
+    """Places by part. A blob has: contexts, distinct pairs of each, their words as indices, the words (common ones, others), places of each pair, document indices of places and training marks; one blob of each flush also what documents are."""
 
     def flush(w: np.ndarray, u: np.ndarray, doc: np.ndarray, source: int, docs: list) -> pa.RecordBatch:
         part = _slice_of(u, parts)
@@ -301,7 +329,7 @@ def _exchange(parts: int, hot: np.ndarray):
             new[1:] = (mine_u[1:] != mine_u[:-1]) | (which[1:] != which[:-1])
             pairs = np.flatnonzero(new)
             contexts = K.runs(mine_u[pairs])
-            body = [blobs.delta(mine_u[pairs[contexts]]), _small(np.diff(np.append(contexts, len(pairs)))), _small(which[pairs]), blobs.delta(words), _small(np.diff(np.append(pairs, len(by)))), _small(mine_doc), train]
+            body = [blobs.delta(mine_u[pairs[contexts]]), _small(np.diff(np.append(contexts, len(pairs)))), _small(which[pairs]), *_named(words, common), _small(np.diff(np.append(pairs, len(by)))), _small(mine_doc), train]
             if first:
                 body += [blobs.delta(ids), null, tokens]
             rows.append((k, source, blobs.pack(*body)))
@@ -337,7 +365,7 @@ def _exchange(parts: int, hot: np.ndarray):
 class Part:
     """The places of one part: distinct words and contexts, distinct pairs in order, the pair of each place."""
 
-    def __init__(self, group: pd.DataFrame):
+    def __init__(self, group: pd.DataFrame, common: np.ndarray):
         group = group.sort_values("source")
         self.docs, self.source, self.size, self.extra = [], [], [], []
         u_lists, u_runs, w_lists, w_index, counts, train = [], [], [], [], [], []
@@ -347,14 +375,14 @@ class Part:
             u_lists.append(blobs.undelta(b[0]))
             u_runs.append(b[1].astype(np.int64))
             w_index.append(b[2].astype(np.int64) + listed)
-            w_lists.append(blobs.undelta(b[3]))
+            w_lists.append(_words_of(b[3], b[4], common))
             listed += len(w_lists[-1])
-            counts.append(b[4].astype(np.int64))
-            self.docs.append(b[5])
-            train.append(b[6][b[5]].astype(bool))
+            counts.append(b[5].astype(np.int64))
+            self.docs.append(b[6])
+            train.append(b[7][b[6]].astype(bool))
             self.source.append(int(src))
-            self.size.append(len(b[6]))
-            self.extra.append(b[7:])
+            self.size.append(len(b[7]))
+            self.extra.append(b[8:])
         self.words, which = np.unique(np.concatenate(w_lists), return_inverse=True)
         w = which[np.concatenate(w_index)]
         self.contexts, which = np.unique(np.concatenate(u_lists), return_inverse=True)
@@ -388,12 +416,12 @@ class Shared:
         self.cut = np.searchsorted(_slice_of(self.keys, parts), np.arange(parts + 1))
 
 
-def _first(parts: int, hot: np.ndarray):
+def _first(parts: int, hot: np.ndarray, common: np.ndarray):
     """Of one part: customers and distinct pairs of its keys, by slice."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         me = int(group["part"].iloc[0])
-        p = Part(group)
+        p = Part(group, common)
         seen = p.c > 0
         u, w, c = p.u[seen], p.w[seen], p.c[seen]
         sh = Shared(p.words, p.contexts, hot, parts)
@@ -406,15 +434,19 @@ def _first(parts: int, hot: np.ndarray):
     return run
 
 
-def _own_pairs(group: pd.DataFrame) -> pd.DataFrame:
+def _own_pairs(common: np.ndarray):
     """Of one part: its words, contexts and training pairs, for its sweeps."""
-    p = Part(group)
-    seen = p.c > 0
-    data = blobs.pack(blobs.delta(p.contexts), blobs.delta(p.words), _small(np.bincount(p.u[seen], minlength=len(p.contexts))), _small(p.w[seen]), _small(p.c[seen]))
-    out = pd.DataFrame({"part": [int(group["part"].iloc[0])], "source": [-1], "data": [data]})
-    del p
-    K.trim()
-    return out
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        p = Part(group, common)
+        seen = p.c > 0
+        data = blobs.pack(blobs.delta(p.contexts), blobs.delta(p.words), _small(np.bincount(p.u[seen], minlength=len(p.contexts))), _small(p.w[seen]), _small(p.c[seen]))
+        out = pd.DataFrame({"part": [int(group["part"].iloc[0])], "source": [-1], "data": [data]})
+        del p
+        K.trim()
+        return out
+
+    return run
 
 
 def _first_answer(parts: int):
@@ -591,13 +623,13 @@ def below(c, t, tables_of, customers_of, p):
     return (c - DISCOUNT * t + (STRENGTH + DISCOUNT * tables_of) * p) / (STRENGTH + customers_of)
 
 
-def _score(parts: int, hot: np.ndarray):
+def _score(parts: int, hot: np.ndarray, common: np.ndarray):
     """Of one part: for each source, sums over its documents of log10(c + 0.5), log10 P and known tokens, and N and V."""
 
     def run(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if len(group) == 0:
             return pd.DataFrame({"source": [], "data": []})
-        p = Part(group)
+        p = Part(group, common)
         seen = np.flatnonzero(p.c > 0)
         u, w, c = p.u[seen], p.w[seen], p.c[seen]
         sh = Shared(p.words, p.contexts, hot, parts)
@@ -618,15 +650,15 @@ def _score(parts: int, hot: np.ndarray):
             tables = np.zeros(len(p.c))
             tables[seen] = t
             total += below(p.c, tables, tables_of[p.u], customers_of[p.u], mean[p.w])
-        log_p = np.log10(total / SAMPLES)
-        log_c = np.log10(known + 0.5)[p.w]
+        log_p = np.round(np.log10(total / SAMPLES) * SCALE)
+        log_c = np.round(np.log10(known + 0.5) * SCALE)[p.w]
         is_known = (known > 0)[p.w]
         rows, at = [], 0
         for d, src, n, info in zip(p.docs, p.source, p.size, p.extra, strict=True):
             mine = p.pair[at : at + len(d)]
             at += len(d)
             sums = [np.bincount(d, weights=x[mine], minlength=n) for x in (log_c, log_p, is_known)]
-            rows.append((src, blobs.pack(*sums[:2], sums[2].astype(np.uint32), np.array([tokens, n_words], np.int64), *info)))
+            rows.append((src, blobs.pack(*(-x.astype(np.int64) for x in sums[:2]), _small(sums[2].astype(np.int64)), np.array([tokens, n_words], np.int64), *info)))
         K.trim()
         return pd.DataFrame(rows, columns=["source", "data"])
 
@@ -637,7 +669,7 @@ def _finish(group: pd.DataFrame) -> pd.DataFrame:
     sums, info = None, None
     for data in group.sort_values("data")["data"]:
         b = blobs.unpack(data)
-        mine = [x.astype(np.float64) for x in b[:3]]
+        mine = [x.astype(np.int64) for x in b[:3]]
         sums = mine if sums is None else [a + x for a, x in zip(sums, mine, strict=True)]
         tokens, words = (int(x) for x in b[3])
         if len(b) > 4:
@@ -646,8 +678,8 @@ def _finish(group: pd.DataFrame) -> pd.DataFrame:
     doc_id = pd.array(ids, dtype="Int64")
     doc_id[null] = pd.NA
     held = held_out_rows([None if z else int(x) for x, z in zip(ids, null, strict=True)])
-    base = sums[0] - n * np.log10(tokens + 0.5 * (words + 1))
-    return pd.DataFrame({"doc_id": doc_id, "held_out": held, "n_tokens": n, "n_known": sums[2].astype(np.int64), "train_tokens": tokens, "base_score": base, "score": sums[1]})
+    base = -sums[0] / SCALE - n * np.log10(tokens + 0.5 * (words + 1))
+    return pd.DataFrame({"doc_id": doc_id, "held_out": held, "n_tokens": n, "n_known": sums[2].astype(np.int64), "train_tokens": tokens, "base_score": base, "score": -sums[1] / SCALE})
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -658,15 +690,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
     tokens = int(census[-1][0][0]) if -1 in census else 0
     frequent = census.get(-2, [np.zeros(0, np.uint64), np.zeros(0, np.int64)])
     hot = np.sort(frequent[0][frequent[1] * HOT >= tokens])[: 4 * HOT] if tokens else np.zeros(0, np.uint64)
+    common = census[-3][0] if -3 in census else np.zeros(0, np.uint64)
     told, answered = "key int, part int, data binary", "part int, source int, data binary"
-    placed = docs.mapInArrow(K.tidy(_exchange(parts, hot)), "part int, source long, data binary").groupBy("part")
-    sums = placed.applyInPandas(_first(parts, hot), told).groupBy("key").applyInPandas(_first_answer(parts), answered)
-    first = sums.union(placed.applyInPandas(_own_pairs, answered))
+    placed = docs.mapInArrow(K.tidy(_exchange(parts, hot, common)), "part int, source long, data binary").groupBy("part")
+    sums = placed.applyInPandas(_first(parts, hot, common), told).groupBy("key").applyInPandas(_first_answer(parts), answered)
+    first = sums.union(placed.applyInPandas(_own_pairs(common), answered))
     last, sampled = sums, sums.withColumn("sweep", F.lit(0))
     for sweep in range(1, BURN_IN + SAMPLES + 1):
         swept = first.groupBy("part").cogroup(last.groupBy("part")).applyInPandas(_sweep(parts, hot, sweep), told)
         last = swept.groupBy("key").applyInPandas(_sweep_answer(parts, sweep), answered)
         if sweep > BURN_IN:
             sampled = sampled.union(last.withColumn("sweep", F.lit(sweep)))
-    scored = placed.cogroup(sampled.groupBy("part")).applyInPandas(_score(parts, hot), "source long, data binary")
+    scored = placed.cogroup(sampled.groupBy("part")).applyInPandas(_score(parts, hot, common), "source long, data binary")
     return scored.groupBy("source").applyInPandas(_finish, SCHEMA)
