@@ -30,11 +30,14 @@ def _binned(gmap: DataFrame, low: str, high: str, width: float) -> DataFrame:
 
 
 def bp_to_cm(df: DataFrame, gmap: DataFrame, bp: str, out: str = "cm", width: int = 1_000_000) -> DataFrame:
-    """Piecewise linear and clamped to the knots; distinct positions meet the knots of their bin, then rejoin."""
+    """Piecewise linear, and clamped to the map's ends outside; distinct positions meet the knots of their bin, then rejoin."""
     p = df.select(F.col(bp).alias("_p")).distinct().withColumn("_bin", F.floor(F.col("_p") / width))
     y = F.col("y1") + (F.col("_p") - F.col("x1")) * ((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
-    at = p.join(_binned(gmap, "x1", "x2", width), "_bin").where((F.col("_p") >= F.col("x1")) & (F.col("_p") < F.col("x2"))).select("_p", F.greatest("y1", F.least("y2", y)).alias(out))
-    return df.join(at, F.col(bp) == F.col("_p"), "left").drop("_p")
+    at = p.join(_binned(gmap, "x1", "x2", width), "_bin").where((F.col("_p") >= F.col("x1")) & (F.col("_p") < F.col("x2"))).select("_p", F.greatest("y1", F.least("y2", y)).alias("_y"))
+    ends = F.broadcast(gmap.agg(F.min("x1").alias("_x1"), F.min("y1").alias("_y1"), F.max("y2").alias("_y2")))  # one row
+    found = df.join(at, F.col(bp) == F.col("_p"), "left").join(ends)
+    outside = F.when(F.col(bp) < F.col("_x1"), F.col("_y1")).when(F.col(bp).isNotNull(), F.col("_y2"))
+    return found.withColumn(out, F.coalesce("_y", outside)).drop("_p", "_y", "_x1", "_y1", "_y2")
 
 
 def cm_to_bp(df: DataFrame, gmap: DataFrame, cm: str, out: str = "bp", width: float = 10.0) -> DataFrame:

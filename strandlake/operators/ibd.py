@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import coords
 from . import intervals as I
 
 PAIR = ["ind1", "ind2"]
@@ -20,12 +21,15 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.select(pick("ind1", "ind2").alias("ind1"), pick("hap1", "hap2").alias("hap1"), pick("ind2", "ind1").alias("ind2"), pick("hap2", "hap1").alias("hap2"), *rest)
 
 
-def with_cm(df: DataFrame) -> DataFrame:
-    return df.withColumn("cm", (F.col("e") - F.col("s")) / BP_PER_CM)
+def with_cm(df: DataFrame, gmap: DataFrame | None = None) -> DataFrame:
+    """Adds ``cm``, the length of (s, e): by a map (x1, x2, y1, y2) as the difference of its values at both ends, else at the constant rate."""
+    if gmap is None:
+        return df.withColumn("cm", (F.col("e") - F.col("s")) / BP_PER_CM)
+    return coords.bp_to_cm(coords.bp_to_cm(df, gmap, "s", "_cs"), gmap, "e", "_ce").withColumn("cm", F.col("_ce") - F.col("_cs")).drop("_cs", "_ce")
 
 
-def min_cm(df: DataFrame, least: float) -> DataFrame:
-    return with_cm(df).where(F.col("cm") >= least)
+def min_cm(df: DataFrame, least: float, gmap: DataFrame | None = None) -> DataFrame:
+    return with_cm(df, gmap).where(F.col("cm") >= least)
 
 
 def predicates(df: DataFrame) -> DataFrame:
@@ -68,7 +72,7 @@ def diploid_merge(df: DataFrame, mode: str = "corrected") -> DataFrame:
     return r.where("_k = 1").drop("_k").unionByName(I.islands(r.where("_k > 1"), [*PAIR, "chrid"]))
 
 
-def bridge_merge(df: DataFrame, sites: DataFrame, max_cm: float, max_discord: int) -> DataFrame:
+def bridge_merge(df: DataFrame, sites: DataFrame, max_cm: float, max_discord: int, gmap: DataFrame | None = None) -> DataFrame:
     """Islands that also bridge a gap of one chromosome shorter than max_cm with at most max_discord discordant sites.
 
     ``sites`` (ind1, ind2, pos) lists opposite homozygotes.  Whether a gap bridges depends on the largest end before it alone.
@@ -78,13 +82,17 @@ def bridge_merge(df: DataFrame, sites: DataFrame, max_cm: float, max_discord: in
     r = df.select(*keys, "s", "e").withColumn("_end", F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1)))
     gaps = r.where("s > _end").select(*keys, F.col("_end").alias("gs"), F.col("s").alias("ge")).distinct()
     bad = gaps.join(sites, PAIR).where("pos >= gs and pos < ge").groupBy(*keys, "gs", "ge").agg(F.count("*").alias("bad"))
-    bridged = gaps.join(bad, [*keys, "gs", "ge"], "left").where((F.coalesce("bad", F.lit(0)) <= max_discord) & ((F.col("ge") - F.col("gs")) / BP_PER_CM < max_cm)).select(*keys, F.col("gs").alias("s"), F.col("ge").alias("e"))
+    few = gaps.join(bad, [*keys, "gs", "ge"], "left").where(F.coalesce("bad", F.lit(0)) <= max_discord).select(*keys, F.col("gs").alias("s"), F.col("ge").alias("e"))
+    bridged = with_cm(few, gmap).where(F.col("cm") < max_cm).drop("cm")
     return I.islands(r.drop("_end").unionByName(bridged), keys)
 
 
-def pair_totals(df: DataFrame) -> DataFrame:
+def pair_totals(df: DataFrame, gmap: DataFrame | None = None) -> DataFrame:
     """Total cM of each pair over its merged segments."""
-    return I.islands(df, [*PAIR, "chrid"]).groupBy(*PAIR).agg((F.sum(F.col("e") - F.col("s")) / BP_PER_CM).alias("total_cm"))
+    isl = I.islands(df, [*PAIR, "chrid"])
+    if gmap is None:
+        return isl.groupBy(*PAIR).agg((F.sum(F.col("e") - F.col("s")) / BP_PER_CM).alias("total_cm"))
+    return with_cm(isl, gmap).groupBy(*PAIR).agg(F.sum("cm").alias("total_cm"))
 
 
 def all_pairs(ids: DataFrame, col: str) -> DataFrame:
@@ -93,18 +101,19 @@ def all_pairs(ids: DataFrame, col: str) -> DataFrame:
     return a.join(b, F.col("ind1") > F.col("ind2"))
 
 
-def pair_totals_both(a: DataFrame, b: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+def pair_totals_both(a: DataFrame, b: DataFrame, ids: DataFrame, col: str, gmap: DataFrame | None = None) -> DataFrame:
     """Totals of both sets for all pairs of ids, zeros included."""
     p = all_pairs(ids, col)
-    p = p.join(pair_totals(a).withColumnRenamed("total_cm", "a_cm"), PAIR, "left").join(pair_totals(b).withColumnRenamed("total_cm", "b_cm"), PAIR, "left")
+    p = p.join(pair_totals(a, gmap).withColumnRenamed("total_cm", "a_cm"), PAIR, "left").join(pair_totals(b, gmap).withColumnRenamed("total_cm", "b_cm"), PAIR, "left")
     return p.select(*PAIR, F.coalesce("a_cm", F.lit(0.0)).alias("a_cm"), F.coalesce("b_cm", F.lit(0.0)).alias("b_cm"))
 
 
-def length_spectrum(a: DataFrame, b: DataFrame, width: float = 0.05) -> DataFrame:
+def length_spectrum(a: DataFrame, b: DataFrame, width: float = 0.05, gmap: DataFrame | None = None) -> DataFrame:
     """Sums of cM by length bin of both sets; centres are (k + 0.5) * width."""
-    one = lambda d, name: with_cm(d).groupBy(F.floor(F.col("cm") / width).alias("k")).agg(F.sum(F.col("e") - F.col("s")).alias(name))
-    j = one(a, "a_bp").join(one(b, "b_bp"), "k", "full")
-    return j.select(((F.col("k") + 0.5) * width).alias("center"), (F.coalesce("a_bp", F.lit(0)) / BP_PER_CM).alias("a_cm"), (F.coalesce("b_bp", F.lit(0)) / BP_PER_CM).alias("b_cm"))
+    total = (F.sum(F.col("e") - F.col("s")) / BP_PER_CM) if gmap is None else F.sum("cm")
+    one = lambda d, name: with_cm(d, gmap).groupBy(F.floor(F.col("cm") / width).alias("k")).agg(total.alias(name))
+    j = one(a, "a_cm").join(one(b, "b_cm"), "k", "full")
+    return j.select(((F.col("k") + 0.5) * width).alias("center"), F.coalesce("a_cm", F.lit(0.0)).alias("a_cm"), F.coalesce("b_cm", F.lit(0.0)).alias("b_cm"))
 
 
 def overlap_shares(a: DataFrame, b: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -116,12 +125,12 @@ def overlap_shares(a: DataFrame, b: DataFrame, extra: tuple[str, ...] = ()) -> D
     return s.join(covered, [*keys, "s", "e"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
 
-def overlap_rates(a: DataFrame, b: DataFrame, bins: list[float], extra: tuple[str, ...] = ()) -> DataFrame:
+def overlap_rates(a: DataFrame, b: DataFrame, bins: list[float], extra: tuple[str, ...] = (), gmap: DataFrame | None = None) -> DataFrame:
     """Mean and population deviation of overlap shares by length bin of a's segments, and a row of -1 for pairs genome-wide; for each value of ``extra`` keys (windows) apart.
 
     Equal segments count by their number, in weighted sums.
     """
-    sh = overlap_shares(a, b, extra).withColumn("cm", (F.col("e") - F.col("s")) / BP_PER_CM).withColumn("share", F.col("covered") / (F.col("e") - F.col("s")))
+    sh = with_cm(overlap_shares(a, b, extra), gmap).withColumn("share", F.col("covered") / (F.col("e") - F.col("s")))
     bin_ = F.lit(None).cast("double")
     for x in sorted(bins):
         bin_ = F.when(F.col("cm") >= x, F.lit(float(x))).otherwise(bin_)
@@ -155,19 +164,18 @@ def window_clip(df: DataFrame, genome: DataFrame, size: int) -> DataFrame:
     return j.select(*PAIR, "chrid", "k", F.greatest("s", lo).alias("s"), F.least("e", hi).alias("e")).where("s < e")
 
 
-def clip_to_regions(df: DataFrame, regions: DataFrame, least_cm: float = 0.0) -> DataFrame:
+def clip_to_regions(df: DataFrame, regions: DataFrame, least_cm: float = 0.0, gmap: DataFrame | None = None) -> DataFrame:
     """Segments cut to regions (chrid, s, e), those of at least ``least_cm`` left."""
-    c = I.clip(I.interval_join(df, regions, ["chrid"]))
-    return c.where((F.col("e") - F.col("s")) / BP_PER_CM >= least_cm)
+    return min_cm(I.clip(I.interval_join(df, regions, ["chrid"])), least_cm, gmap).drop("cm")
 
 
-def remove_regions(df: DataFrame, regions: DataFrame, genome: DataFrame, least_cm: float = 0.0) -> DataFrame:
+def remove_regions(df: DataFrame, regions: DataFrame, genome: DataFrame, least_cm: float = 0.0, gmap: DataFrame | None = None) -> DataFrame:
     bounds = genome.select("chrid", F.col("gwstart").alias("lo"), (F.col("gwstart") + F.col("size")).alias("hi"))
-    return clip_to_regions(df, I.complement(regions, bounds, ["chrid"]), least_cm)
+    return clip_to_regions(df, I.complement(regions, bounds, ["chrid"]), least_cm, gmap)
 
 
-def related_pairs(df: DataFrame, genome_cm: float, threshold: float) -> DataFrame:
-    return pair_totals(df).where(F.col("total_cm") > threshold * genome_cm)
+def related_pairs(df: DataFrame, genome_cm: float, threshold: float, gmap: DataFrame | None = None) -> DataFrame:
+    return pair_totals(df, gmap).where(F.col("total_cm") > threshold * genome_cm)
 
 
 def unrelated(ids: list[int], edges: list[tuple[int, int]]) -> list[int]:
