@@ -82,10 +82,6 @@ class RVar:
 
     def get_jaccard(self, first: DataFrame | None = None, second: DataFrame | None = None) -> DataFrame:
         """Pairs g1 > g2 of all genomes, or of one of ``first`` (genome) with one of ``second``."""
-        j = rare.jaccard(self.rec)
         if first is None:
-            return j
-        a, b = first.select("genome"), (first if second is None else second).select("genome")
-        x = j.join(a.withColumnRenamed("genome", "g1"), "g1", "left_semi").join(b.withColumnRenamed("genome", "g2"), "g2", "left_semi")
-        y = j.join(a.withColumnRenamed("genome", "g2"), "g2", "left_semi").join(b.withColumnRenamed("genome", "g1"), "g1", "left_semi")
-        return x.select(*j.columns).union(y.select(*j.columns)).distinct()
+            return rare.jaccard(self.rec)
+        return rare.jaccard(self.rec, rare.pairs_of_lists(first, second))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import coords
 from . import intervals as I
+from .matrix import numbered
 
 PAIR = ["ind1", "ind2"]
 BP_PER_CM = 15_000.0
@@ -178,17 +181,39 @@ def related_pairs(df: DataFrame, genome_cm: float, threshold: float, gmap: DataF
     return pair_totals(df, gmap).where(F.col("total_cm") > threshold * genome_cm)
 
 
+#: Related pairs that the greedy removal takes to the driver at most.
+MOST_EDGES = 5_000_000
+
+
+def related_edges(df: DataFrame, genome_cm: float, threshold: float, gmap: DataFrame | None = None, most: int = MOST_EDGES) -> list[tuple[int, int]]:
+    """The related pairs, of which there may be ``most``; one more is an error."""
+    pairs = related_pairs(df, genome_cm, threshold, gmap).select(*PAIR).limit(most + 1).collect()
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} related pairs")
+    return [tuple(r) for r in pairs]
+
+
 def unrelated(ids: list[int], edges: list[tuple[int, int]]) -> list[int]:
-    """Ids left after removing, again and again, the one with most edges (ties: the smallest); greedy on the related pairs alone."""
+    """Ids left after removing, again and again, the one with most edges (ties: the smallest); greedy on the related pairs alone.
+
+    A heap holds each id with its edges at the time; entries that are out of date are passed over.
+    """
     near: dict[int, set[int]] = {}
     for a, b in edges:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
+    heap = [(-len(ys), x) for x, ys in near.items()]
+    heapq.heapify(heap)
     gone = set()
-    while any(near.values()):
-        worst = min(near, key=lambda x: (-len(near[x]), x))
+    while heap:
+        n, worst = heapq.heappop(heap)
+        if worst in gone or -n != len(near[worst]):
+            continue
+        if n == 0:
+            break
         for y in near.pop(worst):
             near[y].discard(worst)
+            heapq.heappush(heap, (-len(near[y]), y))
         gone.add(worst)
     return sorted(set(ids) - gone)
 
@@ -222,5 +247,5 @@ def peaks(cov: DataFrame, step: int, trim: float = 0.05, k: float = 2.0) -> Data
 def filter_peaks(found: DataFrame, pvalues: DataFrame, level: float = 0.05) -> DataFrame:
     """Peaks that hold a point p whose p-value times n over its rank is below ``level``."""
     n = pvalues.agg(F.count("*").alias("n"))
-    hits = pvalues.withColumn("_rank", F.row_number().over(W.orderBy("pval", "p"))).join(F.broadcast(n)).where(F.col("pval") * F.col("n") / F.col("_rank") < level).select(F.col("chrid").alias("hc"), "p")
+    hits = numbered(pvalues, ["pval", "p"], "_rank").join(F.broadcast(n)).where(F.col("pval") * F.col("n") / F.col("_rank") < level).select(F.col("chrid").alias("hc"), "p")
     return found.join(hits, (F.col("chrid") == F.col("hc")) & (F.col("s") <= F.col("p")) & (F.col("p") < F.col("e")), "left_semi")

@@ -64,6 +64,21 @@ def ordered(df: DataFrame, by: list[str], keys: list[str], name: str = "place")
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*by)) - 1)
 
 
+def numbered(df: DataFrame, by: list[str], name: str = "place", bins: int = 256) -> DataFrame:
+    """Adds each row's number, from 1, in the order of ``by`` over the whole frame.
+
+    Rows are dealt to bins at quantiles of the first (numeric) column, of which a list of at most ``bins`` numbers is collected; a row's number is
+    that inside its bin after the sizes of the bins before, so no task holds more than a bin (rows of one value are in one).
+    """
+    cuts = sorted(set(df.approxQuantile(by[0], [k / bins for k in range(1, bins)], 0.0005))) if bins > 1 else []
+    cell = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= F.col(by[0]).cast("double"))) if cuts else F.lit(0)
+    binned = df.withColumn("_cell", cell)
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # over a row a bin
+    sizes = binned.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn("_before", before).select("_cell", "_before")
+    inside = F.row_number().over(W.partitionBy("_cell").orderBy(*by))
+    return binned.withColumn(name, inside.cast("long")).join(F.broadcast(sizes), "_cell").withColumn(name, F.col(name) + F.col("_before")).drop("_cell", "_before")
+
+
 def same_individuals(a: DataFrame, b: DataFrame) -> bool:
     """Whether two individual lists (ind, name) are equal in order."""
     return is_equal(a.select("ind", "name"), b.select("ind", "name"))

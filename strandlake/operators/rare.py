@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def unpack(df: DataFrame, col: str) -> DataFrame:
-    """Packed 64-bit records to (pos, genome, allele): bits 0-31, 32-55, 56-63."""
-    x = F.col(col).cast("decimal(20,0)")
-    rest = F.floor(x / F.lit(1 << 32).cast("decimal(20,0)")).cast("decimal(20,0)")
-    return df.select((x % F.lit(1 << 32).cast("decimal(20,0)")).cast("long").alias("pos"), (rest % F.lit(1 << 24).cast("decimal(20,0)")).cast("long").alias("genome"), F.floor(rest / F.lit(1 << 24).cast("decimal(20,0)")).cast("long").alias("allele"))
+def unpack(df: DataFrame, col: str, *keep: str) -> DataFrame:
+    """Packed 64-bit records to (pos, genome, allele) and the columns of ``keep``: bits 0-31, 32-55, 56-63; unsigned numbers come as decimals."""
+    x = F.col(col)
+    if "decimal" in dict(df.dtypes)[col]:
+        x = F.when(x >= F.lit(Decimal(1 << 63)), x - F.lit(Decimal(1 << 64))).otherwise(x)
+    x = x.cast("long")
+    return df.select(x.bitwiseAND((1 << 32) - 1).alias("pos"), F.shiftright(x, 32).bitwiseAND((1 << 24) - 1).alias("genome"), F.shiftrightunsigned(x, 56).alias("allele"), *keep)
 
 
 def pack(df: DataFrame) -> DataFrame:
-    d = lambda c: F.col(c).cast("decimal(20,0)")
-    return df.select((d("pos") + d("genome") * F.lit(1 << 32).cast("decimal(20,0)") + d("allele") * F.lit(1 << 56).cast("decimal(20,0)")).cast("decimal(20,0)").alias("packed"))
+    """One unsigned 64-bit number a record, as a decimal, which Parquet readers of unsigned columns give too."""
+    x = F.shiftleft(F.col("allele").cast("long"), 56).bitwiseOR(F.shiftleft(F.col("genome").cast("long"), 32)).bitwiseOR(F.col("pos").cast("long"))
+    d = x.cast("decimal(20,0)")
+    return df.select(F.when(x < 0, d + F.lit(Decimal(1 << 64))).otherwise(d).cast("decimal(20,0)").alias("packed"))
 
 
 def drop_multiallelic(rec: DataFrame) -> DataFrame:
@@ -43,27 +49,43 @@ def allele_freq(rec: DataFrame, genomes: int) -> DataFrame:
     return allele_counts(rec).select("pos", (F.col("n") / F.lit(genomes)).alias("freq"))
 
 
-def pair_matches(rec: DataFrame) -> DataFrame:
-    """(g1 > g2, both, eq): positions both carry, and those with equal alleles; one self-join by position."""
+def pairs_of_lists(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """Pairs g1 > g2 of one list of genomes (genome), or of one of each of two lists."""
+    a = first.select(F.col("genome").alias("x")).distinct()
+    b = (first if second is None else second).select(F.col("genome").alias("y")).distinct()
+    return a.join(b, F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("g1"), F.least("x", "y").alias("g2")).distinct()
+
+
+def pair_matches(rec: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(g1 > g2, both, eq): positions both carry, and those with equal alleles; one self-join by position, or for stated pairs by genome, then position and genome."""
     a = rec.select("pos", F.col("genome").alias("g1"), F.col("allele").alias("a1"))
     b = rec.select("pos", F.col("genome").alias("g2"), F.col("allele").alias("a2"))
-    return a.join(b, "pos").where("g1 > g2").groupBy("g1", "g2").agg(F.count("*").alias("both"), F.sum((F.col("a1") == F.col("a2")).cast("long")).alias("eq"))
+    met = a.join(b, "pos").where("g1 > g2") if pairs is None else a.join(pairs.select("g1", "g2"), "g1").join(b, ["pos", "g2"])
+    return met.groupBy("g1", "g2").agg(F.count("*").alias("both"), F.sum((F.col("a1") == F.col("a2")).cast("long")).alias("eq"))
 
 
-def pair_table(rec: DataFrame) -> DataFrame:
-    """All pairs g1 > g2 of genomes that have records, with n1, n2, both and eq (zeros included)."""
+def pair_table(rec: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """All pairs g1 > g2 of genomes that have records, or stated pairs of such, with n1, n2, both and eq (zeros included)."""
     n = rec.groupBy("genome").agg(F.count("*").alias("n"))
     a, b = n.select(F.col("genome").alias("g1"), F.col("n").alias("n1")), n.select(F.col("genome").alias("g2"), F.col("n").alias("n2"))
-    return a.join(b, F.col("g1") > F.col("g2")).join(pair_matches(rec), ["g1", "g2"], "left").fillna(0, ["both", "eq"])
+    sized = a.join(b, F.col("g1") > F.col("g2")) if pairs is None else pairs.select("g1", "g2").join(a, "g1").join(b, "g2")
+    return sized.join(pair_matches(rec, pairs), ["g1", "g2"], "left").fillna(0, ["both", "eq"])
 
 
-def jaccard(rec: DataFrame) -> DataFrame:
+def jaccard(rec: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     total = F.col("n1") + F.col("n2") - F.col("both")
-    return pair_table(rec).select("g1", "g2", total.alias("total"), F.col("eq").alias("shared"), F.when(total > 0, F.col("eq") / total).alias("jaccard"))
-
-
-def cosine(rec: DataFrame) -> DataFrame:
-    return pair_table(rec).select("g1", "g2", ((2 * F.col("eq") - F.col("both")) / F.sqrt(F.col("n1") * F.col("n2"))).alias("cosine"))
+    return pair_table(rec, pairs).select("g1", "g2", total.alias("total"), F.col("eq").alias("shared"), F.when(total > 0, F.col("eq") / total).alias("jaccard"))
+
+
+def cosine(rec: DataFrame, pairs: DataFrame | None = None, least_dot: int | None = None, least_size: int | None = None, least: float | None = None) -> DataFrame:
+    """Cosines of pairs; of those with at least ``least_dot`` for the dot product, ``least_size`` records on both sides and a cosine of ``least``, where given."""
+    p = pair_table(rec, pairs)
+    if least_dot is not None:
+        p = p.where(2 * F.col("eq") - F.col("both") >= least_dot)
+    if least_size is not None:
+        p = p.where(F.least("n1", "n2") >= least_size)
+    out = p.select("g1", "g2", ((2 * F.col("eq") - F.col("both")) / F.sqrt(F.col("n1") * F.col("n2"))).alias("cosine"))
+    return out if least is None else out.where(F.col("cosine") >= least)
 
 
 def grm(rec: DataFrame, genomes: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import intervals as I
+from .matrix import numbered
 
 FAR = 1 << 60
 
@@ -50,7 +51,11 @@ def xirs_row_sums(sites: DataFrame) -> DataFrame:
 
 def xirs_norm(raw: DataFrame, bins: int = 100) -> DataFrame:
     """Adds bin (equal counts by freq, ties by place), z and xirs = z * z."""
-    b = raw.withColumn("bin", F.ntile(bins).over(W.orderBy("freq", "chrid", "pos")))
+    n = raw.agg(F.count("*").alias("_n"))
+    q, more, r = F.floor(F.col("_n") / bins), F.col("_n") % bins, F.col("_r")
+    wide = more * (q + 1)  # rows in the first bins, which hold one more
+    bin_ = F.when(r <= wide, F.ceil(r / (q + 1))).otherwise(more + F.ceil((r - wide) / F.greatest(q, F.lit(1))))
+    b = numbered(raw, ["freq", "chrid", "pos"], "_r").join(F.broadcast(n)).withColumn("bin", bin_.cast("int")).drop("_r", "_n")
     w = W.partitionBy("bin")
     z = (F.col("raw") - F.avg("raw").over(w)) / F.nullif(F.stddev_pop("raw").over(w), F.lit(0.0))
     return b.withColumn("z", z).withColumn("xirs", F.col("z") * F.col("z"))
@@ -215,16 +220,22 @@ def _mixed(k: np.ndarray, rho: float, m: int) -> np.ndarray:
     return root.T @ k @ root
 
 
+#: Samples whose phenotypes are collected and broadcast at most.
+MOST_SAMPLES = 2_000_000
+
+
 def skat_windows(genotypes: DataFrame, phenotypes: DataFrame, size: int, step: int) -> DataFrame:
     """(window, n_sites, pval) over windows of ``size`` sites, every ``step``, of dosages (sample, pos, dose).
 
     ``phenotypes`` (sample, y, x array of covariates) is a row a sample, collected and broadcast; each window is a group of
     its own carriers alone.
     """
+    if phenotypes.count() > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
     rows = phenotypes.select("sample", "y", "x").orderBy("sample").collect()
     ids = {r.sample: k for k, r in enumerate(rows)}
     y, x = np.array([r.y for r in rows], float), np.array([r.x for r in rows], float)
-    site = genotypes.select("pos").distinct().withColumn("k", F.row_number().over(W.orderBy("pos")) - 1)
+    site = numbered(genotypes.select("pos").distinct(), ["pos"], "k").withColumn("k", F.col("k") - 1)
     lo = F.greatest(F.lit(0), F.ceil((F.col("k") - size + 1) / step))
     placed = site.withColumn("window", F.explode(F.sequence(lo.cast("long"), F.floor(F.col("k") / step))))
     sent = genotypes.sparkSession.sparkContext.broadcast((ids, x, y))

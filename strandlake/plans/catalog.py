@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = X.SQL + sql
+            ORACLES[f.__name__] = (X.SQL.replace("WITH", "WITH RECURSIVE", 1) if "gone AS" in sql else X.SQL) + sql
         return f
 
     return add
@@ -374,9 +374,14 @@ def related_pairs(spark, d):
     return ibd.related_pairs(X.seg(spark, d), 1400.0, 0.15).select("ind1", "ind2", r6("total_cm", "total_cm"))
 
 
-@query()
+GREEDY = """, rel AS (SELECT ind1 AS a, ind2 AS b FROM isl GROUP BY 1, 2 HAVING sum(e - s) / 15000.0 > 0.15 * 1400), ends AS MATERIALIZED (SELECT a AS x, b AS y FROM rel UNION ALL SELECT b, a FROM rel),
+gone AS (SELECT 0 AS step, []::BIGINT[] AS ids UNION ALL SELECT step + 1, list_append(ids, worst) FROM (SELECT step, ids, (SELECT arg_max(x, n * 1000000 - x) FROM (SELECT x, count(*) AS n FROM ends WHERE NOT list_contains(ids, x) AND NOT list_contains(ids, y) GROUP BY x)) AS worst FROM gone) WHERE worst IS NOT NULL)
+SELECT k AS ind FROM range(40) t(k) WHERE NOT list_contains((SELECT arg_max(ids, step) FROM gone), k)"""
+
+
+@query(ISLANDS.format(src="seg") + GREEDY)
 def unrelated(spark, d):
-    edges = [(r.ind1, r.ind2) for r in ibd.related_pairs(X.seg(spark, d), 1400.0, 0.15).select("ind1", "ind2").collect()]
+    edges = ibd.related_edges(X.seg(spark, d), 1400.0, 0.15)
     return spark.createDataFrame([(x,) for x in ibd.unrelated(list(range(40)), edges)], "ind long")
 
 
@@ -428,6 +433,13 @@ def record_packing(spark, d):
     return rare.unpack(rare.pack(X.rec(spark, d)), "packed")
 
 
+@query("SELECT pos, genome, allele, CAST(CAST(allele + 250 AS HUGEINT) * 72057594037927936 + CAST(genome AS HUGEINT) * 4294967296 + pos AS VARCHAR) AS packed FROM rec")
+def packed_bits(spark, d):
+    """The numbers that records pack to, with alleles that reach the sign bit."""
+    p = rare.pack(X.rec(spark, d).withColumn("allele", F.col("allele") + 250))
+    return rare.unpack(p.withColumn("text", F.col("packed").cast("string")), "packed", "text").select("pos", "genome", (F.col("allele") - 250).alias("allele"), F.col("text").alias("packed"))
+
+
 PAIRS = ", n AS (SELECT genome, count(*) AS n FROM rec GROUP BY 1), m AS (SELECT a.genome AS g1, b.genome AS g2, count(*) AS met, count(*) FILTER (WHERE a.allele = b.allele) AS eq FROM rec a JOIN rec b ON a.pos = b.pos AND a.genome > b.genome GROUP BY 1, 2), pt AS (SELECT x.genome AS g1, y.genome AS g2, x.n AS n1, y.n AS n2, coalesce(met, 0) AS met, coalesce(eq, 0) AS eq FROM n x JOIN n y ON x.genome > y.genome LEFT JOIN m ON m.g1 = x.genome AND m.g2 = y.genome) "
 
 
@@ -436,6 +448,24 @@ def jaccard(spark, d):
     return rare.jaccard(X.rec(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
+LISTS = ", x AS (SELECT s_suppkey % 50 AS genome FROM supplier WHERE s_acctbal >= 0), y AS (SELECT s_suppkey % 50 AS genome FROM supplier WHERE s_nationkey >= 10), pl AS (SELECT DISTINCT greatest(x.genome, y.genome) AS g1, least(x.genome, y.genome) AS g2 FROM x JOIN y ON x.genome <> y.genome) "
+
+
+def two_lists(spark, d) -> DataFrame:
+    s = X.table(spark, d, "supplier").withColumn("genome", F.col("s_suppkey") % 50)
+    return rare.pairs_of_lists(s.where("s_acctbal >= 0").select("genome"), s.where("s_nationkey >= 10").select("genome"))
+
+
+@query(PAIRS + LISTS + "SELECT g1, g2, n1 + n2 - met AS total, eq AS shared, round(eq / (n1 + n2 - met), 6) AS jaccard FROM pt JOIN pl USING (g1, g2)")
+def jaccard_of_lists(spark, d):
+    return rare.jaccard(X.rec(spark, d), two_lists(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(PAIRS + LISTS + "SELECT g1, g2, round((2 * eq - met) / sqrt(n1 * n2), 6) AS cosine FROM pt JOIN pl USING (g1, g2) WHERE 2 * eq - met >= 1 AND least(n1, n2) >= 5 AND (2 * eq - met) / sqrt(n1 * n2) >= 0.005")
+def cosine_of_lists(spark, d):
+    return rare.cosine(X.rec(spark, d), two_lists(spark, d), 1, 5, 0.005).withColumn("cosine", F.round("cosine", 6))
+
+
 @query(PAIRS + "SELECT g1, g2, round((2 * eq - met) / sqrt(n1 * n2), 6) AS cosine FROM pt")
 def cosine(spark, d):
     return rare.cosine(X.rec(spark, d)).withColumn("cosine", F.round("cosine", 6))
@@ -514,9 +544,14 @@ def xirs_norm(spark, d):
     return stats.xirs_norm(_raw(spark, d)).select("chrid", "pos", "bin", F.round("z", 5).alias("z"), F.round("xirs", 5).alias("xirs"))
 
 
-@query()
+# twice the upper tail of the normal distribution, by Simpson's rule on 400 steps of (0, z)
+PVAL = XIRS + ", nb AS (SELECT *, ntile(100) OVER (ORDER BY freq, chrid, pos) AS bin FROM rw), zz AS (SELECT *, abs((raw - avg(raw) OVER (PARTITION BY bin)) / nullif(stddev_pop(raw) OVER (PARTITION BY bin), 0)) AS z FROM nb), tail AS (SELECT chrid, pos, 1 - 2 * sum((CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * k / 400.0::DOUBLE) * (z * k / 400.0::DOUBLE) / 2)) * z / 1200 / sqrt(2 * pi()) AS pval FROM zz, range(401) t(k) GROUP BY chrid, pos, z)"
+
+
+@query(PVAL + " SELECT chrid, pos, round(freq, 6) AS freq, round(raw, 5) AS raw, round(z * z, 5) AS xirs, round(pval, 6) AS pval FROM zz JOIN tail USING (chrid, pos)")
 def xirs_pval(spark, d):
-    return stats.xirs_pvalues(stats.xirs_norm(_raw(spark, d))).select("chrid", "pos", "freq", "raw", "xirs", "pval")
+    p = stats.xirs_pvalues(stats.xirs_norm(_raw(spark, d)))
+    return p.select("chrid", "pos", r6("freq", "freq"), F.round("raw", 5).alias("raw"), F.round("xirs", 5).alias("xirs"), F.round("pval", 6).alias("pval"))
 
 
 @query()

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coords
 from ..operators.ibd import BP_PER_CM, normalize
+from ..operators.matrix import numbered
 
 # dimensions
 
@@ -323,7 +324,7 @@ def read_packed_records(spark: SparkSession, path: str) -> tuple[DataFrame, str]
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """(site_id, pos, alleles array) of a sites table (gw_pos, alleles as bytes of names with blanks)."""
     raw = spark.read.parquet(path).select(F.col("gw_pos").cast("long").alias("pos"), F.split(F.col("alleles").cast("string"), " ").alias("alleles"))
-    return raw.withColumn("site_id", F.row_number().over(W.orderBy("pos", "alleles")) - 1)
+    return numbered(raw, ["pos", "alleles"], "site_id").withColumn("site_id", F.col("site_id") - 1)
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
