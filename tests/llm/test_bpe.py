@@ -36,6 +36,7 @@ def test_joined_tokens_equal_merges():
     for _ in range(3000):
         x = "".join(rng.choice("aeinorstlmh") for _ in range(rng.randint(1, 60))).encode() if rng.random() < 0.8 else bytes(rng.randrange(256) for _ in range(rng.randint(1, 40)))
         assert t.tokens(x) == t.merged(x), x
+        assert t.merged_all([x, b"", x[:7]]) == [tuple(t.merged(x)), (), tuple(t.merged(x[:7]))]
 
 
 def test_long_runs():
