@@ -186,21 +186,41 @@ def hot_conf(spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+_own_folder: list[str] = []
+
+
+def shared_folder(sc) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine (tests)."""
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _own_folder:
+            import tempfile
+
+            _own_folder.append(tempfile.mkdtemp(prefix="strandlake-checkpoint-"))
+        folder = _own_folder[0]
+    return folder
+
+
 def checkpoint(df):
-    """Cut lineage through the folder in spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine (tests)."""
+    """Cut lineage through the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="strandlake-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(sc))
     return df.checkpoint()
 
 
+def written(df, name: str):
+    """A frame as a new Parquet table in the shared folder, read again."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark.sparkContext).rstrip('/')}/strandlake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def forget(checkpointed) -> None:
     """Removes the files of a checkpointed frame that nothing will read again."""
     sc = checkpointed.sparkSession.sparkContext

@@ -56,3 +56,20 @@ def test_odd_documents(spark):
         if name != "toxicity":
             assert stage(spark, empty, SF).count() == 0
     assert np.array_equal(P.toxicity(spark, empty, SF).collect(), [])
+
+
+def test_repeats_long_texts_extra_columns_and_no_labels(spark, tmp_path):
+    """Rows that repeat a doc_id, a very long text and columns named like inner ones go through the stages; without labels nothing is toxic."""
+    words = [f"w{k % 977}x{k % 13}" for k in range(60_000)]
+    rows = [(1, "one text of some words here", "en", "s", 27, 9, "a"), (1, "one text of some words here", "en", "s", 27, 9, "b"), (1, "another text under the same number", "en", "s", 34, 9, "c")]
+    rows += [(2, " ".join(words), "en", "s", 1, 9, "d"), (3, "new " + " ".join(words), "en", "s", 1, 9, "e"), (4, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, kept string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    first = P.toxicity(spark, docs, str(tmp_path))
+    assert first.columns == list(P.COLUMNS) and first.count() == len(rows)
+    near = P.near_duplicates(spark, first, str(tmp_path))
+    assert sorted(r.doc_id for r in near.collect()) == [1, 1, 1, 2, 4]
+    done = P.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in done} == {1, 2, 4}
+    assert sum(r.length for r in done if r.doc_id == 2) > 60_000
