@@ -1,8 +1,15 @@
 """A corpus pipeline of four stages; each works on all that the stage before kept.
 
 ``STAGES`` lists (name, function) with functions of (spark, docs, sf_dir); each result is written
-as Parquet and read again as the docs of the next.  All but the last return the
+as Parquet in the shared folder and read again as the docs of the next.  All but the last return the
 columns of documents.
+
+Nulls and empties: a null text counts as empty, scores the bias of the toxicity model alone, is a near duplicate of
+other empty texts (the least doc_id stays), loses nothing and packs as its end token.  A row with a null doc_id is nobody's
+near duplicate, keeps its text and is packed.  Rows that repeat a doc_id are one document: all stay or go as near duplicates
+together.  Very long texts are processed whole.  Without labels the model scores 0.5, which is over the threshold, so
+all rows would be rejected as toxic: without a single label the stage keeps all rows.  An empty table gives no rows.
+Columns beyond those of documents are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the model of the labelled rows marks as toxic (score of 0.3 or more)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     weights = tox.train(docs.where(~tox.held_out()), labels)
+    if len(weights[0]) == 0 and weights[2] == 0.0:  # nothing to learn from
+        return docs.select(*COLUMNS)
     return tox.score(docs.select(*COLUMNS), weights).where(F.col("score") < tox.THRESHOLD).select(*COLUMNS)
 
 
@@ -51,8 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result goes through a table in the checkpoint folder."""
+    """The stages applied to documents; each result is a Parquet table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = kernels.checkpoint(stage(spark, docs, sf_dir))
+        docs = kernels.written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
