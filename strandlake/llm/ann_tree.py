@@ -16,7 +16,7 @@ Each block returns its k nearest to each query among the leaves it visits, and t
 Vectors that are null, zero, of another length than most, or hold nulls or non-finite numbers take no part, nor do rows
 with a null vec_id.  Ties go to the smaller vec_id.  Rows that repeat a vec_id
 are candidates each, never of a query of their own vec_id; repeated query
-rows are searched once.  An empty table gives no rows.  Extra columns are ignored.
+rows are searched once, by the least vector.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -220,7 +220,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     held = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row a leaf, of at most sample_rows leaves
     counts = np.array([held.get(x, 0) for x in range(tree.leaves)], np.int64)
     shard, blocks = shards(counts, block)
-    wanted = rows.where(is_query).dropDuplicates(["vec_id"])
+    wanted = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     shares = max(1, -(-wanted.count() // QUERY_BLOCK))
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,3 +44,27 @@ def test_ties_and_odd_rows(spark):
     assert run(spark, []) == {}
     few = run(spark, [(0, [1.0, 1.0], 0), (1, [2.0, 2.0], 0), (2, [5.0, 5.0], 0)])
     assert [i for _, i, _ in few[0]] == [1, 2]
+
+
+def test_recall_on_embeddings(spark):
+    """Neighbours of the table's own queries against all rows by brute force."""
+    from strandlake.llm.queries import op5_ann_tree
+
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").collect()
+    vectors = {r.vec_id: r.embedding for r in table if r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)}
+    got = {}
+    for r in op5_ann_tree(spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert set(got) == {q for q in vectors if q % 100 == 0}
+    hits = [len({i for _, i in brute(vectors, q, 10)} & set(near)) for q, near in got.items()]
+    assert sum(hits) >= 0.9 * 10 * len(got)
+
+
+def test_a_query_id_of_several_vectors(spark):
+    """The least vector is the query, whatever the order of the rows; all its rows are candidates of others."""
+    rows = [(0, [5.0, 5.0], 0), (0, [1.0, 1.0], 0), (1, [1.0, 1.1], 0), (2, [5.0, 5.1], 0), (10, [5.0, 5.2], 0)]
+    for order in (rows, rows[::-1]):
+        got = run(spark, order)
+        assert [i for _, i, _ in got[0]] == [1, 2, 10]
+        assert sorted(i for _, i, _ in got[10]) == [0, 0, 1, 2]

@@ -86,3 +86,14 @@ def test_the_level_with_the_least_sum_of_squares():
     p.pour()
     fills = [sum(len(x[2]) for x in w) for w in p.done]
     assert sum(f < 64 for f in fills) <= 1
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Rows that repeat are packed each; rows without doc_id are packed too."""
+    rows = [(1, "alpha of x1"), (1, "alpha of x1"), (None, "alpha"), (None, None), (2, "word " * 3000)]
+    frame = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, sequence_id int")
+    got = packing.pack(frame, PATH).collect()
+    assert len([r for r in got if r.doc_id == 1 and r.start == 0]) == 2
+    assert sorted(r.doc_tokens for r in got if r.doc_id is None) == [1, 2]
+    assert sum(r.length for r in got if r.doc_id == 2) == 3001
+    assert packing.packed_digests(frame, PATH).count() == len(got)
