@@ -139,7 +139,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
             sinks.write_genome_text(genome, gmap, f"{args.out}/genome.toml", args.name or "genome")
     elif args.command == "plot-ibd":
         s = segments(spark, args, args.ibd, genome)
-        sinks.write_csv(s.where((F.col("ind1") == max(args.a, args.b)) & (F.col("ind2") == min(args.a, args.b))).orderBy("s"), args.out, "\t")
+        sinks.write_csv(ibd.of_pair(s, args.a, args.b).orderBy("s"), args.out, "\t")
     elif args.command == "grm":
         sinks.write_parquet(rare.grm(rec, args.genomes), args.out)
     elif args.command == "share":

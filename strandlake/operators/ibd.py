@@ -24,6 +24,17 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.select(pick("ind1", "ind2").alias("ind1"), pick("hap1", "hap2").alias("hap1"), pick("ind2", "ind1").alias("ind2"), pick("hap2", "hap1").alias("hap2"), *rest)
 
 
+def turned(df: DataFrame) -> DataFrame:
+    """Adds ``was_turned``, whether ``normalize`` turns the pair, and turns it."""
+    turn = (F.col("ind1") < F.col("ind2")) | ((F.col("ind1") == F.col("ind2")) & (F.col("hap1") < F.col("hap2")))
+    return normalize(df.withColumn("was_turned", turn.cast("int")))
+
+
+def of_pair(df: DataFrame, a: int, b: int) -> DataFrame:
+    """The segments of one pair, in either order of its ids."""
+    return df.where((F.col("ind1") == max(a, b)) & (F.col("ind2") == min(a, b)))
+
+
 def with_cm(df: DataFrame, gmap: DataFrame | None = None) -> DataFrame:
     """Adds ``cm``, the length of (s, e): by a map (x1, x2, y1, y2) as the difference of its values at both ends, else at the constant rate."""
     if gmap is None:

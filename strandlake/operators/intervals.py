@@ -76,6 +76,16 @@ def sweep_coverage(points: DataFrame, segs: DataFrame, keys: list[str], weight=N
     return got.join(run, [*keys, "_cell"]).select(*keys, "p", *rest, (F.col("_base") + F.col("_inside")).alias("cov"))
 
 
+def endpoints(segs: DataFrame) -> DataFrame:
+    """(p) of the distinct starts and ends."""
+    return segs.select(F.col("s").alias("p")).union(segs.select("e")).distinct()
+
+
+def coverage_stats(cov: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and median of ``cov`` for each key."""
+    return cov.groupBy(*keys).agg(F.avg("cov").alias("mean"), F.expr("percentile(cov, 0.5)").alias("median"))
+
+
 def grid(genome: DataFrame, step: int, offset: int = 0) -> DataFrame:
     """Points every ``step`` bp of each chromosome, genome-wide."""
     return genome.select("chrid", F.explode(F.sequence(F.col("gwstart") + offset, F.col("gwstart") + F.col("size") - 1, F.lit(step).cast("long"))).alias("p"))

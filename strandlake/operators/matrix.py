@@ -51,6 +51,16 @@ def from_pair_index(df: DataFrame) -> DataFrame:
     return df.withColumn("i", i.cast("long")).withColumn("j", F.col("idx") - tri(F.col("i")))
 
 
+def id_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Ids (id) of one list that the other doesn't have, each once."""
+    return a.select("id").subtract(b.select("id"))
+
+
+def search_names(inds: DataFrame, text: str, most: int = 5) -> DataFrame:
+    """The first individuals (ind, name) whose name has a text: a top list of ``most``."""
+    return inds.where(F.contains("name", F.lit(text))).orderBy("ind").limit(most)
+
+
 def pair_blocks(first: DataFrame, second: DataFrame) -> DataFrame:
     """(a, b, part) of two id lists (id): ids of one list alone against ids of the other alone, and a > b of ids in both."""
     only1, only2, both = first.exceptAll(second.select("id")).distinct(), second.exceptAll(first.select("id")).distinct(), first.intersect(second.select("id"))

@@ -161,8 +161,7 @@ def split_chrom(spark, d):
 
 @query("SELECT DISTINCT p FROM (SELECT s AS p FROM seg UNION ALL SELECT e FROM seg)")
 def endpoints(spark, d):
-    s = X.seg(spark, d)
-    return s.select(F.col("s").alias("p")).union(s.select("e")).distinct()
+    return I.endpoints(X.seg(spark, d))
 
 
 @query("SELECT a.ind1, a.ind2, count(*) AS n, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS shared FROM seg a JOIN seg b ON a.ind1 = b.ind1 AND a.ind2 = b.ind2 AND a.chrid = b.chrid AND a.s < b.e AND b.s < a.e WHERE a.l_linestatus = 'F' AND b.l_linestatus = 'O' GROUP BY 1, 2")
@@ -176,11 +175,11 @@ def interval_overlap_join(spark, d):
 # segments
 
 
-@query("SELECT b AS ind1, CASE WHEN a > b THEN 1 ELSE 0 END AS was_turned, count(*) AS n FROM seg0 WHERE a <> b GROUP BY 1, 2")
+@query("SELECT greatest(a, b) AS ind1, CASE WHEN a < b THEN 1 ELSE 0 END AS was_turned, count(*) AS n FROM seg0 WHERE a <> b GROUP BY 1, 2")
 def seg_turned(spark, d):
     li = X.table(spark, d, "lineitem")
-    a, b = F.col("l_suppkey") % 40, F.col("l_partkey") % 40
-    return li.where(a != b).groupBy(b.alias("ind1"), F.when(a > b, 1).otherwise(0).alias("was_turned")).agg(F.count("*").alias("n"))
+    raw = li.select((F.col("l_suppkey") % 40).alias("ind1"), F.lit(0).alias("hap1"), (F.col("l_partkey") % 40).alias("ind2"), F.lit(0).alias("hap2")).where("ind1 <> ind2")
+    return ibd.turned(raw).groupBy("ind1", "was_turned").agg(F.count("*").alias("n"))
 
 
 @query("SELECT ind1, hap1, ind2, hap2, CAST(count(*) AS BIGINT) AS n FROM seg GROUP BY ALL")
@@ -242,7 +241,7 @@ def coverage_cm_grid(spark, d):
 
 @query(COV.format(step=10000, off=0, n=300, op="<=", w="") + "SELECT chrid, round(avg(cov), 6) AS mean, median(cov) AS median FROM cov GROUP BY chrid")
 def coverage_stats(spark, d):
-    return coverage(spark, d).groupBy("chrid").agg(r6(F.avg("cov"), "mean"), F.expr("percentile(cov, 0.5)").alias("median"))
+    return I.coverage_stats(coverage(spark, d), ["chrid"]).select("chrid", r6("mean", "mean"), "median")
 
 
 @query(COV.format(step=3750, off=1875, n=800, op="<", w="") + "SELECT p, cov FROM cov")
@@ -387,12 +386,12 @@ def unrelated(spark, d):
 
 @query("SELECT ind1, ind2, s, e, l_linestatus FROM seg WHERE ind1 = 7 AND ind2 = 3")
 def plot_pair(spark, d):
-    return X.seg(spark, d).where("ind1 = 7 and ind2 = 3").select("ind1", "ind2", "s", "e", "l_linestatus")
+    return ibd.of_pair(X.seg(spark, d), 3, 7).select("ind1", "ind2", "s", "e", "l_linestatus")
 
 
 @query("SELECT s_suppkey AS ind, s_name AS name FROM supplier WHERE contains(s_name, '7') ORDER BY s_suppkey LIMIT 5")
 def sample_search(spark, d):
-    return X.inds(spark, d).where(F.contains("name", F.lit("7"))).orderBy("ind").limit(5)
+    return matrix.search_names(X.inds(spark, d), "7")
 
 
 # rare variants
@@ -638,7 +637,7 @@ def rec_order(spark, d):
 @query("SELECT DISTINCT ind1 AS id FROM seg WHERE l_linestatus = 'F' EXCEPT SELECT ind2 FROM seg WHERE l_linestatus = 'O'")
 def id_difference(spark, d):
     a, b = sides(spark, d)
-    return a.select(F.col("ind1").alias("id")).subtract(b.select(F.col("ind2").alias("id")))
+    return matrix.id_difference(a.select(F.col("ind1").alias("id")), b.select(F.col("ind2").alias("id")))
 
 
 @query(TWO + ", x AS (SELECT DISTINCT ind1, ind2, chrid, s, e FROM seg WHERE l_linestatus = 'F') SELECT x.ind1, x.ind2, x.chrid, x.s, x.e, CAST(coalesce(sum(CASE WHEN b.s IS NULL THEN 0 ELSE least(x.e, b.e) - greatest(x.s, b.s) END), 0) AS BIGINT) AS covered FROM x LEFT JOIN isl b ON b.ls = 'O' AND x.ind1 = b.ind1 AND x.ind2 = b.ind2 AND x.chrid = b.chrid AND x.s < b.e AND b.s < x.e GROUP BY ALL")
