@@ -57,6 +57,8 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 HOT = 1000
 EXACT = 256
 FLUSH = 4_000_000
+#: Tokens of a part, and parts that small tables have at most.
+PART_TOKENS, FEW_PARTS = 2_500_000, 24
 #: Words that lists name by a number of two bytes; which they are has no effect on results.
 COMMON = 1 << 15
 #: Logarithms are added up as multiples of 1 / SCALE, so sums are exact whatever their order.
@@ -231,10 +233,10 @@ def root_draws(word: np.ndarray, customers: np.ndarray, tables: int, words: int,
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task: the number of training tokens (key -1), frequent contexts (key -2); of the first tasks also words that repeat in a window (key -3)."""
+    """Of one task: the numbers of training tokens and of all (key -1), frequent contexts (key -2); of the first tasks also words that repeat in a window (key -3)."""
     from pyspark import TaskContext
 
-    context, total, repeated = TaskContext.get(), 0, []
+    context, total, whole, repeated = TaskContext.get(), 0, 0, []
     contexts, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         raw, off = K.text_buffers(batch.column("text"))
@@ -244,6 +246,7 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(repeated) < 4 and (context is None or context.partitionId() < 64):
                 repeated.append(np.unique(w, return_counts=True))
             total += int(train[i:j][doc].sum())
+            whole += len(w)
             slot = (u >> _U(48)).astype(np.int64)  # contexts of well-filled slots alone are counted
             full = np.bincount(slot, minlength=1 << 16)[slot] >= max(8, len(u) // (4 * HOT))
             v, n = np.unique(u[full], return_counts=True)
@@ -253,7 +256,7 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep = np.sort(np.argsort(-n, kind="stable")[: 4 * HOT])
                 v, n = v[keep], n[keep]
             contexts, counts = v, n
-    rows = [(-1, blobs.pack(np.array([total]))), (-2, blobs.pack(contexts, counts))]
+    rows = [(-1, blobs.pack(np.array([total, whole]))), (-2, blobs.pack(contexts, counts))]
     if repeated:
         v, n = _most(repeated, COMMON)
         rows.append((-3, blobs.pack(v[n > 1], n[n > 1])))
@@ -682,12 +685,16 @@ def _finish(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc_id, "held_out": held, "n_tokens": n, "n_known": sums[2].astype(np.int64), "train_tokens": tokens, "base_score": base, "score": -sums[1] / SCALE})
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text)."""
+def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
+
+    There are as many parts (and slices of keys) as the tokens ask for, unless ``parts`` says how many.
+    """
     docs = docs.select("doc_id", "text")
-    parts = K.hot_conf(docs.sparkSession)
     census = {r.key: blobs.unpack(bytes(r.data)) for r in docs.mapInArrow(_census, "key int, data binary").groupBy("key").applyInPandas(_census_sum, "key int, data binary").collect()}
-    tokens = int(census[-1][0][0]) if -1 in census else 0
+    tokens, whole = (int(x) for x in census[-1][0]) if -1 in census else (0, 0)
+    if parts is None:
+        parts = max(min(FEW_PARTS, K.hot_conf(docs.sparkSession)), -(-whole // PART_TOKENS))
     frequent = census.get(-2, [np.zeros(0, np.uint64), np.zeros(0, np.int64)])
     hot = np.sort(frequent[0][frequent[1] * HOT >= tokens])[: 4 * HOT] if tokens else np.zeros(0, np.uint64)
     common = census[-3][0] if -3 in census else np.zeros(0, np.uint64)

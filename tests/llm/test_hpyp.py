@@ -121,16 +121,11 @@ def test_scores_against_brute_force_for_any_number_of_parts(spark):
     """The distributed sampler gives the scores of dictionaries, whatever the number of parts and tasks; few contexts are hot, or all."""
     docs = corpus(90) + [(1000, None), (1001, ""), (1002, "never seen words"), (1003, "w1 w2"), (1003, "w1 w2")]
     expected = sorted(brute(docs)[0])
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        for parts, tasks in ((2, 3), (4, 1), (9, 6)):
-            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-            rows = H.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(tasks)).collect()
-            got = sorted((r.doc_id, r.score) for r in rows)
-            assert [d for d, _ in got] == [d for d, _ in expected]
-            assert max(abs(x - y) for (_, x), (_, y) in zip(got, expected, strict=True)) < 1e-6
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for parts, tasks in ((2, 3), (4, 1), (9, 6)):
+        rows = H.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(tasks), parts).collect()
+        got = sorted((r.doc_id, r.score) for r in rows)
+        assert [d for d, _ in got] == [d for d, _ in expected]
+        assert max(abs(x - y) for (_, x), (_, y) in zip(got, expected, strict=True)) < 1e-6
 
 
 def test_probabilities_sum_to_one():
