@@ -167,9 +167,10 @@ class TreeEncoder:
         return self.join_tokens(self.tokens(data[:m]), self.tokens(data[m:]))
 
     def learn(self, matches: set[str]) -> None:
-        """Encodes matches that aren't known; the older half of those kept makes room."""
+        """Makes all of a set of matches known; when too many are kept, the older half of those that aren't asked for makes room."""
         if len(self.known) >= KEPT:
             self.older, self.known = self.known, {}
+        matches = matches - self.known.keys()
         for x in matches & self.older.keys():
             self.known[x] = self.older[x]
         matches -= self.known.keys()
@@ -218,7 +219,7 @@ class TreeEncoder:
         new: set[str] = set()
         for c in cuts:
             new.update(c)
-        self.learn(new - self.known.keys())
+        self.learn(new)
         known, out = self.known, []
         for c in cuts:
             ids: list[int] = []

@@ -46,6 +46,16 @@ def test_long_runs():
         assert t.encode(x) == whole(x)
 
 
+def test_kept_matches_make_room(monkeypatch):
+    """More matches than are kept: those of older texts are encoded again."""
+    monkeypatch.setattr(bpe, "KEPT", 50)
+    whole, t, rng = library(), bpe.TreeEncoder(FILE, P.PATTERN), random.Random(6)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["of", "the", f"w{rng.randint(0, 999)}"]) for _ in range(30)) for _ in range(3)]
+        assert t.encode_all(texts) == [whole(x) for x in texts]
+    assert len(t.known) < 500
+
+
 def test_rows(spark):
     whole = library()
     texts = [None, "", "Hello  world's\n\n\tend", "x" * 40_000, "<|endoftext|>", "word " * 30_000]
