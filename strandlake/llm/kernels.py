@@ -191,9 +191,9 @@ _own_folder: list[str] = []
 
 def shared_folder(sc) -> str:
     """The folder in spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine (tests)."""
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_folder:
             import tempfile
