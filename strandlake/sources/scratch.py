@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a local temporary folder only where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path under spark.checkpoint.dir; under a local temporary folder only where that is unset and all runs on one machine (tests)."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="strandlake-")
