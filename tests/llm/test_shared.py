@@ -26,6 +26,35 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    """What fits one task runs no rounds of exchanges, whatever the number of partitions; rounds give the same components."""
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(400, 400 + k) for k in range(1, 40)] + [(rng.randint(500, 600), rng.randint(500, 600)) for _ in range(60)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def tasks(name, alone):
+        sc.setJobGroup(name, name)
+        found = {r.node: r.component for r in graph.components(frame, "a", "b", alone=alone).collect()}
+        sc._jsc.clearJobGroup()
+        stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+        return found, sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        few, n_few = tasks("few", graph.ALONE)
+        part, n_part = tasks("part", 115)  # some rounds, then one task
+        rounds, n_rounds = tasks("rounds", -1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert few == part == rounds
+    assert all(few[k] == 0 for k in range(41)) and all(few[400 + k] == 400 for k in range(40))
+    assert n_few < 6 * 9 < n_rounds and n_few <= n_part
+
+
 def test_words_do_not_depend_on_windows():
     texts = ["Alpha beta", "", None, "beta  ALPHA\tbeta", "é1 é1", "x" * 5000 + " y"]
     raw, off = K.text_buffers(pa.array(texts))
