@@ -208,8 +208,8 @@ def read_hmmibd_dir(spark: SparkSession, path: str, inds: DataFrame, genome: Dat
 def read_eibd(spark: SparkSession, path: str, genome: DataFrame | None = None) -> DataFrame:
     """Binary segments: a little-endian 64-bit count, then rows of four 32-bit numbers; ids are ind * 4 + hap.
 
-    With a genome, chrid is that of the chromosome in which a segment starts.  A file is one row of Spark's binary source;
-    its segments leave in slices.
+    With a genome, chrid is that of the chromosome in which a segment starts.  The path is a file or a folder of files.  A file
+    is one row of Spark's binary source; its segments leave in slices.
     """
     names = ["ind1", "hap1", "ind2", "hap2", "s", "e"]
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; under a local temporary folder only where that is unset and all runs on one machine (tests)."""
@@ -56,3 +57,27 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     out = fs.create(Path(path), True)
     out.write(bytearray(data))
     out.close()
+
+
+def write_byte_files(df: DataFrame, path: str, extension: str = "") -> None:
+    """A binary column as one file a row, numbered in the order of the frame.
+
+    Tasks write their rows as text of length, bytes and line end; the driver's file system copies the bytes from there, none of which it holds.
+    """
+    spark, work = df.sparkSession, path + "-parts"
+    (content,) = df.columns
+    length = F.unhex(F.lpad(F.hex(F.length(content).cast("long")), 16, "0"))
+    df.select(F.concat(length, content).cast("string").alias("value")).write.mode("overwrite").option("compression", "none").text(work)
+    fs, Path = _fs(spark, work)
+    jvm, k = spark.sparkContext._jvm, 0
+    for part in _parts(fs, Path(work)):
+        data, at = jvm.java.io.DataInputStream(fs.open(part.getPath())), 0
+        while at < part.getLen():
+            n = data.readLong()
+            out = fs.create(Path(f"{path}/part-{k:07d}{extension}"), True)
+            jvm.org.apache.commons.io.IOUtils.copyLarge(data, out, 0, n)
+            out.close()
+            data.read()
+            at, k = at + 8 + n + 1, k + 1
+        data.close()
+    fs.delete(Path(work), True)

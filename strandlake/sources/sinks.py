@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,18 +134,54 @@ EIBD_MOST = 4_000_000
 
 
 def eibd_bytes(segs: DataFrame, most: int = EIBD_MOST) -> bytes:
-    """The binary form of a segment set small enough for one file; larger sets are refused and are written as Parquet."""
+    """The binary form of a segment set small enough for one file; larger sets are refused here and are written as several files."""
     n = segs.count()
     if n > most:
         raise ValueError(f"{n} segments are too many for one file of at most {most}")
-    rows = segs.select((F.col("ind1") * 4 + F.col("hap1")).alias("i"), (F.col("ind2") * 4 + F.col("hap2")).alias("j"), "s", "e").orderBy("i", "j", "s", "e").toArrow()
-    return struct.pack("<Q", n) + np.stack([np.asarray(rows.column(c)).astype("<u4") for c in ("i", "j", "s", "e")], axis=1).tobytes()
+    rows = _eibd_columns(segs).orderBy("i", "j", "s", "e").toArrow()
+    return _eibd_file([np.asarray(rows.column(c)) for c in "ijse"])
 
 
-def write_eibd(segs: DataFrame, path: str, most: int = EIBD_MOST) -> None:
-    from .scratch import write_bytes
+def _eibd_columns(segs: DataFrame) -> DataFrame:
+    return segs.select((F.col("ind1") * 4 + F.col("hap1")).alias("i"), (F.col("ind2") * 4 + F.col("hap2")).alias("j"), "s", "e")
+
+
+def _eibd_file(columns: list[np.ndarray]) -> bytes:
+    return struct.pack("<Q", len(columns[0])) + np.stack([c.astype("<u4") for c in columns], axis=1).tobytes()
+
 
-    write_bytes(segs.sparkSession, path, eibd_bytes(segs, most))
+def write_eibd(segs: DataFrame, path: str, most: int = EIBD_MOST, each: int = 1_000_000) -> None:
+    """A segment set in binary form: one file, or for more than ``most`` segments a folder of whole files of ``each`` at most, whose names give the order.
+
+    Files are put together by tasks, of a range of the sorted segments each.
+    """
+    from .scratch import write_byte_files, write_bytes
+
+    n = segs.count()
+    if n <= most:
+        return write_bytes(segs.sparkSession, path, eibd_bytes(segs, most))
+    # ranges of about half a file; the last column parts segments that are equal
+    ranges = _eibd_columns(segs).withColumn("_", F.monotonically_increasing_id()).repartitionByRange(-(-2 * n // each), "i", "j", "s", "e", "_").drop("_").sortWithinPartitions("i", "j", "s", "e")
+
+    def files(batches):
+        held, rows = [], 0
+
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([_eibd_file([np.concatenate(c) for c in zip(*held, strict=True)])], pa.binary())], names=["content"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy().astype("<u4") for c in "ijse"]
+            for at in range(0, batch.num_rows, each):
+                part = [c[at : at + each] for c in columns]
+                if held and rows + len(part[0]) > each:
+                    yield file()
+                    held, rows = [], 0
+                held.append(part)
+                rows += len(part[0])
+        if held:
+            yield file()
+
+    write_byte_files(ranges.mapInArrow(files, "content binary"), path, ".eibd")
 
 
 def coverage_table(cov: DataFrame, step: int, path: str) -> None:

@@ -165,3 +165,39 @@ def test_api_and_stream(spark, tmp_path):
     q = stream_cell_coverage(spark.readStream.schema(segs.schema).parquet(str(src)), 300).writeStream.format("memory").queryName("cells").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.chrid, r.cell): r.bp for r in spark.table("cells").collect()} == {(0, 0): 290, (0, 1): 200, (1, 4): 300, (1, 5): 300, (1, 6): 100}
+
+
+def test_binary_segments_in_several_files(spark, tmp_path):
+    rows = [(k % 5 + 1, 0, 0, 1, 10 * (k % 7), 10 * (k % 7) + 5) for k in range(23)] + [(9, 1, 2, 0, 4, 8)] * 9
+    seg = spark.createDataFrame(rows, "ind1 long, hap1 long, ind2 long, hap2 long, s long, e long")
+    path = tmp_path / "x.eibd"
+    S.write_eibd(seg, str(path), most=10, each=4)
+    parts = [p.read_bytes() for p in sorted(path.glob("*.eibd"))]
+    assert all(0 < (len(p) - 8) // 16 <= 4 and struct.unpack("<Q", p[:8]) == ((len(p) - 8) // 16,) for p in parts)
+    assert b"".join(p[8:] for p in parts) == S.eibd_bytes(seg)[8:]
+    assert sorted(map(tuple, R.read_eibd(spark, str(path)).collect())) == sorted(rows)
+
+
+def test_bool_matrix_of_many_columns(spark, tmp_path):
+    """Ragged last words, empty rows, repeated cells, cells outside; as many columns as would take minutes by searching a row's list for each."""
+    for n_rows, n_cols in ((3, 1), (3, 64), (4, 130), (2, 200_001)):
+        want = sorted({(r, c) for r in range(0, n_rows, 2) for c in range(0, n_cols, 3)} | {(0, n_cols - 1)})
+        cells = spark.createDataFrame([*want, *want[:5], (0, n_cols), (n_rows, 0)], "row long, col long")
+        path = str(tmp_path / f"m{n_cols}")
+        S.write_bool_matrix(cells, n_rows, n_cols, path)
+        raw = spark.read.parquet(path)
+        assert raw.columns == [str(n_cols)] and raw.count() == n_rows * n_cols
+        assert sorted(map(tuple, R.read_bool_matrix(spark, path).collect())) == want
+
+
+def test_header_is_first_in_large_named_texts(spark, tmp_path):
+    from strandlake.sources.scratch import write_named_text
+
+    lines = spark.range(0, 400_000, 1, 8).selectExpr("concat('c', id % 2) AS chrom", "concat('line ', id) AS value")
+    for gz in (False, True):
+        path = str(tmp_path / f"t{gz}")
+        write_named_text(lines, path, "chrom", "a header", gz, ".txt.gz" if gz else ".txt")
+        for k in range(2):
+            with (gzip.open if gz else open)(f"{path}/c{k}.txt" + (".gz" if gz else ""), "rt") as f:
+                got = f.read().splitlines()
+            assert got[0] == "a header" and sorted(got[1:]) == sorted(f"line {x}" for x in range(k, 400_000, 2))
