@@ -28,12 +28,17 @@ def write_packed_records(rec: DataFrame, path: str, status: str = "0") -> None:
 
 
 def write_bool_matrix(cells: DataFrame, n_rows: int, n_cols: int, path: str) -> None:
-    """True cells (row, col) as one boolean column, row after row, whose name is the number of columns."""
-    spark = cells.sparkSession
-    rows = cells.groupBy("row").agg(F.collect_set("col").alias("cols"))
-    dense = spark.range(n_rows).withColumnRenamed("id", "row").join(rows, "row", "left").repartitionByRange("row").sortWithinPartitions("row")
-    cell = F.transform(F.sequence(F.lit(0), F.lit(n_cols - 1)), lambda k: F.coalesce(F.array_contains("cols", k.cast("long")), F.lit(False)))
-    dense.select(F.explode(cell).alias(str(n_cols))).write.mode("overwrite").parquet(path)
+    """True cells (row, col) as one boolean column, row after row, whose name is the number of columns.
+
+    Cells become bits of words of 64 columns, so the work is that of the cells and of the words written.
+    """
+    words = -(-n_cols // 64)
+    col = F.col("col").cast("long")
+    held = cells.where((col >= 0) & (col < n_cols)).groupBy((F.col("row").cast("long") * words + F.floor(col / 64)).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(col % 64 AS INT))")).alias("bits"))
+    dense = cells.sparkSession.range(n_rows * words).join(held, "id", "left").repartitionByRange("id").sortWithinPartitions("id")
+    last = F.least(F.lit(63).cast("long"), n_cols - 1 - F.col("id") % words * 64).cast("int")
+    bits = F.coalesce("bits", F.lit(0).cast("long"))
+    dense.select(F.explode(F.transform(F.sequence(F.lit(0), last), lambda k: F.getbit(bits, k) == 1)).alias(str(n_cols))).write.mode("overwrite").parquet(path)
 
 
 def write_matrix_triple(cells: DataFrame, rows: DataFrame, cols: DataFrame, path: str, metric: str = "jaccard") -> None:
@@ -129,7 +134,7 @@ def ancestry_tsv(segs: DataFrame, genome: DataFrame, path: str) -> None:
     write_csv(j.select(F.floor(F.col("hap1") / 2).alias("Ind1"), (F.col("hap1") % 2 + 1).alias("Hap1"), F.floor(F.col("hap2") / 2).alias("Ind2"), (F.col("hap2") % 2 + 1).alias("Hap2"), F.col("chrom").alias("Chrom"), (F.col("pos") + 1).alias("Start"), (F.col("pos") + 1 + F.col("e") - F.col("s")).alias("End"), "anc1", "anc2"), path, "\t")
 
 
-#: Segments that one binary file may have: it is put together on the driver.
+#: Segments that one binary file may have: it is read as one row.
 EIBD_MOST = 4_000_000
 
 
