@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gzip as gz
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; under a local temporary folder only where that is unset and all runs on one machine (tests)."""
     sc = spark.sparkContext
@@ -30,27 +31,33 @@ def _fs(spark: SparkSession, path: str):
 def write_named_text(df: DataFrame, path: str, name: str, header: str | None = None, gzip: bool = False, extension: str = "") -> None:
     """Lines (``name`` column and value) as one text file a name, called by it; names are few (chromosomes).
 
-    Spark writes a folder a name; its one part file is then renamed.
+    Tasks write a part a name each, without a shuffle; the file system copies header and parts, one after the other, into the file.
     """
-    spark = df.sparkSession
-    w = df.select(name, "value").repartition(name)
-    if header is not None:
-        first = w.select(name).distinct().selectExpr(name, f"'{header}' AS value", "0 AS _line")
-        w = first.unionByName(w.selectExpr(name, "value", "1 AS _line")).repartition(name).sortWithinPartitions(name, "_line").drop("_line")
-    work = path + "-parts"
-    w.write.mode("overwrite").partitionBy(name).option("compression", "gzip" if gzip else "none").text(work)
+    spark, work = df.sparkSession, path + "-parts"
+    df.select(name, "value").write.mode("overwrite").partitionBy(name).option("compression", "gzip" if gzip else "none").text(work)
     fs, Path = _fs(spark, work)
     fs.mkdirs(Path(path))
     for folder in fs.listStatus(Path(work)):
         called = folder.getPath().getName()
         if "=" not in called:
             continue
-        for part in fs.listStatus(folder.getPath()):
-            if part.getPath().getName().startswith("part-"):
-                fs.rename(part.getPath(), Path(f"{path}/{called.split('=', 1)[1]}{extension}"))
+        out = fs.create(Path(f"{path}/{called.split('=', 1)[1]}{extension}"), True)
+        if header is not None:
+            line = f"{header}\n".encode()
+            out.write(bytearray(gz.compress(line) if gzip else line))
+        for part in _parts(fs, folder.getPath()):
+            data = fs.open(part.getPath())
+            spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(data, out)
+            data.close()
+        out.close()
     fs.delete(Path(work), True)
 
 
+def _parts(fs, folder) -> list:
+    """Part files of a folder that Spark wrote, in order."""
+    return sorted((x for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName())
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """One small file."""
     fs, Path = _fs(spark, path)
