@@ -51,9 +51,15 @@ def from_pair_index(df: DataFrame) -> DataFrame:
     return df.withColumn("i", i.cast("long")).withColumn("j", F.col("idx") - tri(F.col("i")))
 
 
+def listed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, in_a, in_b) of the ids (id) of two lists, each once."""
+    both = a.select("id", F.lit(True).alias("in_a"), F.lit(False).alias("in_b")).unionByName(b.select("id", F.lit(False).alias("in_a"), F.lit(True).alias("in_b")))
+    return both.groupBy("id").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+
+
 def id_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Ids (id) of one list that the other doesn't have, each once."""
-    return a.select("id").subtract(b.select("id"))
+    return listed(a, b).where("in_a and not in_b").select("id")
 
 
 def search_names(inds: DataFrame, text: str, most: int = 5) -> DataFrame:
@@ -61,12 +67,56 @@ def search_names(inds: DataFrame, text: str, most: int = 5) -> DataFrame:
     return inds.where(F.contains("name", F.lit(text))).orderBy("ind").limit(most)
 
 
+#: Tiles that ids are dealt to for pairs, and partitions of pairs of tiles.
+TILES, TILE_PARTS = 32, 256
+
+
+def _quantile_cell(df: DataFrame, col: str, bins: int, error: float):
+    """The bin of a numeric column between quantiles, of which a list of at most ``bins`` numbers is collected."""
+    cuts = sorted(set(df.approxQuantile(col, [k / bins for k in range(1, bins)], error))) if bins > 1 else []
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= F.col(col).cast("double"))) if cuts else F.lit(0)
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two sides that have the same pair of tiles (_at): one sorted join in a fixed number of partitions, as the pairs, not the ids, are the work."""
+    return left.repartition(TILE_PARTS, "_at").hint("merge").join(right.repartition(TILE_PARTS, "_at").hint("merge"), "_at").drop("_at")
+
+
+def triangle(ids: DataFrame, tiles: int = TILES) -> DataFrame:
+    """Pairs of rows with id x > y; further columns come with the suffixes _x and _y.
+
+    Numeric ids are dealt to tiles by quantiles, others by hash; each is copied once for each tile it meets.  A task holds
+    one tile's ids, and nothing of the pairs is shuffled.
+    """
+    rest = [c for c in ids.columns if c != "id"]
+    known = ids.where("id is not null")
+    numeric = dict(ids.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    tile = _quantile_cell(known, "id", tiles, 0.001) if numeric else F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
+    t = known.withColumn("_t", tile)
+    side = lambda s: [F.col("id").alias(s), F.col("_t").alias(f"_t{s}"), *[F.col(c).alias(f"{c}_{s}") for c in rest]]
+    left = t.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("_t")), lambda u: F.col("_t") * tiles + u)).alias("_at"), *side("x"))
+    right = t.select(F.explode(F.transform(F.sequence(F.col("_t"), F.lit(tiles - 1)), lambda u: u * tiles + F.col("_t"))).alias("_at"), *side("y"))
+    met = _met(left, right).where("_tx <> _ty or x > y")
+    turned = lambda a, b: F.when(F.col("x") > F.col("y"), F.col(a)).otherwise(F.col(b))
+    names = ["x", *[f"{c}_x" for c in rest]]
+    other = ["y", *[f"{c}_y" for c in rest]]
+    return met.select(*[turned(a, b).alias(a) for a, b in zip(names, other, strict=True)], *[turned(b, a).alias(b) for a, b in zip(names, other, strict=True)])
+
+
+def cross(first: DataFrame, second: DataFrame, tiles: int = TILES) -> DataFrame:
+    """Each id x of one list with each id y of the other, dealt to tiles as in :func:`triangle`."""
+    tile, every = F.pmod(F.xxhash64("id"), F.lit(tiles)), F.sequence(F.lit(0), F.lit(tiles - 1))
+    left = first.select(F.explode(F.transform(every, lambda u: tile * tiles + u)).alias("_at"), F.col("id").alias("x"))
+    right = second.select(F.explode(F.transform(every, lambda u: u * tiles + tile)).alias("_at"), F.col("id").alias("y"))
+    return _met(left, right).select("x", "y")
+
+
 def pair_blocks(first: DataFrame, second: DataFrame) -> DataFrame:
     """(a, b, part) of two id lists (id): ids of one list alone against ids of the other alone, and a > b of ids in both."""
-    only1, only2, both = first.exceptAll(second.select("id")).distinct(), second.exceptAll(first.select("id")).distinct(), first.intersect(second.select("id"))
-    cross = only1.select(F.col("id").alias("a")).join(only2.select(F.col("id").alias("b")), F.lit(True)).withColumn("part", F.lit("between"))
-    inner = both.select(F.col("id").alias("a")).join(both.select(F.col("id").alias("b")), F.col("a") > F.col("b")).withColumn("part", F.lit("within"))
-    return cross.unionByName(inner)
+    ids = listed(first, second)
+    only1, only2, both = (ids.where(x).select("id") for x in ("in_a and not in_b", "in_b and not in_a", "in_a and in_b"))
+    between = cross(only1, only2).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit("between").alias("part"))
+    return between.unionByName(triangle(both).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit("within").alias("part")))
 
 
 def ordered(df: DataFrame, by: list[str], keys: list[str], name: str = "place") -> DataFrame:
@@ -80,9 +130,7 @@ def numbered(df: DataFrame, by: list[str], name: str = "place", bins: int = 256)
     Rows are dealt to bins at quantiles of the first (numeric) column, of which a list of at most ``bins`` numbers is collected; a row's number is
     that inside its bin after the sizes of the bins before, so no task holds more than a bin (rows of one value are in one).
     """
-    cuts = sorted(set(df.approxQuantile(by[0], [k / bins for k in range(1, bins)], 0.0005))) if bins > 1 else []
-    cell = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x <= F.col(by[0]).cast("double"))) if cuts else F.lit(0)
-    binned = df.withColumn("_cell", cell)
+    binned = df.withColumn("_cell", _quantile_cell(df, by[0], bins, 0.0005))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # over a row a bin
     sizes = binned.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn("_before", before).select("_cell", "_before")
     inside = F.row_number().over(W.partitionBy("_cell").orderBy(*by))

@@ -7,6 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .matrix import listed, triangle
+
 
 def unpack(df: DataFrame, col: str, *keep: str) -> DataFrame:
     """Packed 64-bit records to (pos, genome, allele) and the columns of ``keep``: bits 0-31, 32-55, 56-63; unsigned numbers come as decimals."""
@@ -51,9 +53,8 @@ def allele_freq(rec: DataFrame, genomes: int) -> DataFrame:
 
 def pairs_of_lists(first: DataFrame, second: DataFrame | None = None) -> DataFrame:
     """Pairs g1 > g2 of one list of genomes (genome), or of one of each of two lists."""
-    a = first.select(F.col("genome").alias("x")).distinct()
-    b = (first if second is None else second).select(F.col("genome").alias("y")).distinct()
-    return a.join(b, F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("g1"), F.least("x", "y").alias("g2")).distinct()
+    ids = lambda d: d.select(F.col("genome").alias("id"))
+    return id_pairs(ids(first), ids(first if second is None else second)).toDF("g1", "g2")
 
 
 def pair_matches(rec: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -136,5 +137,5 @@ def matrix_rows(rec: DataFrame) -> DataFrame:
 
 def id_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
     """Pairs of two id lists (id): all a > b of ids in both, and the cross of ids of one alone with ids of the other list."""
-    a, b = first.select(F.col("id").alias("x")), second.select(F.col("id").alias("y"))
-    return a.join(b, F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    met = triangle(listed(first, second)).where("in_a_x and in_b_y or in_b_x and in_a_y")
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -20,3 +20,34 @@ def test_order_and_equality(spark):
 def test_paths():
     assert M.with_extension("/x/y.ibd.gz", "eibd") == "/x/y.eibd"
     assert M.with_extension("y", ".rec") == "y.rec"
+
+
+def test_pairs_in_tiles(spark):
+    names = [3, 7, 7, 1, 9, None, 4]
+    ids = spark.createDataFrame([(x,) for x in names], "id long")
+    want = sorted((x, y) for x in names for y in names if x is not None and y is not None and x > y)
+    for tiles in (1, 3, 32):
+        assert sorted(map(tuple, M.triangle(ids, tiles).collect())) == want
+    words = ids.selectExpr("'n' || id AS id")
+    assert sorted(map(tuple, M.triangle(words, 3).collect())) == [(f"n{x}", f"n{y}") for x, y in want]
+    assert sorted(map(repr, M.cross(ids, ids, 3).collect())) == sorted(map(repr, ids.toDF("x").crossJoin(ids.toDF("y")).collect()))
+
+
+def test_pairs_are_not_shuffled(spark):
+    """The pairs' number grows with the square of the ids': only ids may go through an exchange, in as many partitions whatever their size."""
+    from strandlake.operators import rare
+
+    ids = spark.range(50)
+    for df in (rare.id_pairs(ids, ids), M.pair_blocks(ids, ids.where("id % 2 = 0")), M.triangle(ids)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+        above = plan[: plan.index("SortMergeJoin")]
+        assert "Exchange" not in above.replace("BroadcastExchange", "") and "Aggregate" not in above
+        assert df.rdd.getNumPartitions() >= M.TILE_PARTS
+
+
+def test_ids_of_one_list(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "id long") for xs in ([1, 1, 2, None], [1, 3]))
+    assert sorted(map(repr, M.id_difference(a, b).collect())) == ["Row(id=2)", "Row(id=None)"]
+    # an id that one list has twice and the other once is in both
+    assert sorted(map(tuple, M.pair_blocks(a.where("id is not null"), b).collect())) == [(2, 3, "between")]
