@@ -52,6 +52,11 @@ def interval_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = 100_
 def clip(joined: DataFrame) -> DataFrame:
     """Each pair of an interval join cut to what both share."""
     return joined.withColumn("s", F.greatest("s", "s_b")).withColumn("e", F.least("e", "e_b")).drop("s_b", "e_b")
+def reached(segs: DataFrame, width: int) -> DataFrame:
+    """(_bin) of the bins of ``width`` bp that any interval reaches, each once: a dimension, of the genome's length over ``width`` rows."""
+    return segs.where("s < e").select(F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))).alias("_bin")).distinct()
+
+
 
 
 def sweep_coverage(points: DataFrame, segs: DataFrame, keys: list[str], weight=None, closed: bool = False, width: int = 100_000) -> DataFrame:

@@ -17,19 +17,23 @@ def _at(rec: DataFrame, genome: str, *more: str) -> DataFrame:
 def position_scan(rec: DataFrame, segs: DataFrame, width: int = 100_000) -> DataFrame:
     """For positions of one allele with two carriers or more: segments over it with both, one or no carrying ends.
 
-    A segment meets the records of its two genomes only, by genome and bin.
+    Segments enter as coverage by pair, by genome and in all, so none meets the records under it: those with both ends are the
+    coverage of pairs of carriers, and the coverage of carriers counts these twice and those with one end once.
     """
-    r = rare.drop_multiallelic(rec)
-    keep = r.groupBy("pos").agg(F.count("*").alias("carriers")).where("carriers >= 2")
-    r = r.join(keep.select("pos"), "pos", "left_semi")
-    numbered = segs.withColumn("seg_id", F.monotonically_increasing_id()) if "seg_id" not in segs.columns else segs
-    ends = numbered.select("seg_id", "s", "e", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("genome"))
-    per = I.interval_join(_at(r, "genome"), ends, ["genome"], width).groupBy(F.col("s").alias("pos"), "seg_id_b").agg(F.count("*").alias("k"))
-    c = per.groupBy("pos").agg(F.sum((F.col("k") == 2).cast("long")).alias("within"), F.sum((F.col("k") == 1).cast("long")).alias("between"))
+    keep = rec.groupBy("pos").agg(F.count("*").alias("carriers"), F.min("allele").alias("_a"), F.max("allele").alias("_b")).where("_a = _b and carriers >= 2").select("pos", "carriers")
+    near = F.broadcast(I.reached(segs, width))
+    bin_ = F.floor(F.col("pos") / width)
+    r = rec.withColumn("_bin", bin_).join(near, "_bin", "left_semi").join(keep.withColumn("_bin", bin_).join(near, "_bin", "left_semi").select("pos"), "pos", "left_semi")
+    s = segs.where("s < e").select(F.greatest("g1", "g2").alias("g1"), F.least("g1", "g2").alias("g2"), "s", "e")
+    a, b = r.select("pos", F.col("genome").alias("g1")), r.select("pos", F.col("genome").alias("g2"))
+    pairs = a.join(b, "pos").where("g1 > g2").select("g1", "g2", F.col("pos").alias("p"))
+    within = I.sweep_coverage(pairs, s, ["g1", "g2"], width=width).groupBy("p").agg(F.sum("cov").alias("within"))
+    ends = s.select(F.explode(F.array_distinct(F.array("g1", "g2"))).alias("genome"), "s", "e")
+    met = I.sweep_coverage(r.select("genome", F.col("pos").alias("p")), ends, ["genome"], width=width).groupBy("p").agg(F.sum("cov").alias("met"))
     points = keep.select(F.lit(0).alias("z"), F.col("pos").alias("p"), "carriers")
-    cov = I.sweep_coverage(points, segs.select(F.lit(0).alias("z"), "s", "e"), ["z"], width=width).withColumnRenamed("p", "pos")
-    out = cov.join(c, "pos", "left").fillna(0, ["within", "between"])
-    return out.select("pos", "carriers", "within", "between", (F.col("cov") - F.col("within") - F.col("between")).alias("outside"))
+    cov = I.sweep_coverage(points, segs.select(F.lit(0).alias("z"), "s", "e"), ["z"], width=width)
+    out = cov.join(met, "p", "left").join(within, "p", "left").fillna(0, ["met", "within"]).withColumn("between", F.col("met") - 2 * F.col("within"))
+    return out.select(F.col("p").alias("pos"), "carriers", "within", "between", (F.col("cov") - F.col("within") - F.col("between")).alias("outside"))
 
 
 def pair_counters(rec: DataFrame, segs: DataFrame, width: int = 100_000) -> DataFrame:
