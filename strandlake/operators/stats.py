@@ -113,13 +113,22 @@ def chi2_cdf(x, df: float):
 
 
 def chi2_quantile(p: float, df: float) -> float:
+    if p <= 0:
+        return 0.0
     lo, hi = 0.0, max(10.0, df * 2)
     while chi2_cdf(hi, df)[0] < p and hi < 1e6:
         hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if chi2_cdf(mid, df)[0] < p else (lo, mid)
-    return (lo + hi) / 2
+    x = (lo + hi) / 2
+    for _ in range(200):  # Newton's steps inside the bracket, else its middle
+        over = chi2_cdf(x, df)[0] - p
+        lo, hi = (x, hi) if over < 0 else (lo, x)
+        slope = math.exp((df / 2 - 1) * math.log(x / 2) - x / 2 - math.lgamma(df / 2)) / 2
+        to = x - over / slope if slope > 0 else lo
+        to = to if lo < to < hi else (lo + hi) / 2
+        if to in (lo, hi) or abs(to - x) <= 1e-15 * x:
+            break
+        x = to
+    return x
 
 
 def moment_match(lam: np.ndarray) -> tuple[float, float, float]:
@@ -136,10 +145,14 @@ def moment_match(lam: np.ndarray) -> tuple[float, float, float]:
 
 
 def mixture_tail(q: np.ndarray, lam: np.ndarray) -> np.ndarray:
-    """P(sum lam_k chi2_1 > q) by numerical inversion of the characteristic function (Imhof 1961)."""
+    """P(sum lam_k chi2_1 > q) by numerical inversion of the characteristic function (Imhof 1961); 1 for q of 0 or less."""
+    all_q = np.atleast_1d(np.asarray(q, float))
+    out, q = np.ones(len(all_q)), all_q[all_q > 0]
+    if not len(q):
+        return out
     lam = lam[lam > lam.max() * 1e-10]
     scale = lam.sum()
-    lam, q = lam / scale, np.atleast_1d(q) / scale
+    lam, q = lam / scale, q / scale
     top = 1.0
     while np.prod((1 + (lam * top) ** 2) ** 0.25) * top < 1e7 and top < 1e5:
         top *= 1.5
@@ -150,7 +163,16 @@ def mixture_tail(q: np.ndarray, lam: np.ndarray) -> np.ndarray:
     u, w = u.ravel(), w.ravel()
     theta = 0.5 * np.arctan(u[:, None] * lam).sum(1)
     rho = np.exp(0.25 * np.log1p((u[:, None] * lam) ** 2).sum(1))
-    out = np.array([0.5 + (w * np.sin(theta - 0.5 * u * x) / (u * rho)).sum() / math.pi for x in q])
+    share = w / (u * rho)
+    tail = lambda at: np.array([0.5 + (share * np.sin(theta - 0.5 * u * x)).sum() / math.pi for x in at])
+    # with u up to top, the integral is a function of x of bounded frequency, which so many Chebyshev nodes give to rounding
+    half, mid = (q.max() - q.min()) / 2, (q.max() + q.min()) / 2
+    nodes = math.ceil(top / 2 * half) + 64
+    if nodes < len(q) / 2 and half > 0:
+        fit = np.polynomial.chebyshev.chebinterpolate(lambda z: tail(mid + half * z), nodes)
+        out[all_q > 0] = np.polynomial.chebyshev.chebval((q - mid) / half, fit)
+    else:
+        out[all_q > 0] = tail(q)
     return np.clip(out, 0, 1)
 
 
@@ -223,6 +245,9 @@ def _mixed(k: np.ndarray, rho: float, m: int) -> np.ndarray:
 #: Samples whose phenotypes are collected and broadcast at most.
 MOST_SAMPLES = 2_000_000
 
+#: Partitions of windows: their time is in the statistic, not in the bytes by which Spark would join partitions.
+WINDOW_PARTS = 256
+
 
 def skat_windows(genotypes: DataFrame, phenotypes: DataFrame, size: int, step: int) -> DataFrame:
     """(window, n_sites, pval) over windows of ``size`` sites, every ``step``, of dosages (sample, pos, dose).
@@ -249,4 +274,4 @@ def skat_windows(genotypes: DataFrame, phenotypes: DataFrame, size: int, step: i
                 z[ids[s], sites[p]] = d
         return pd.DataFrame({"window": [g["window"].iloc[0]], "n_sites": [len(sites)], "pval": [skat_o(x, z, y)]})
 
-    return genotypes.join(placed.drop("k"), "pos").groupBy("window").applyInPandas(one, "window long, n_sites long, pval double")
+    return genotypes.join(placed.drop("k"), "pos").repartition(WINDOW_PARTS, "window").groupBy("window").applyInPandas(one, "window long, n_sites long, pval double")

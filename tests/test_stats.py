@@ -96,3 +96,25 @@ def test_counters_against_all_pairs(spark):
     df = spark.createDataFrame([(p, g, a) for (p, g), a in rec.items()], "pos long, genome long, allele long")
     got = rvibd.pair_counters(df, spark.createDataFrame(segs, "g1 long, g2 long, s long, e long")).first()
     assert got.asDict() == want
+
+
+def test_many_tails_are_those_of_each(monkeypatch):
+    """Tails of many points come from few evaluations; windows are not joined into few tasks; a quantile stops when it is found."""
+    from strandlake.operators import stats
+
+    r = np.random.default_rng(1)
+    for lam in (r.random(50), np.ones(30), np.geomspace(1, 1e-4, 40)):
+        q = np.linspace(0.01, 3, 1500) * lam.sum()
+        want = np.concatenate([stats.mixture_tail(q[k : k + 50], lam) for k in range(0, 1500, 50)])
+        calls = []
+        sin = np.sin
+        monkeypatch.setattr(np, "sin", lambda x: calls.append(1) or sin(x))
+        assert np.abs(stats.mixture_tail(q, lam) - want).max() < 1e-12
+        monkeypatch.undo()
+        assert len(calls) < 750
+    assert (stats.mixture_tail(np.array([-300.0, 0.0]), np.ones(5)) == 1).all()
+    count = []
+    cdf = stats.chi2_cdf
+    monkeypatch.setattr(stats, "chi2_cdf", lambda x, df: count.append(1) or cdf(x, df))
+    assert abs(cdf(stats.chi2_quantile(0.3, 7.5), 7.5)[0] - 0.3) < 1e-13 and len(count) < 80
+    assert stats.chi2_quantile(0.0, 2) == 0 and abs(stats.chi2_quantile(0.5, 2) - 2 * math.log(2)) < 1e-13
