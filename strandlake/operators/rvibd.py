@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import intervals as I
@@ -55,13 +56,30 @@ def pair_counters(rec: DataFrame, segs: DataFrame, width: int = 100_000) -> Data
 
 
 def matched_rows(rec: DataFrame, segs: DataFrame, width: int = 100_000) -> DataFrame:
-    """Positions where a pair carries equal alleles, with the least segment (s, e) of the pair over it, if any; they meet by pair and bin."""
-    a = rec.select("pos", F.col("genome").alias("g1"), F.col("allele").alias("a1"))
-    b = rec.select("pos", F.col("genome").alias("g2"), F.col("allele").alias("a2"))
-    m = a.join(b, "pos").where("g1 > g2 and a1 = a2").select("g1", "g2", "pos", F.col("a1").alias("allele"))
-    points = m.select("g1", "g2", "allele", F.col("pos").alias("s"), (F.col("pos") + 1).alias("e"))
-    c = I.interval_join(points, segs.select("g1", "g2", "s", "e"), ["g1", "g2"], width).groupBy("g1", "g2", F.col("s").alias("pos")).agg(F.min(F.struct("s_b", "e_b")).alias("x"))
-    return m.join(c, ["g1", "g2", "pos"], "left").select("g1", "g2", "pos", "allele", F.col("x.s_b").alias("s"), F.col("x.e_b").alias("e"))
+    """Positions where a pair carries equal alleles, with the least segment (s, e) of the pair over it, if any.
+
+    Of each pair's segments in a bin that end at one place the one of least start counts; from the largest end down, the least
+    (s, e) that has not ended before a position is the answer if it starts there or before.  Positions in bins that no segment
+    reaches meet none.
+    """
+
+    def matches(r: DataFrame) -> DataFrame:
+        a = r.select("pos", F.col("genome").alias("g1"), F.col("allele").alias("a1"))
+        b = r.select("pos", F.col("genome").alias("g2"), F.col("allele").alias("a2"))
+        return a.join(b, "pos").where("g1 > g2 and a1 = a2").select("g1", "g2", "pos", F.col("a1").alias("allele"))
+
+    near = F.broadcast(I.reached(segs, width))
+    binned = rec.withColumn("_bin", F.floor(F.col("pos") / width))
+    none = F.lit(None).cast("long")
+    far = matches(binned.join(near, "_bin", "left_anti")).select("g1", "g2", "pos", "allele", none.alias("s"), none.alias("e"))
+    points = matches(binned.join(near, "_bin", "left_semi")).withColumn("_bin", F.floor(F.col("pos") / width)).withColumn("_at", F.col("pos"))
+    bins = F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width)))
+    ends = segs.where("s < e").select("g1", "g2", "s", "e", bins.alias("_bin")).groupBy("g1", "g2", "_bin", "e").agg(F.min("s").alias("s"))
+    events = points.unionByName(ends.withColumn("_at", F.col("e") - 1), allowMissingColumns=True)
+    down = W.partitionBy("g1", "g2", "_bin").orderBy(F.desc("_at"))  # equal places are in: a segment's last position is its end less one
+    best = F.min(F.when(F.col("s").isNotNull(), F.struct("s", "e"))).over(down)
+    got = events.withColumn("_x", best).where("pos is not null").withColumn("_x", F.when(F.col("_x.s") <= F.col("pos"), F.col("_x")))
+    return far.unionByName(got.select("g1", "g2", "pos", "allele", F.col("_x.s").alias("s"), F.col("_x.e").alias("e")))
 
 
 def similarity(rec: DataFrame, segs: DataFrame, every: int = 64, bp_per_cm: float = 15_000.0) -> DataFrame:
