@@ -21,8 +21,11 @@ def islands(df: DataFrame, keys: list[str], mode: str = "corrected") -> DataFram
     else:
         before = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
     marked = df.select(*keys, "s", "e").withColumn("_new", (before.isNull() | (F.col("s") > before)).cast("int"))
+    end = F.max("e")
+    if mode == "reference":  # the end of the row before the next island, or of the last row; a number, so that sums are hashed, not sorted again
+        nxt = F.lead("_new").over(order)
+        marked, end = marked.withColumn("_end", F.when(F.coalesce(nxt, F.lit(1)) == 1, F.col("e"))), F.max("_end")
     numbered = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    end = F.max_by("e", F.struct("s", "e")) if mode == "reference" else F.max("e")
     return numbered.groupBy(*keys, "_island").agg(F.min("s").alias("s"), end.alias("e")).drop("_island")
 
 
@@ -49,14 +52,14 @@ def interval_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = 100_
     return both.where((F.col("s") < F.col("e_b")) & (F.col("s_b") < F.col("e")) & (F.floor(F.greatest("s", "s_b") / width) == F.col("_bin"))).drop("_bin")
 
 
-def clip(joined: DataFrame) -> DataFrame:
-    """Each pair of an interval join cut to what both share."""
-    return joined.withColumn("s", F.greatest("s", "s_b")).withColumn("e", F.least("e", "e_b")).drop("s_b", "e_b")
 def reached(segs: DataFrame, width: int) -> DataFrame:
     """(_bin) of the bins of ``width`` bp that any interval reaches, each once: a dimension, of the genome's length over ``width`` rows."""
     return segs.where("s < e").select(F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width))).alias("_bin")).distinct()
 
 
+def clip(joined: DataFrame) -> DataFrame:
+    """Each pair of an interval join cut to what both share."""
+    return joined.withColumn("s", F.greatest("s", "s_b")).withColumn("e", F.least("e", "e_b")).drop("s_b", "e_b")
 
 
 def sweep_coverage(points: DataFrame, segs: DataFrame, keys: list[str], weight=None, closed: bool = False, width: int = 100_000) -> DataFrame:
