@@ -58,11 +58,14 @@ def pairs_of_lists(first: DataFrame, second: DataFrame | None = None) -> DataFra
 
 
 def pair_matches(rec: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(g1 > g2, both, eq): positions both carry, and those with equal alleles; one self-join by position, or for stated pairs by genome, then position and genome."""
+    """(g1 > g2, both, eq): positions both carry, and those with equal alleles; one self-join by position, for stated pairs over the records of their genomes."""
+    if pairs is not None:
+        genomes = pairs.select(F.col("g1").alias("genome")).union(pairs.select("g2")).distinct()
+        rec = rec.join(F.broadcast(genomes), "genome", "left_semi")
     a = rec.select("pos", F.col("genome").alias("g1"), F.col("allele").alias("a1"))
     b = rec.select("pos", F.col("genome").alias("g2"), F.col("allele").alias("a2"))
-    met = a.join(b, "pos").where("g1 > g2") if pairs is None else a.join(pairs.select("g1", "g2"), "g1").join(b, ["pos", "g2"])
-    return met.groupBy("g1", "g2").agg(F.count("*").alias("both"), F.sum((F.col("a1") == F.col("a2")).cast("long")).alias("eq"))
+    met = a.join(b, "pos").where("g1 > g2").groupBy("g1", "g2").agg(F.count("*").alias("both"), F.sum((F.col("a1") == F.col("a2")).cast("long")).alias("eq"))
+    return met if pairs is None else met.join(pairs.select("g1", "g2"), ["g1", "g2"], "left_semi")
 
 
 def pair_table(rec: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
