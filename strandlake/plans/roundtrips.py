@@ -184,7 +184,7 @@ def _vcf(spark, d, alleles: int = 3) -> str:
 
 def vcf_genome(spark) -> DataFrame:
     """One chromosome as long as all positions of records need."""
-    return R.genome_from_lists(spark, ["v"], [2_000_000_000])
+    return R.genome_from_lists(spark, ["v"], [1 << 40])
 
 
 @query(VREC + "SELECT vr.pos, genome, vr.allele FROM vr JOIN al ON al.pos = vr.pos AND al.allele = vr.allele WHERE al.n < 12 UNION ALL SELECT cr.pos, g, 0 FROM cr, range(50) t(g) WHERE 50 - cr.n < 12 AND 50 - cr.n > 0 AND NOT EXISTS (SELECT 1 FROM vr WHERE vr.pos = cr.pos AND vr.genome = g)")

@@ -72,3 +72,9 @@ def test_id_difference_has_no_join(spark):
     a = spark.range(100).select((F.col("id") % 7).alias("id"))
     got = matrix.id_difference(a, a.where("id > 2"))
     assert sorted(r.id for r in got.collect()) == [0, 1, 2] and "Join" not in plan(got)
+
+
+def test_positions_of_the_largest_tables_are_on_the_vcf_chromosome(spark):
+    from strandlake.plans import roundtrips
+
+    assert roundtrips.vcf_genome(spark).first()["size"] > 360 * 20_000 * 1000
